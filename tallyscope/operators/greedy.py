@@ -19,7 +19,7 @@ GROUP_LIMIT = 2000
 
 def _split(edges: DataFrame, group: list[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
     """(edges of small groups, edges of large groups or None)."""
-    hot = edges.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*group)
+    hot = edges.groupBy(*group).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*group)
     if hot.isEmpty():
         return edges, None
     return edges.join(hot, group, "left_anti"), edges.join(hot, group, "left_semi")

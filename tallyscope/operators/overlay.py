@@ -149,7 +149,7 @@ def slide_class_summary(
     drawn = (
         drawn_rows.drop("batch_id").join(rep.select("image_id", "slide_id"), "image_id")
         .groupBy("slide_id", F.coalesce("label", F.lit("")).alias("eff_cls"))
-        .agg(F.count(F.lit(1)).alias("n_kept"), F.lit(0).cast("bigint").alias("n_auto"), F.count_if(labelled).alias("n_labeled"))
+        .agg(F.count("*").alias("n_kept"), F.lit(0).cast("bigint").alias("n_auto"), F.count_if(labelled).alias("n_labeled"))
     )
     return (
         engine.unionByName(drawn)

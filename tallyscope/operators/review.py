@@ -137,7 +137,7 @@ def link_mains(members: DataFrame) -> DataFrame:
     return (
         members.groupBy("object_id")
         .agg(
-            F.count(F.lit(1)).alias("n_members"),
+            F.count("*").alias("n_members"),
             F.max_by(F.struct("image_id", "mask_key"), rank).alias("_m"),
             F.max(area).cast("bigint").alias("box_area"),
         )
@@ -151,8 +151,8 @@ def linked_siblings(members: DataFrame) -> DataFrame:
 
     The siblings of a row are the other rows of its object, so they are given once each and not once per pair.
     """
-    per_image = members.groupBy("object_id", "image_id").agg(F.count(F.lit(1)).alias("_here"))
-    total = per_image.groupBy("object_id").agg(F.sum("_here").alias("_all"), F.count(F.lit(1)).alias("n_images")).filter("n_images > 1")
+    per_image = members.groupBy("object_id", "image_id").agg(F.count("*").alias("_here"))
+    total = per_image.groupBy("object_id").agg(F.sum("_here").alias("_all"), F.count("*").alias("n_images")).filter("n_images > 1")
     return (
         members.select("object_id", "image_id", "mask_key")
         .join(per_image, ["object_id", "image_id"])
@@ -237,7 +237,7 @@ def carry_scale(frames: DataFrame, group: list[str], resize: float, tolerance: f
         F.min_by("um_per_pixel", "seq").alias("_first"),
         F.max("um_per_pixel").alias("_hi"),
         F.min("um_per_pixel").alias("_lo"),
-        F.count(F.lit(1)).alias("n_frames"),
+        F.count("*").alias("n_frames"),
     )
     off = F.greatest(F.abs(F.col("_hi") - F.col("_first")), F.abs(F.col("_lo") - F.col("_first")))
     return g.select(*group, "n_frames", (F.col("_first") / resize).alias("um_per_pixel"), (off > F.col("_first") * tolerance).alias("mixed"))
@@ -245,7 +245,7 @@ def carry_scale(frames: DataFrame, group: list[str], resize: float, tolerance: f
 
 def map_points(sites: DataFrame, localities: DataFrame, slides: DataFrame, approx: DataFrame, project) -> DataFrame:
     """Sites that have visible slides: own coordinates, else approximate ones by the code without its digits."""
-    shown = slides.filter("NOT hide_in_list").groupBy("locality_id").agg(F.count(F.lit(1)).alias("_n"))
+    shown = slides.filter("NOT hide_in_list").groupBy("locality_id").agg(F.count("*").alias("_n"))
     per_site = (
         localities.join(shown, "locality_id")
         .groupBy("site_id")

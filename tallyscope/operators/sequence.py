@@ -60,7 +60,7 @@ class Blocks:
     def row_number(self, df: DataFrame, out: str) -> DataFrame:
         """1-based position inside the key."""
         tagged = self.tag(df)
-        sums = tagged.groupBy(*self.keys, *self.names).agg(F.count(F.lit(1)).alias("_bn"))
+        sums = tagged.groupBy(*self.keys, *self.names).agg(F.count("*").alias("_bn"))
         sums = sums.withColumn("_before", F.sum("_bn").over(self.across.rowsBetween(Window.unboundedPreceding, -1))).drop("_bn")
         return (
             self._join(tagged, sums)

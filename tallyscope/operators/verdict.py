@@ -125,7 +125,7 @@ def aggregate_masks(pairs: DataFrame) -> DataFrame:
     return (
         pairs.filter(inside)
         .groupBy("detection_id", F.col("b_no").alias("candidate_no"))
-        .agg(F.count(F.lit(1)).alias("n_inside"), F.sum("a_area").alias("area_inside"), F.first("b_area").alias("own_area"))
+        .agg(F.count("*").alias("n_inside"), F.sum("a_area").alias("area_inside"), F.first("b_area").alias("own_area"))
         .filter((F.col("n_inside") >= CHILDREN_NEEDED) & (F.col("area_inside") > F.col("own_area") * CHILDREN_SHARE))
         .drop("own_area")
     )

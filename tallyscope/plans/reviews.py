@@ -96,7 +96,7 @@ def _(m: Model) -> DataFrame:
     )
     order = [(F.col("area_px"), False), (F.col("mask_key"), True), (F.col("candidate_no"), True)]
     placed = Blocks(["viewpoint_id"], [(F.col("area_px"), False)], order).row_number(kept, "pos")
-    counts = kept.groupBy("viewpoint_id").agg(F.count(F.lit(1)).alias("n_kept"))
+    counts = kept.groupBy("viewpoint_id").agg(F.count("*").alias("n_kept"))
     return placed.join(counts, "viewpoint_id").select("viewpoint_id", "mask_key", "area_px", (F.col("pos") - 1).alias("pos"), "n_kept", "mask_cls")
 
 
@@ -257,7 +257,7 @@ def history(m: Model) -> DataFrame:
 )
 def _(m: Model) -> DataFrame:
     latest = rv.latest_per_image(history(m), ["batch_id", "image_id"]).select("batch_id", "image_id", "detection_id")
-    n = m.stored.groupBy("detection_id").agg(F.count_if("passed").alias("n_passed"), F.count(F.lit(1)).alias("n_masks"))
+    n = m.stored.groupBy("detection_id").agg(F.count_if("passed").alias("n_passed"), F.count("*").alias("n_masks"))
     return latest.join(n, "detection_id", "left").fillna(0, ["n_passed", "n_masks"])
 
 

@@ -25,7 +25,7 @@ if __name__ == "__main__":
         try:
             why, count = problems(spark, con, folder, QUERIES[n], ORACLES.get(n))
         except Exception as e:  # noqa: BLE001
-            why, count = f"{type(e).__name__}: {str(e)[:900]}", -1
+            why, count = f"{type(e).__name__}: {str(e).split(chr(10))[0][:500]}", -1
         bad += bool(why)
         print(f"{'FAIL' if why else 'ok  '} {n} rows={count} {time.time() - t:.1f}s {'' if n in ORACLES else '(no sql)'} {why}", flush=True)
     print(f"{len(names) - bad} of {len(names)} good")
