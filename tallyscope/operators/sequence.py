@@ -3,6 +3,8 @@
 A plain window puts a whole key into one task. Here each key is cut into *blocks*: columns that never decrease along
 the order (a range of sequence numbers, a day, an exact leading sort value). Windows run inside (key, block); one summary
 row per block is aggregated map-side, and only those summaries meet in a window over the key.
+
+Every method reads its input twice (once for the summaries), so a chain of them should be cut with a checkpoint.
 """
 
 from __future__ import annotations
@@ -48,65 +50,66 @@ class Blocks:
         tagged = self.tag(df).withColumn("_v", value)
         sums = tagged.groupBy(*self.keys, *self.names).agg(F.sum("_v").alias("_bsum"))
         sums = sums.withColumn(
-            "_before", F.sum("_bsum").over(self.across.rowsBetween(Window.unboundedPreceding, -1))
+            "_blk_before", F.sum("_bsum").over(self.across.rowsBetween(Window.unboundedPreceding, -1))
         ).drop("_bsum")
         inside = F.sum("_v").over(self.inside.rowsBetween(Window.unboundedPreceding, 0))
         return (
             self._join(tagged, sums)
-            .withColumn(out, F.coalesce(F.col("_before"), F.lit(0)) + F.coalesce(inside, F.lit(0)))
-            .drop("_v", "_before", *self.names)
+            .withColumn(out, F.coalesce(F.col("_blk_before"), F.lit(0)) + F.coalesce(inside, F.lit(0)))
+            .drop("_v", "_blk_before", *self.names)
         )
 
     def row_number(self, df: DataFrame, out: str) -> DataFrame:
         """1-based position inside the key."""
         tagged = self.tag(df)
         sums = tagged.groupBy(*self.keys, *self.names).agg(F.count("*").alias("_bn"))
-        sums = sums.withColumn("_before", F.sum("_bn").over(self.across.rowsBetween(Window.unboundedPreceding, -1))).drop("_bn")
+        sums = sums.withColumn("_blk_before", F.sum("_bn").over(self.across.rowsBetween(Window.unboundedPreceding, -1))).drop("_bn")
         return (
             self._join(tagged, sums)
-            .withColumn(out, (F.coalesce(F.col("_before"), F.lit(0)) + F.row_number().over(self.inside)).cast("bigint"))
-            .drop("_before", *self.names)
+            .withColumn(out, (F.coalesce(F.col("_blk_before"), F.lit(0)) + F.row_number().over(self.inside)).cast("bigint"))
+            .drop("_blk_before", *self.names)
         )
 
-    def _edge(self, tagged: DataFrame, value: Column, last: bool, skip: Column | None = None) -> DataFrame:
-        """The value of the last (or first) row of every block, by an order struct with map-side aggregation."""
-        cols = _pairs(self.order)
-        if not all(up for _, up in cols):
-            raise ValueError("edges need an ascending order")
-        rank = F.struct(*[c for c, _ in cols])
-        src = tagged if skip is None else tagged.filter(skip)
-        pick = F.max_by(value, rank) if last else F.min_by(value, rank)
-        return src.groupBy(*self.keys, *self.names).agg(pick.alias("_edge"))
-
     def previous(self, df: DataFrame, cols: dict[str, str]) -> DataFrame:
         """Add for each ``source -> out`` the value of the previous row of the key (null on the first)."""
-        return self._neighbour(df, cols, back=True)
+        return self.neighbours(df, before=cols)
 
     def following(self, df: DataFrame, cols: dict[str, str]) -> DataFrame:
         """As ``previous``, with the next row."""
-        return self._neighbour(df, cols, back=False)
-
-    def _neighbour(self, df: DataFrame, cols: dict[str, str], back: bool) -> DataFrame:
-        tagged = self.tag(df).withColumn("_row", F.struct(*cols))
-        step = F.lag if back else F.lead
-        edge = self._edge(tagged, F.col("_row"), last=back)
-        edge = edge.withColumn("_near", step("_edge").over(self.across)).drop("_edge")
-        got = self._join(tagged, edge).withColumn("_got", F.coalesce(step("_row").over(self.inside), F.col("_near")))
-        return got.withColumns({out: F.col(f"_got.{src}") for src, out in cols.items()}).drop(
-            "_row", "_near", "_got", *self.names
-        )
+        return self.neighbours(df, after=cols)
 
-    def carry(self, df: DataFrame, out: str, value: Column) -> DataFrame:
-        """The last non-null ``value`` at or before this row."""
+    def neighbours(self, df: DataFrame, before: dict[str, str] | None = None, after: dict[str, str] | None = None) -> DataFrame:
+        """Values of the previous and of the next row, with one summary of the blocks for both."""
+        before, after = before or {}, after or {}
+        tagged = self.tag(df)
+        rank = F.struct(*[c for c, _ in _pairs(self.order)])
+        if not all(up for _, up in _pairs(self.order)):
+            raise ValueError("neighbours need an ascending order")
+        jobs = [(before, F.lag, F.max_by, "_blk_b"), (after, F.lead, F.min_by, "_blk_a")]
+        jobs = [j for j in jobs if j[0]]
+        for cols, _, _, name in jobs:
+            tagged = tagged.withColumn(name, F.struct(*cols))
+        edges = tagged.groupBy(*self.keys, *self.names).agg(*[pick(name, rank).alias(name + "e") for _, _, pick, name in jobs])
+        edges = edges.withColumns({name + "n": step(name + "e").over(self.across) for _, step, _, name in jobs})
+        got = self._join(tagged, edges.drop(*[name + "e" for *_, name in jobs]))
+        for cols, step, _, name in jobs:
+            got = got.withColumn(name, F.coalesce(step(name).over(self.inside), F.col(name + "n")))
+        for cols, _, _, name in jobs:
+            got = got.withColumns({out: F.col(f"{name}.{src}") for src, out in cols.items()}).drop(name, name + "n")
+        return got.drop(*self.names)
+
+    def carry(self, df: DataFrame, out: str, value: Column, strict: bool = False) -> DataFrame:
+        """The last non-null ``value`` at or before this row, or only before it when ``strict``."""
         tagged = self.tag(df).withColumn("_v", value)
         blocks = tagged.groupBy(*self.keys, *self.names).agg(
             F.max_by(F.col("_v"), F.when(F.col("_v").isNotNull(), F.struct(*[c for c, _ in _pairs(self.order)]))).alias("_edge")
         )
         blocks = blocks.withColumn(
-            "_near", F.last("_edge", ignorenulls=True).over(self.across.rowsBetween(Window.unboundedPreceding, -1))
+            "_blk_near", F.last("_edge", ignorenulls=True).over(self.across.rowsBetween(Window.unboundedPreceding, -1))
         ).drop("_edge")
-        here = F.last("_v", ignorenulls=True).over(self.inside.rowsBetween(Window.unboundedPreceding, 0))
-        return self._join(tagged, blocks).withColumn(out, F.coalesce(here, F.col("_near"))).drop("_v", "_near", *self.names)
+        frame = self.inside.rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+        here = F.last("_v", ignorenulls=True).over(frame)
+        return self._join(tagged, blocks).withColumn(out, F.coalesce(here, F.col("_blk_near"))).drop("_v", "_blk_near", *self.names)
 
 
 def ranges(col: str, width: int = 65536) -> tuple[Column, bool]:
