@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from tallyscope.plans import catalogue, reviews, rollups, series, verdicts  # noqa: F401
+from tallyscope.plans import catalogue, merges, reviews, rollups, series, verdicts  # noqa: F401
 from tallyscope.plans.base import ORACLES, QUERIES  # noqa: F401
