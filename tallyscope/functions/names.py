@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Functions of this module travel to the workers whole, so that these need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Misspelt genera and their correct form, the pattern of an epithet, German letters, the class of interest.
 GENUS_FIX = {
     "Raphoneis": "Rhaphoneis",

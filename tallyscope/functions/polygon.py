@@ -58,25 +58,33 @@ def polygon_bbox(poly: Column) -> Column:
     )
 
 
-def polygon_moments(es: Column) -> Column:
-    """Centre and second central area moments from the edges: struct (cx, cy, m20, m02, m11), null when flat."""
-    ar = _total(es, lambda e: e["c"]) / 2
-    cx = _total(es, lambda e: (e["x0"] + e["x1"]) * e["c"]) / (ar * 6)
-    cy = _total(es, lambda e: (e["y0"] + e["y1"]) * e["c"]) / (ar * 6)
-    xx = _total(es, lambda e: e["c"] * (e["x0"] * e["x0"] + e["x0"] * e["x1"] + e["x1"] * e["x1"]))
-    yy = _total(es, lambda e: e["c"] * (e["y0"] * e["y0"] + e["y0"] * e["y1"] + e["y1"] * e["y1"]))
-    xy = _total(
-        es,
-        lambda e: e["c"] * (e["x0"] * e["y0"] * 2 + e["x0"] * e["y1"] + e["x1"] * e["y0"] + e["x1"] * e["y1"] * 2),
+def moment_sums(es: Column) -> Column:
+    """The six edge sums the moments are made of. Keep them in a column of their own: each is used several times."""
+    return F.array(
+        _total(es, lambda e: e["c"]),
+        _total(es, lambda e: (e["x0"] + e["x1"]) * e["c"]),
+        _total(es, lambda e: (e["y0"] + e["y1"]) * e["c"]),
+        _total(es, lambda e: e["c"] * (e["x0"] * e["x0"] + e["x0"] * e["x1"] + e["x1"] * e["x1"])),
+        _total(es, lambda e: e["c"] * (e["y0"] * e["y0"] + e["y0"] * e["y1"] + e["y1"] * e["y1"])),
+        _total(
+            es,
+            lambda e: e["c"] * (e["x0"] * e["y0"] * 2 + e["x0"] * e["y1"] + e["x1"] * e["y0"] + e["x1"] * e["y1"] * 2),
+        ),
     )
+
+
+def polygon_moments(sums: Column) -> Column:
+    """Centre and second central area moments from ``moment_sums``: struct (cx, cy, m20, m02, m11), null when flat."""
+    ar = sums[0] / 2
+    cx, cy = sums[1] / (ar * 6), sums[2] / (ar * 6)
     return F.when(
         F.abs(ar) >= 1e-9,
         F.struct(
             cx.alias("cx"),
             cy.alias("cy"),
-            (xx / (ar * 12) - cx * cx).alias("m20"),
-            (yy / (ar * 12) - cy * cy).alias("m02"),
-            (xy / (ar * 24) - cx * cy).alias("m11"),
+            (sums[3] / (ar * 12) - cx * cx).alias("m20"),
+            (sums[4] / (ar * 12) - cy * cy).alias("m02"),
+            (sums[5] / (ar * 24) - cx * cy).alias("m11"),
         ),
     )
 

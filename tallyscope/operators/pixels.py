@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Functions of this module travel to the workers whole, so that these need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The period of the searched structure in micrometres, and the least sizes that carry a spectrum.
 PERIOD_UM = (0.4, 1.6)
 MIN_SIDE, MIN_PIXELS, MIN_BAND, MIN_PERIOD_PX = 16, 100, 20, 2.5

@@ -2,84 +2,132 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyscope.functions import polygon as pg
 
+# Functions of this module travel to the workers whole, so that these need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 HULL = T.StructType([T.StructField(n, T.DoubleType()) for n in ("hull_area", "hull_perimeter", "ellipse_overlap", "ellipse_area")])
 ELLIPSE_CORNERS = 72
 
 
-def _ring(points: np.ndarray) -> tuple[float, float]:
-    """(area, perimeter) of a closed ring."""
-    nxt = np.roll(points, -1, axis=0)
-    cross = points[:, 0] * nxt[:, 1] - nxt[:, 0] * points[:, 1]
-    return abs(cross.sum()) / 2, float(np.hypot(*(nxt - points).T).sum())
-
-
-def _hull(points: np.ndarray) -> np.ndarray:
-    """Corners of the convex hull, found by turning from corner to corner."""
-    pts = np.unique(points, axis=0)
-    at, out = 0, []
-    while len(pts) > 2 and (not out or at != out[0]):
-        out.append(at)
-        rel = pts - pts[at]
-        best = (at + 1) % len(pts)
-        for i in range(len(pts)):
-            turn = rel[best, 0] * rel[i, 1] - rel[best, 1] * rel[i, 0]
-            farther = (rel[i] ** 2).sum() > (rel[best] ** 2).sum()
-            if i != at and (turn < 0 or (turn == 0 and farther)):
-                best = i
-        at = best
-        if len(out) > len(pts):
-            break
-    return pts[out] if out else pts
-
-
-def _overlap(points: np.ndarray, corners: np.ndarray) -> float:
-    """Area of a polygon inside a convex one (corners counter-clockwise): cut by one side after the other."""
-    p = points
-    for a, b in zip(corners, np.roll(corners, -1, axis=0)):
-        if len(p) == 0:
-            return 0.0
-        d = (b[0] - a[0]) * (p[:, 1] - a[1]) - (b[1] - a[1]) * (p[:, 0] - a[0])
-        q, e = np.roll(p, -1, axis=0), np.roll(d, -1)
-        crossing = (d >= 0) != (e >= 0)
-        t = np.divide(d, d - e, out=np.zeros_like(d), where=crossing)
-        cut = p + t[:, None] * (q - p)
-        keep = np.stack([d >= 0, crossing], axis=1).ravel()
-        p = np.stack([p, cut], axis=1).reshape(-1, 2)[keep]
-    return _ring(p)[0] if len(p) else 0.0
+def _hull(points: list[tuple[float, float]]) -> tuple[float, float]:
+    """(area, perimeter) of the convex hull, found by turning from corner to corner."""
+    pts = sorted(set(points))
+    ring: list[tuple[float, float]] = []
+    at = pts[0]
+    while at not in ring and len(pts) > 2:
+        ring.append(at)
+        ax, ay = at
+        bx = by = None
+        for x, y in pts:
+            if (x, y) == at:
+                continue
+            if bx is None:
+                bx, by = x, y
+                continue
+            turn = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+            if turn < 0 or (turn == 0 and (x - ax) ** 2 + (y - ay) ** 2 > (bx - ax) ** 2 + (by - ay) ** 2):
+                bx, by = x, y
+        at = (bx, by)
+    area = length = 0.0
+    for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1]):
+        area += x0 * y1 - x1 * y0
+        length += ((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5
+    return abs(area) / 2, length
+
+
+def _signed(edges: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Signed area each polygon shares with the regular 72-gon in the unit circle, all edges of a batch at once.
+
+    ``edges``: rows (x0, y0, x1, y1) in the frame where the ellipse is the unit circle; ``owner``: polygon of each edge.
+    An edge spans a triangle with the centre. Seen from there it falls into the sectors of the 72-gon, and in each of
+    them what lies inside is a triangle, a piece of the sector, or one of each; signed sums over the edges give the area.
+    """
+    p, q = edges[:, 0:2], edges[:, 2:4]
+    sign = np.sign(p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1])
+    flip = (sign < 0)[:, None]
+    p, q = np.where(flip, q, p), np.where(flip, p, q)
+    start = np.arctan2(p[:, 1], p[:, 0])
+    sweep = np.mod(np.arctan2(q[:, 1], q[:, 0]) - start, 2 * np.pi)
+    step = 2 * np.pi / ELLIPSE_CORNERS
+    # An edge seen from the centre sweeps less than half a turn, so it meets at most half of the sectors and one more.
+    k = np.floor(start / step)[:, None] + np.arange(ELLIPSE_CORNERS // 2 + 1)[None, :]
+    lo = np.maximum(k * step, start[:, None])
+    hi = np.minimum((k + 1) * step, (start + sweep)[:, None])
+    seen = (hi > lo) & (sign != 0)[:, None]
+    normal = np.stack([q[:, 1] - p[:, 1], p[:, 0] - q[:, 0]], axis=1)
+    dist = (normal * p).sum(axis=1)
+    middle, apothem = (k + 0.5) * step, np.cos(step / 2)
+
+    def reach(angle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            line = dist[:, None] / (normal[:, :1] * np.cos(angle) + normal[:, 1:] * np.sin(angle))
+        return np.where(np.isfinite(line) & (line > 0), line, np.inf), apothem / np.cos(angle - middle)
+
+    def wedge(r0: np.ndarray, r1: np.ndarray, angle: np.ndarray) -> np.ndarray:
+        return 0.5 * r0 * r1 * np.sin(angle)
+
+    (l0, c0), (l1, c1) = reach(lo), reach(hi)
+    in0, in1 = l0 <= c0, l1 <= c1
+    # Where the edge crosses the chord of the sector inside it.
+    nx, ny = np.cos(middle), np.sin(middle)
+    det = normal[:, :1] * ny - normal[:, 1:] * nx
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cx = (dist[:, None] * ny - normal[:, 1:] * apothem) / det
+        cy = (normal[:, :1] * apothem - dist[:, None] * nx) / det
+    mixed = in0 != in1
+    rc = np.where(mixed, np.hypot(cx, cy), 0.0)
+    at = np.where(mixed, lo + np.mod(np.arctan2(cy, cx) - lo, 2 * np.pi), lo)
+    r0, r1 = np.where(in0, l0, c0), np.where(in1, l1, c1)
+    piece = np.where(mixed, wedge(r0, rc, at - lo) + wedge(rc, r1, hi - at), wedge(r0, r1, hi - lo))
+    total = np.where(seen, piece, 0.0).sum(axis=1) * sign
+    return np.bincount(owner, weights=total, minlength=n)
 
 
 @F.pandas_udf(HULL)
 def _hull_and_overlap(poly: pd.Series, cx: pd.Series, cy: pd.Series, a: pd.Series, b: pd.Series, deg: pd.Series) -> pd.DataFrame:
-    turn = np.arange(ELLIPSE_CORNERS) * (2 * np.pi / ELLIPSE_CORNERS)
-    rows = []
-    for flat, x, y, ea, eb, angle in zip(poly, cx, cy, a, b, deg):
+    n = len(poly)
+    out = np.full((n, 4), np.nan)
+    shapes, owner = [], []
+    for i, flat in enumerate(poly):
         if flat is None or len(flat) < 6:
-            rows.append((None, None, None, None))
             continue
         pts = np.asarray(flat[: len(flat) // 2 * 2], dtype=float).reshape(-1, 2)
-        area, length = _ring(_hull(pts))
-        if ea is None or np.isnan(ea):
-            rows.append((area, length, None, None))
-            continue
-        r = np.radians(angle)
-        ex, ey = ea * np.cos(turn), eb * np.sin(turn)
-        ring = np.stack([x + ex * np.cos(r) - ey * np.sin(r), y + ex * np.sin(r) + ey * np.cos(r)], axis=1)
-        rows.append((area, length, _overlap(pts, ring), _ring(ring)[0]))
-    return pd.DataFrame(rows, columns=HULL.names, dtype=float)
+        out[i, :2] = _hull([tuple(p) for p in pts.tolist()])
+        if not np.isnan(a[i]) and b[i] > 0:
+            r = np.radians(deg[i])
+            d = pts - (cx[i], cy[i])
+            u = np.stack([(d[:, 0] * np.cos(r) + d[:, 1] * np.sin(r)) / a[i], (d[:, 1] * np.cos(r) - d[:, 0] * np.sin(r)) / b[i]], axis=1)
+            shapes.append(np.hstack([u, np.roll(u, -1, axis=0)]))
+            owner.append(np.full(len(u), i))
+    if shapes:
+        edges, who = np.concatenate(shapes), np.concatenate(owner)
+        share = np.zeros(n)
+        # Blocks of edges keep the sector table of one step small.
+        for at in range(0, len(edges), 20_000):
+            share += _signed(edges[at : at + 20_000], who[at : at + 20_000], n)
+        scale = (a * b).to_numpy(dtype=float)
+        ring = ELLIPSE_CORNERS / 2 * np.sin(2 * np.pi / ELLIPSE_CORNERS)
+        has = np.isfinite(scale) & np.isin(np.arange(n), who)
+        out[has, 2], out[has, 3] = np.abs(share[has]) * scale[has], ring * scale[has]
+    return pd.DataFrame(out, columns=HULL.names).astype(object).where(~np.isnan(out), None)
 
 
 def basic_measures(df: DataFrame, polygon: str) -> DataFrame:
     """Add area, perimeter, box and the ellipse of equal moments; all by column expressions."""
     staged = df.withColumn("_edges", F.when(pg.is_polygon(F.col(polygon)), pg.edges(F.col(polygon))))
-    staged = staged.withColumn("_m", pg.polygon_moments(F.col("_edges"))).withColumn("_e", pg.fit_ellipse(F.col("_m")))
+    staged = staged.withColumn("_sums", pg.moment_sums(F.col("_edges")))
+    staged = staged.withColumn("_m", pg.polygon_moments(F.col("_sums"))).withColumn("_e", pg.fit_ellipse(F.col("_m")))
     return staged.withColumn("_a", pg.polygon_area(F.col(polygon))).withColumn("_p", pg.polygon_perimeter(F.col(polygon))).withColumn("_box", pg.polygon_bbox(F.col(polygon)))
 
 
@@ -110,15 +158,16 @@ def measure_polygons(df: DataFrame, polygon: str, um_per_px: Column) -> DataFram
         "long_side_um": F.round(F.greatest(*sides) * um_per_px, 3),
         "short_side_um": F.round(F.least(*sides) * um_per_px, 3),
     }
-    return s.withColumns({k: F.when(ok, v) for k, v in out.items()}).drop("_edges", "_m", "_e", "_a", "_p", "_box", "_h", "_x")
+    return s.withColumns({k: F.when(ok, v) for k, v in out.items()}).drop("_edges", "_sums", "_m", "_e", "_a", "_p", "_box", "_h", "_x")
 
 
 def crop_geometry(df: DataFrame, polygon: str) -> DataFrame:
     """Add ``rot`` (upright rotation) and the crop size ``out_w``, ``out_h`` with its margin."""
     s = df.withColumn("_edges", F.when(pg.is_polygon(F.col(polygon)), pg.edges(F.col(polygon))))
-    s = s.withColumn("_e", pg.fit_ellipse(pg.polygon_moments(F.col("_edges")))).withColumn("rot", pg.upright_angle(F.col("_e")))
+    s = s.withColumn("_sums", pg.moment_sums(F.col("_edges")))
+    s = s.withColumn("_m", pg.polygon_moments(F.col("_sums"))).withColumn("_e", pg.fit_ellipse(F.col("_m"))).withColumn("rot", pg.upright_angle(F.col("_e")))
     s = s.withColumn("_c", pg.crop_size(pg.rotated_extent(F.col(polygon), F.col("rot"))))
-    return s.withColumn("out_w", F.col("_c.out_w")).withColumn("out_h", F.col("_c.out_h")).drop("_edges", "_e", "_c")
+    return s.withColumn("out_w", F.col("_c.out_w")).withColumn("out_h", F.col("_c.out_h")).drop("_edges", "_sums", "_m", "_e", "_c")
 
 
 def tighten_boxes(candidates: DataFrame, um_per_px: Column) -> DataFrame:

@@ -98,7 +98,7 @@ def observation_stream(m: Model) -> DataFrame:
 
 @query("folder_arrivals_stream", "SELECT * FROM states", *FOLDERS)
 def _(m: Model) -> DataFrame:
-    written = fo.run_to_end(fo.watch(observation_stream(m)), m.spark)
+    written = fo.run_to_end(fo.watch(observation_stream(m), forget=False), m.spark)
     return with_state(fo.latest(written))
 
 

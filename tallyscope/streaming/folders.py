@@ -5,10 +5,12 @@ The stream keeps one small state per folder; ``settled`` is the same rule over a
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -16,6 +18,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tallyscope.operators.sequence import Blocks
 from tallyscope.session import use_shared_checkpoints
 
+# Functions of this module travel to the workers whole, so that these need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Minutes without change that make a folder new, minutes its newest file must be old, days until a vanished
 # folder is forgotten.
 STABLE_MIN, QUIET_MIN, FORGET_DAYS = 5.0, 1.0, 30
@@ -52,10 +57,13 @@ def settled(seen: DataFrame) -> DataFrame:
 
 
 class FolderWatch(StatefulProcessor):
-    """Holds signature and since per folder; a folder not seen for a month is forgotten by its TTL."""
+    """Holds signature and since per folder; with ``forget``, a folder not seen for a month is dropped by its TTL."""
+
+    def __init__(self, forget: bool):
+        self.ttl = FORGET_DAYS * 86_400_000 if forget else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("folder", STATE, FORGET_DAYS * 86_400_000)
+        self.state = handle.getValueState("folder", STATE, self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         # The observations of one folder in one micro-batch: one a minute, so a handful.
@@ -73,10 +81,14 @@ class FolderWatch(StatefulProcessor):
         pass
 
 
-def watch(observations: DataFrame) -> DataFrame:
-    """A stream of observations to a stream of folder states (one row per folder and micro-batch)."""
+def watch(observations: DataFrame, forget: bool = True) -> DataFrame:
+    """A stream of observations to a stream of folder states (one row per folder and micro-batch).
+
+    Forgetting needs processing time, and with it a query has work to do at every trigger: a stream that is to end once
+    its input is read must not forget.
+    """
     keyed = observations.withColumn("signature", signature()).groupBy("folder_id")
-    return keyed.transformWithStateInPandas(FolderWatch(), OUT, "update", "none")
+    return keyed.transformWithStateInPandas(FolderWatch(forget), OUT, "update", "ProcessingTime" if forget else "None")
 
 
 def run_to_end(stream: DataFrame, spark: SparkSession, mode: str = "update") -> DataFrame:
