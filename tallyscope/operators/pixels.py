@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -57,15 +58,22 @@ def fusion_gain(pixels: DataFrame, depth: DataFrame) -> DataFrame:
     return j.withColumn("gain", F.col("fused") / F.greatest(F.col("best_single"), F.lit(1e-6)))
 
 
-@F.pandas_udf(T.DoubleType())
-def texture_score(gray: pd.Series, mask: pd.Series, width: pd.Series, um_per_px: pd.Series) -> pd.Series:
-    """Peak over median spectral energy in the band of the structure; 0 when the mask is too small to tell."""
-    out = []
-    for g, m, w, um in zip(gray, mask, width, um_per_px):
-        img = np.asarray(g, dtype=np.float32).reshape(-1, int(w))
-        inside = np.asarray(m, dtype=bool).reshape(img.shape)
-        out.append(_score(img, inside, um))
-    return pd.Series(out)
+def texture_score(pictures: DataFrame, keep: list[str]) -> DataFrame:
+    """Peak over median spectral energy in the band of the structure; 0 when the mask is too small to tell.
+
+    ``pictures``: keep, gray and mask (flat arrays), width, um_per_px.
+    """
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            values = []
+            for g, m, w, um in zip(b["gray"], b["mask"], b["width"], b["um_per_px"]):
+                img = np.asarray(g, dtype=np.float32).reshape(-1, int(w))
+                values.append(_score(img, np.asarray(m, dtype=bool).reshape(img.shape), um))
+            yield b[keep].assign(texture=values)
+
+    rows = pictures.select(*keep, "gray", "mask", "width", "um_per_px")
+    return rows.mapInPandas(score, rows.select(*keep).schema.add("texture", T.DoubleType()))
 
 
 def _score(img: np.ndarray, inside: np.ndarray, um: float) -> float:
@@ -88,12 +96,17 @@ def _score(img: np.ndarray, inside: np.ndarray, um: float) -> float:
     return float(band.max() / middle) if middle > 0 else 0.0
 
 
-@F.pandas_udf(T.DoubleType())
-def image_sharpness(gray: pd.Series, width: pd.Series) -> pd.Series:
-    """Variance of the Laplacian; borders mirror the inner pixels."""
-    out = []
-    for g, w in zip(gray, width):
-        p = np.pad(np.asarray(g, dtype=np.float64).reshape(-1, int(w)), 1, mode="reflect")
-        lap = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]
-        out.append(float(lap.var()))
-    return pd.Series(out)
+def image_sharpness(pictures: DataFrame, keep: list[str]) -> DataFrame:
+    """Variance of the Laplacian; borders mirror the inner pixels. ``pictures``: keep, gray (a flat array), width."""
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            values = []
+            for g, w in zip(b["gray"], b["width"]):
+                p = np.pad(np.asarray(g, dtype=np.float64).reshape(-1, int(w)), 1, mode="reflect")
+                lap = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]
+                values.append(float(lap.var()))
+            yield b[keep].assign(sharpness=values)
+
+    rows = pictures.select(*keep, "gray", "width")
+    return rows.mapInPandas(score, rows.select(*keep).schema.add("sharpness", T.DoubleType()))

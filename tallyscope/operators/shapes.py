@@ -16,7 +16,8 @@ from tallyscope.functions import polygon as pg
 # Functions of this module travel to the workers whole, so that these need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-HULL = T.StructType([T.StructField(n, T.DoubleType()) for n in ("hull_area", "hull_perimeter", "ellipse_overlap", "ellipse_area")])
+FIGURES = "area perimeter hull_area hull_perimeter a b overlap ellipse_area box_w box_h turned_w turned_h".split()
+SHAPE = T.StructType([T.StructField(n, T.DoubleType()) for n in FIGURES])
 ELLIPSE_CORNERS = 72
 
 
@@ -94,33 +95,63 @@ def _signed(edges: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner, weights=total, minlength=n)
 
 
-@F.pandas_udf(HULL)
-def _hull_and_overlap(poly: pd.Series, cx: pd.Series, cy: pd.Series, a: pd.Series, b: pd.Series, deg: pd.Series) -> pd.DataFrame:
-    n = len(poly)
-    out = np.full((n, 4), np.nan)
-    shapes, owner = [], []
-    for i, flat in enumerate(poly):
-        if flat is None or len(flat) < 6:
-            continue
-        pts = np.asarray(flat[: len(flat) // 2 * 2], dtype=float).reshape(-1, 2)
-        out[i, :2] = _hull([tuple(p) for p in pts.tolist()])
-        if not np.isnan(a[i]) and b[i] > 0:
-            r = np.radians(deg[i])
-            d = pts - (cx[i], cy[i])
-            u = np.stack([(d[:, 0] * np.cos(r) + d[:, 1] * np.sin(r)) / a[i], (d[:, 1] * np.cos(r) - d[:, 0] * np.sin(r)) / b[i]], axis=1)
-            shapes.append(np.hstack([u, np.roll(u, -1, axis=0)]))
-            owner.append(np.full(len(u), i))
-    if shapes:
-        edges, who = np.concatenate(shapes), np.concatenate(owner)
-        share = np.zeros(n)
-        # Blocks of edges keep the sector table of one step small.
-        for at in range(0, len(edges), 20_000):
-            share += _signed(edges[at : at + 20_000], who[at : at + 20_000], n)
-        scale = (a * b).to_numpy(dtype=float)
-        ring = ELLIPSE_CORNERS / 2 * np.sin(2 * np.pi / ELLIPSE_CORNERS)
-        has = np.isfinite(scale) & np.isin(np.arange(n), who)
-        out[has, 2], out[has, 3] = np.abs(share[has]) * scale[has], ring * scale[has]
-    return pd.DataFrame(out, columns=HULL.names).astype(object).where(~np.isnan(out), None)
+@F.pandas_udf(SHAPE)
+def _figures(polygons: pd.Series) -> pd.DataFrame:
+    """Measures of a batch of flat polygons; the edges of all of them are handled as one table."""
+    n = len(polygons)
+    out = pd.DataFrame(np.nan, index=range(n), columns=FIGURES)
+    good = [i for i, f in enumerate(polygons) if f is not None and len(f) >= 6]
+    if not good:
+        return out
+    rings = [np.asarray(polygons[i], dtype=float)[: len(polygons[i]) // 2 * 2].reshape(-1, 2) for i in good]
+    size = np.array([len(r) for r in rings])
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    who = np.repeat(np.arange(len(rings)), size)
+    p = np.concatenate(rings)
+    q = np.concatenate([np.roll(r, -1, axis=0) for r in rings])
+
+    def total(v: np.ndarray) -> np.ndarray:
+        return np.bincount(who, weights=v, minlength=len(rings))
+
+    (x0, y0), (x1, y1) = p.T, q.T
+    c = x0 * y1 - x1 * y0
+    area = total(c) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cx, cy = total((x0 + x1) * c) / (6 * area), total((y0 + y1) * c) / (6 * area)
+        m20 = total(c * (x0 * x0 + x0 * x1 + x1 * x1)) / (12 * area) - cx * cx
+        m02 = total(c * (y0 * y0 + y0 * y1 + y1 * y1)) / (12 * area) - cy * cy
+        m11 = total(c * (2 * x0 * y0 + x0 * y1 + x1 * y0 + 2 * x1 * y1)) / (24 * area) - cx * cy
+    spread = np.hypot(m20 - m02, 2 * m11)
+    big, small = (m20 + m02 + spread) / 2, (m20 + m02 - spread) / 2
+    fits = (np.abs(area) >= 1e-9) & (big > 1e-9)
+    with np.errstate(invalid="ignore"):
+        a, b = 2 * np.sqrt(big), 2 * np.sqrt(np.maximum(small, 0))
+    turn = np.where(fits, 0.5 * np.arctan2(2 * m11, m20 - m02), 0.0)
+    # Turned back by the angle of the ellipse: the upright frame of the sides, and of the overlap.
+    cos, sin = np.cos(turn)[who], np.sin(turn)[who]
+    frame = np.stack([x0 * cos + y0 * sin, y0 * cos - x0 * sin], axis=1)
+    turned = np.maximum.reduceat(frame, first) - np.minimum.reduceat(frame, first)
+    low, high = np.floor(np.minimum.reduceat(p, first)), np.ceil(np.maximum.reduceat(p, first))
+    box = np.maximum(1, high - low)
+    round_ = fits & (b > 0)
+    centre = np.stack([cx * np.cos(turn) + cy * np.sin(turn), cy * np.cos(turn) - cx * np.sin(turn)], axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        unit = (frame - centre[who]) / np.stack([a, b], axis=1)[who]
+    ahead = np.arange(len(p)) + 1
+    ahead[first + size - 1] = first
+    edges = np.hstack([unit, unit[ahead]])[round_[who]]
+    share, owner = np.zeros(len(rings)), who[round_[who]]
+    # Blocks of edges keep the sector table of one step small.
+    for at in range(0, len(edges), 20_000):
+        share += _signed(edges[at : at + 20_000], owner[at : at + 20_000], len(rings))
+    whole = ELLIPSE_CORNERS / 2 * np.sin(2 * np.pi / ELLIPSE_CORNERS)
+    hulls = np.array([_hull([tuple(v) for v in r.tolist()]) for r in rings])
+    cols = [np.abs(area), total(np.hypot(x1 - x0, y1 - y0)), hulls[:, 0], hulls[:, 1]]
+    cols += [np.where(fits, v, np.nan) for v in (a, b)]
+    cols += [np.where(round_, v * a * b, np.nan) for v in (np.abs(share), whole)]
+    cols += [box[:, 0], box[:, 1], *[np.where(fits, turned[:, i], np.nan) for i in (0, 1)]]
+    out.iloc[good] = np.stack(cols, axis=1)
+    return out
 
 
 def basic_measures(df: DataFrame, polygon: str) -> DataFrame:
@@ -134,31 +165,29 @@ def basic_measures(df: DataFrame, polygon: str) -> DataFrame:
 def measure_polygons(df: DataFrame, polygon: str, um_per_px: Column) -> DataFrame:
     """Add the measures of a mask drawn or edited by a person; null where a shape cannot be measured.
 
-    Hull and ellipse overlap come from one Arrow batch function, everything else stays in column expressions.
+    Hull and ellipse overlap have no column expression, and walking the corners in one is interpreted row by row; so one
+    Arrow batch function gives the raw figures, and the measures are made of them here.
     """
-    s = basic_measures(df, polygon)
-    s = s.withColumn("_h", _hull_and_overlap(F.col(polygon), "_m.cx", "_m.cy", "_e.a", "_e.b", "_e.deg"))
-    s = s.withColumn("_x", pg.rotated_extent(F.col(polygon), -F.col("_e.deg")))
-    a, p, one = F.col("_a"), F.col("_p"), F.lit(1.0)
-    ok = a > 0
-    union = a + F.col("_h.ellipse_area") - F.col("_h.ellipse_overlap")
-    flat = F.col("_e.b") > 1e-9
-    sides = [F.col("_x.w"), F.col("_x.h")]
+    s = df.withColumn("_f", _figures(F.col(polygon)))
+    f = {n: F.nanvl(F.col(f"_f.{n}"), F.lit(None).cast("double")) for n in FIGURES}
+    one = F.lit(1.0)
+    ok = f["area"] > 0
+    union = f["area"] + f["ellipse_area"] - f["overlap"]
     out = {
-        "area_px": F.rint(a).cast("bigint"),
-        "fill_ratio": F.round(a / (F.col("_box.w") * F.col("_box.h")), 4),
-        "circularity": F.round(F.least(one, a * (4 * np.pi) / (p * p)), 4),
-        "solidity": F.round(F.least(one, a / F.col("_h.hull_area")), 4),
-        "convexity": F.round(F.least(one, F.col("_h.hull_perimeter") / p), 4),
-        "elongation": F.when(flat, F.round(F.col("_e.a") / F.col("_e.b"), 4)),
-        "ellipse_iou": F.when(union > 0, F.round(F.col("_h.ellipse_overlap") / union, 4)),
-        "area_um2": F.round(a * um_per_px * um_per_px, 3),
-        "major_um": F.round(F.col("_e.a") * 2 * um_per_px, 3),
-        "minor_um": F.round(F.col("_e.b") * 2 * um_per_px, 3),
-        "long_side_um": F.round(F.greatest(*sides) * um_per_px, 3),
-        "short_side_um": F.round(F.least(*sides) * um_per_px, 3),
+        "area_px": F.rint(f["area"]).cast("bigint"),
+        "fill_ratio": F.round(f["area"] / (f["box_w"] * f["box_h"]), 4),
+        "circularity": F.round(F.least(one, f["area"] * (4 * np.pi) / (f["perimeter"] * f["perimeter"])), 4),
+        "solidity": F.round(F.least(one, f["area"] / f["hull_area"]), 4),
+        "convexity": F.round(F.least(one, f["hull_perimeter"] / f["perimeter"]), 4),
+        "elongation": F.when(f["b"] > 1e-9, F.round(f["a"] / f["b"], 4)),
+        "ellipse_iou": F.when(union > 0, F.round(f["overlap"] / union, 4)),
+        "area_um2": F.round(f["area"] * um_per_px * um_per_px, 3),
+        "major_um": F.round(f["a"] * 2 * um_per_px, 3),
+        "minor_um": F.round(f["b"] * 2 * um_per_px, 3),
+        "long_side_um": F.round(F.greatest(f["turned_w"], f["turned_h"]) * um_per_px, 3),
+        "short_side_um": F.round(F.least(f["turned_w"], f["turned_h"]) * um_per_px, 3),
     }
-    return s.withColumns({k: F.when(ok, v) for k, v in out.items()}).drop("_edges", "_sums", "_m", "_e", "_a", "_p", "_box", "_h", "_x")
+    return s.withColumns({k: F.when(ok, v) for k, v in out.items()}).drop("_f")
 
 
 def crop_geometry(df: DataFrame, polygon: str) -> DataFrame:

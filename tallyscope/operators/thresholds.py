@@ -93,3 +93,12 @@ def most_affected(per_detection: DataFrame, limit: int = 24, only_touched: bool
     # The head is at most half of the page, so the page is filled from a bounded number of further rows.
     numbered = rest.limit(limit).withColumn("_n", F.expr("row_number() OVER (ORDER BY slide_id, detection_id)"))
     return head.unionByName(numbered.filter(F.col("_n") + taken <= limit).drop("_n"))
+
+
+def threshold_history(runs: DataFrame, limit: int = 50) -> DataFrame:
+    """The last finished runs and, of their limits (a map ``limits``), those that differ from the defaults, as text."""
+    usual = F.create_map(*[x for k, c in Thresholds().columns().items() for x in (F.lit(k), c)])
+    changed = F.map_filter("limits", lambda k, v: F.abs(v - F.coalesce(F.try_element_at(usual, k), v)) > 1e-9)
+    text = F.array_join(F.array_sort(F.transform(F.map_entries(changed), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), " ")
+    last = runs.filter("status = 'done'").orderBy(F.col("started_at").desc(), F.col("run_id").desc()).limit(limit)
+    return last.select("run_id", text.alias("changed"))

@@ -262,10 +262,9 @@ def _(m: Model) -> DataFrame:
 
 @query(
     "threshold_history",
-    """SELECT run_id, texture_min FROM {run} WHERE status = 'done' ORDER BY started_at DESC, run_id DESC LIMIT 50""",
+    """SELECT run_id, CASE WHEN texture_min = 1000 THEN '' ELSE concat('texture_min=', texture_min) END AS changed FROM {run} WHERE status = 'done' ORDER BY started_at DESC, run_id DESC LIMIT 50""",
 )
 def _(m: Model) -> DataFrame:
-    from tallyscope.operators.rollup import recent_runs
-
-    # The last 50 finished runs is the feature; limits equal to the default would be null, but the table has one limit only.
-    return recent_runs(m.run.filter("status = 'done'"), 50).select("run_id", "texture_min")
+    # The last 50 finished runs is the feature.
+    limits = F.create_map(F.lit("texture_min"), F.col("texture_min"), F.lit("min_um"), F.lit(10.0), F.lit("max_um"), F.lit(150.0))
+    return th.threshold_history(m.run.withColumn("limits", limits))

@@ -162,9 +162,9 @@ def pictures(m: Model) -> DataFrame:
 
 @query("texture_score")
 def _(m: Model) -> DataFrame:
-    return pictures(m).select("vec_id", px.texture_score("gray", "mask", "width", F.lit(0.1126)).alias("texture"))
+    return px.texture_score(pictures(m).withColumn("um_per_px", F.lit(0.1126)), ["vec_id"])
 
 
 @query("image_sharpness")
 def _(m: Model) -> DataFrame:
-    return pictures(m).select("vec_id", px.image_sharpness("gray", "width").alias("sharpness"))
+    return px.image_sharpness(pictures(m), ["vec_id"])
