@@ -98,7 +98,7 @@ def _signed(edges: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 @F.pandas_udf(SHAPE)
 def _figures(polygons: pd.Series) -> pd.DataFrame:
     """Measures of a batch of flat polygons; the edges of all of them are handled as one table."""
-    n = len(polygons)
+    polygons, n = polygons.tolist(), len(polygons)
     out = pd.DataFrame(np.nan, index=range(n), columns=FIGURES)
     good = [i for i, f in enumerate(polygons) if f is not None and len(f) >= 6]
     if not good:
