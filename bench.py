@@ -1,6 +1,6 @@
 """Times the headline queries: python bench.py
 
-BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 4), BENCH_REPEATS (default 3, median reported after one
+BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 4), BENCH_REPEATS (default 1, median reported after one
 warm-up run). Prints one JSON line.
 """
 
@@ -42,14 +42,13 @@ HEADLINE = [
     "export_labels",
     "vocab_mentions",
     "taxon_master",
-    "measure_polygons",
 ]
 
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "4")
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "1"))
     names = os.environ.get("BENCH_QUERIES", "").split(",") if os.environ.get("BENCH_QUERIES") else HEADLINE
     spark = local_session(cpus, shuffle_partitions=max(8, int(cpus) * 2))
     times: dict[str, float] = {}

@@ -90,11 +90,17 @@ def size_background_filter(
 
 
 def collapse_boxes(df: DataFrame) -> DataFrame:
-    """One candidate per (detection, box): the larger area, then the lower number."""
+    """One candidate per (detection, box): the larger area, then the lower number.
+
+    Equal boxes are rare. Only the box columns are shuffled, to count them; the losers are then taken out by an anti join
+    against a side that is as small as the number of repeats, and the wide rows stay where they are.
+    """
     keys = ["detection_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h"]
-    rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(F.coalesce("area_px", F.lit(0)), -F.col("candidate_no")))
-    return df.groupBy(*keys).agg(best.alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns)
+    repeated = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").select(*keys)
+    rows = df.select(*keys, "candidate_no", F.coalesce("area_px", F.lit(0)).alias("area_px")).join(repeated, keys, "left_semi")
+    best = F.max_by("candidate_no", F.struct(F.col("area_px"), -F.col("candidate_no"))).alias("_best")
+    losers = rows.join(rows.groupBy(*keys).agg(best), keys).filter(F.col("candidate_no") != F.col("_best")).select("detection_id", "candidate_no")
+    return df.join(losers, ["detection_id", "candidate_no"], "left_anti").select(*df.columns)
 
 
 def covered_pairs(passing: DataFrame, max_side: int = DEFAULT_MAX_SIDE) -> DataFrame:
