@@ -21,13 +21,6 @@ PIECE = r"[^\p{L}\p{N}_]*[\p{L}\p{N}_]+"
 GENUS_WORD = r"^[A-Z][a-zA-Zé]{5,}$"
 
 
-def pieces(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """Whole texts cut into words: keys, pos, gap (the characters before the word), word."""
-    p = texts.select(*keys, F.posexplode(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))).alias("pos", "_p"))
-    word = F.regexp_extract("_p", r"([\p{L}\p{N}_]+)$", 1)
-    return p.select(*keys, "pos", F.substring(F.col("_p"), F.lit(1), F.length("_p") - F.length(word)).alias("gap"), word.alias("word"))
-
-
 def name_hits(texts: DataFrame, keep: list[str]) -> DataFrame:
     """Every binomial of whole texts with how often each text says it."""
     hit = F.explode(F.regexp_extract_all("text", F.lit(BINOMIAL), F.lit(0))).alias("binomial")

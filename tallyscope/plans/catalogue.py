@@ -10,7 +10,7 @@ from tallyscope.functions.boxes import Box, hexagon, key_to_bbox
 from tallyscope.operators import catalogue as ct
 from tallyscope.operators import review as rv
 from tallyscope.operators import thresholds as th
-from tallyscope.operators.verdict import Thresholds, classify
+from tallyscope.operators.verdict import Thresholds
 from tallyscope.plans.base import JUDGED, OVERLAY, STORED, judged as judged_sql, query
 from tallyscope.plans.reviews import SHOWN, overlay
 from tallyscope.plans.verdicts import judged
