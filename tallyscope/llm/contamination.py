@@ -27,6 +27,7 @@ from tallyscope.llm.common import WORD_BYTES, octets, pick, slices
 WIDTH = 10
 BLOCK_BYTES = 32 << 20
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+BUILT: dict[tuple, list] = {}  # by broadcast, in a worker
 HITS = "id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,stop:bigint>>"
 
 
@@ -70,7 +71,9 @@ def scan(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: s
     shared = documents.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [automaton(b, width) for b in shared.value]
+        if (shared.id, width) not in BUILT:
+            BUILT[shared.id, width] = [automaton(b, width) for b in shared.value]
+        automata = BUILT[shared.id, width]
         for batch in slices(batches, "text"):
             counts, hits, found, spans = [], [], [], []
             for raw in octets(batch.column("text")):
