@@ -14,6 +14,7 @@ text are all reported; an item without words never occurs; with no items nothing
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -27,7 +28,7 @@ from tallyscope.llm.common import WORD_BYTES, octets, pick, slices
 WIDTH = 10
 BLOCK_BYTES = 32 << 20
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-BUILT: dict[tuple, list] = {}  # by broadcast, in a worker
+BUILT: dict[str, list] = {}  # in a worker, by the scan they belong to
 HITS = "id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,stop:bigint>>"
 
 
@@ -69,11 +70,12 @@ def scan(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: s
     the original text) that the windows cover."""
     blocks = list(item_blocks(items, item_id, item_text, block_bytes))
     shared = documents.sparkSession.sparkContext.broadcast(blocks)
+    run_id = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (shared.id, width) not in BUILT:
-            BUILT[shared.id, width] = [automaton(b, width) for b in shared.value]
-        automata = BUILT[shared.id, width]
+        if run_id not in BUILT:
+            BUILT[run_id] = [automaton(b, width) for b in shared.value]
+        automata = BUILT[run_id]
         for batch in slices(batches, "text"):
             counts, hits, found, spans = [], [], [], []
             for raw in octets(batch.column("text")):
