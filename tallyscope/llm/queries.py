@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyscope.llm import contamination, packing, tokens
-from tallyscope.llm.common import table
+from tallyscope.llm import contamination, embedding, packing, rules, tokens, toxicity
+from tallyscope.llm.common import pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,17 +21,43 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return build
 
 
+PREDICTED = (F.col("score") >= 0.3).cast("int").alias("predicted")
+
+
+@query
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = embedding.fit(documents, table(spark, sf_dir, "labels"))
+    return embedding.score(documents, model, uuid.uuid4().hex).select(
+        "doc_id", F.coalesce(embedding.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", PREDICTED)
+
+
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge(pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text"), drop_text=True)
+    return judged.select("doc_id", *(f"quality_rules.{c}" for c in (
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")))
+
+
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return tokens.attribute(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, fields=("source", "lang", "text"))
 
 
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, key = table(spark, sf_dir, "documents"), uuid.uuid4().hex
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"), key)
+    return toxicity.score(documents, model, key).select(
+        "doc_id", F.coalesce(toxicity.fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score", PREDICTED, "segments")
+
+
 @query
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.digest(contamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
