@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -64,24 +64,37 @@ def automaton(block: list[tuple[str, bytes]], width: int) -> ahocorasick.Automat
     return found
 
 
+def shared_automata(items: DataFrame, item_id: str, text: str, width: int, block_bytes: int) -> Callable[[], list[ahocorasick.Automaton]]:
+    """A function for tasks that gives the automata, built once in each worker."""
+    shared = items.sparkSession.sparkContext.broadcast(list(item_blocks(items, item_id, text, block_bytes)))
+    run_id = uuid.uuid4().hex
+
+    def get() -> list[ahocorasick.Automaton]:
+        if run_id not in BUILT:
+            BUILT[run_id] = [automaton(b, width) for b in shared.value]
+        return BUILT[run_id]
+
+    return get
+
+
+def matched(raw: bytes, automata: list[ahocorasick.Automaton]) -> tuple[list[bytes], str, list[tuple[int, int, set[str]]]]:
+    """Words, normalised text, and the windows found in it as (place, words, items)."""
+    words = raw.translate(WORD_BYTES).split()
+    norm = (b" " + b" ".join(words) + b" ").decode("latin-1") if words else ""
+    return words, norm, [(end + 1 - size, n, ids) for a in automata for end, (size, n, ids) in a.iter(norm)] if norm else []
+
+
 def scan(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
          item_text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: number of words, of words inside a window, the items found, and the spans (in characters of
     the original text) that the windows cover."""
-    blocks = list(item_blocks(items, item_id, item_text, block_bytes))
-    shared = documents.sparkSession.sparkContext.broadcast(blocks)
-    run_id = uuid.uuid4().hex
+    automata = shared_automata(items, item_id, item_text, width, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if run_id not in BUILT:
-            BUILT[run_id] = [automaton(b, width) for b in shared.value]
-        automata = BUILT[run_id]
         for batch in slices(batches, "text"):
             counts, hits, found, spans = [], [], [], []
             for raw in octets(batch.column("text")):
-                words = raw.translate(WORD_BYTES).split()
-                norm = (b" " + b" ".join(words) + b" ").decode("latin-1") if words else ""
-                matches = [(end + 1 - size, n, ids) for a in automata for end, (size, n, ids) in a.iter(norm)] if norm else []
+                words, norm, matches = matched(raw, automata())
                 counts.append(len(words))
                 n_hit, ids, cover = cover_of(raw, norm, len(words), matches)
                 hits.append(n_hit)
@@ -116,6 +129,21 @@ def cover_of(raw: bytes, norm: str, n_words: int, matches: list[tuple[int, int,
     return int(inside.sum()), sorted(set().union(*(m[2] for m in matches))), cover
 
 
+def clean(documents: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+          width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``documents`` without the rows in which a window occurs."""
+    automata = shared_automata(items, item_id, item_text, width, block_bytes)
+    place = documents.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not matched(raw, automata())[2] for raw in octets(batch.column(place))], pa.bool_()))
+
+    names = {c: f"c{i}" for i, c in enumerate(documents.columns)}
+    rows = documents.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    return rows.mapInArrow(run, rows.schema).select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
 def digest(hits: DataFrame) -> DataFrame:
     return hits.select(
         F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),

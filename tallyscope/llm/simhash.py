@@ -61,13 +61,13 @@ def fingerprint(raw: bytes, width: int = SHINGLE) -> int:
 
 
 def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number."""
+    """(doc_id, k, fp): a hash of the text, and the fingerprint as a signed 64-bit number."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         prints = np.array([fingerprint(raw, width) for raw in octets(batch.column("text"))], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), pa.array(prints)], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), batch.column("k"), pa.array(prints)], names=["doc_id", "k", "fp"])
 
-    return mapped(pick(documents, id=doc_id, text=text), step, "doc_id bigint, fp bigint")
+    return mapped(pick(documents, id=doc_id, text=text).withColumn("k", F.xxhash64("text")), step, "doc_id bigint, k bigint, fp bigint")
 
 
 def bit_counts(prints: DataFrame) -> tuple[int, np.ndarray]:
@@ -243,13 +243,25 @@ def link(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> D
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fp and component_id of every row."""
+    """doc_id, k (hash of the text), fp, root (smallest fingerprint of the component) and component_id of every row."""
     prints = cut(fingerprints(documents, doc_id, text))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = components(link(distinct, distance, bucket))
     roots = found.select(F.col("node").alias("fp"), "root").unionByName(found.select(F.col("root").alias("fp"), "root").distinct())
     linked = roots.join(distinct, "fp")
     first = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = distinct.join(roots.join(first, "root").select("fp", "component_id"), "fp", "left").select(
-        "fp", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = distinct.join(roots.join(first, "root").select("fp", "root", "component_id"), "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
+    return prints.join(named, "fp").select("doc_id", "k", "fp", "root", "component_id")
+
+
+def first_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
+    """``documents`` with one row of each component: the smallest doc_id, a null one last; of repeated rows one stays."""
+    found = near_duplicates(documents, doc_id, text, distance, bucket)
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("best"))
+    names = {c: f"c{i}" for i, c in enumerate(documents.columns)}
+    rows = documents.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    rows = rows.withColumn("best_id", F.coalesce(F.col(names[doc_id]).cast("bigint"), F.lit(-1))).withColumn("best_k", F.xxhash64(names[text]))
+    best = best.select(F.coalesce("best.doc_id", F.lit(-1)).alias("best_id"), F.col("best.k").alias("best_k")).distinct()
+    kept = rows.join(best, ["best_id", "best_k"], "left_semi").dropDuplicates(["best_id", "best_k"])
+    return kept.select(*(F.col(n).alias(c) for c, n in names.items()))
