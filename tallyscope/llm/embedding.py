@@ -30,7 +30,7 @@ from tallyscope.llm.common import mapped, octets, pick
 SLOTS, WIDTH = 1 << 17, 16
 GRAMS = (3, 4, 5)
 ROWS_PER_CLASS = 2000
-EPOCHS, RATE = 5, 0.4
+EPOCHS, STEPS, RATE = 5, 6000, 0.4
 CACHE_WORDS = 400_000
 SAME = b"\x00same"
 UPPER, LOWER, DIGIT, OTHER = re.compile(rb"[A-Z]+"), re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[0-9]+"), re.compile(rb"[^A-Za-z0-9\x80-\xff]{2,}")
@@ -86,6 +86,7 @@ def train(samples: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCH
     if not sizes.all():
         return Model(np.zeros(SLOTS, np.float32), 0.0)
     balance = len(samples) / (2 * sizes)
+    epochs = max(epochs, -(-STEPS // len(samples)))  # few documents are seen more often
     steps, done = epochs * len(samples), 0
     for _ in range(epochs):
         for i in rng.permutation(len(samples)):

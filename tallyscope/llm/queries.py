@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyscope.llm import contamination, embedding, packing, pages, paragraphs, rules, simhash, suffixes, tokens, toxicity
@@ -31,7 +31,8 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-PREDICTED = (F.col("score") >= 0.3).cast("int").alias("predicted")
+def predicted() -> Column:
+    return (F.col("score") >= 0.3).cast("int").alias("predicted")
 
 
 @query
@@ -45,7 +46,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = embedding.fit(documents, table(spark, sf_dir, "labels"))
     return embedding.score(documents, model, uuid.uuid4().hex).select(
-        "doc_id", F.coalesce(embedding.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", PREDICTED)
+        "doc_id", F.coalesce(embedding.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", predicted())
 
 
 @query
@@ -76,7 +77,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, key = table(spark, sf_dir, "documents"), uuid.uuid4().hex
     model = toxicity.fit(documents, table(spark, sf_dir, "labels"), key)
     return toxicity.score(documents, model, key).select(
-        "doc_id", F.coalesce(toxicity.fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score", PREDICTED, "segments")
+        "doc_id", F.coalesce(toxicity.fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score", predicted(), "segments")
 
 
 @query
