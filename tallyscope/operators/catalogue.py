@@ -20,16 +20,17 @@ def slide_layers(slides: DataFrame, samples: DataFrame, localities: DataFrame, s
     place = localities.select("locality_id", "site_id", F.col("code").alias("locality_code")).join(
         sites.select("site_id", F.col("code").alias("site_code")), "site_id"
     )
-    s = samples.select("sample_id", F.col("code").alias("sample_code"), "locality_id").join(F.broadcast(place.drop("site_id")), "locality_id").drop("locality_id")
+    s = samples.select("sample_id", F.col("code").alias("sample_code"), "locality_id").join(place.drop("site_id"), "locality_id").drop("locality_id")
     return slides.select("slide_id", "sample_id", "obs_no").join(s, "sample_id", "left").drop("sample_id")
 
 
 def catalog_rows(shown: DataFrame, layers: DataFrame, viewpoints: DataFrame, batches: DataFrame, detections: DataFrame, members: DataFrame) -> DataFrame:
     """Kept objects with their catalogue number, identification, and the largest linked view where they are linked.
 
-    ``shown`` holds rows of the overlay; ``members`` all judgements with object_id, image_id, mask_key, bbox.
+    ``shown`` holds rows of the overlay; detections carry ``frame_no``, the number of the frame in its viewpoint;
+    ``members`` all judgements with object_id, image_id, mask_key, bbox.
     """
-    batch = detections.select("detection_id", "batch_id").join(F.broadcast(batches.select("batch_id", F.col("code").alias("batch_code"))), "batch_id")
+    batch = detections.select("detection_id", "batch_id", "frame_no").join(F.broadcast(batches.select("batch_id", F.col("code").alias("batch_code"))), "batch_id")
     drawn = F.col("source") == "manual"
     numbered = (
         shown.join(batch, "detection_id")
@@ -39,7 +40,7 @@ def catalog_rows(shown: DataFrame, layers: DataFrame, viewpoints: DataFrame, bat
             "_no",
             catalog_no(
                 F.col("site_code"), F.col("locality_code"), F.col("sample_code"), F.col("idx"), F.col("mask_key"), F.col("obs_no"),
-                F.when(F.col("image_kind") != "stack", F.col("image_id") % 100), F.col("batch_code"), F.coalesce(drawn, F.lit(False)),
+                F.when(F.col("image_kind") != "stack", F.col("frame_no")), F.col("batch_code"), F.coalesce(drawn, F.lit(False)),
             ),
         )
     )

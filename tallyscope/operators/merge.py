@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from tallyscope.operators.overlay import has_text
 from tallyscope.operators.review import latest_per_image
 
-# Recipe keys a batch takes over from its latest run, and the rank of lookup states.
-RECIPE_KEYS = ["backend", "conf", "imgsz", "weights_path"]
-LOOKUP_RANK = {"purchase": 5, "signup": 4, "click": 3, "view": 2, "error": 1}
+# The parameters of a run that make the recipe of its batch, under their older and newer names.
+RECIPE_KEYS = ["backend", "scale", "points_per_side", "min_um", "max_um", "all_images", "weights", "weights_path", "yolo_conf", "conf", "yolo_imgsz", "imgsz"]
 
 
 def export_diff(new: DataFrame, stored: DataFrame) -> DataFrame:
@@ -241,8 +240,9 @@ def close_stale_runs(runs: DataFrame, kind: str, now: str, older_than_min: float
     )
 
 
-def merge_lookup_batches(lookups: DataFrame, ranks: dict[str, int] = LOOKUP_RANK) -> DataFrame:
-    """Results of several days merged per name: the higher state wins, then the longer text, then the later row."""
+def merge_lookup_batches(lookups: DataFrame, ranks: dict[str, int]) -> DataFrame:
+    """Results of several days merged per name: the higher state wins (``ranks``; others come last), then the longer text,
+    then the later row."""
     table = F.create_map(*[x for k, v in ranks.items() for x in (F.lit(k), F.lit(v))])
     rank = F.struct(F.coalesce(F.get(F.array(table[F.col("state")]), F.lit(0)), F.lit(0)).alias("r"), F.length("text").alias("l"), F.col("seq"))
     g = lookups.groupBy("name").agg(
@@ -274,7 +274,7 @@ def move_members(edits: DataFrame, children: DataFrame, parents: DataFrame, chil
     codes = children.select(F.col(parent).alias("_to"), F.col(code).alias("_code"), F.lit(True).alias("_dup")).distinct()
     n = grandchildren.groupBy(child).agg(F.count("*").alias("n_children"))
     j = edits.select(child, F.col("new_parent").alias("_to")).join(children.select(child, parent, F.col(code).alias("_code")), child)
-    j = j.join(F.broadcast(known), "_to", "left").join(codes, ["_to", "_code"], "left").join(n, child, "left").fillna(0, ["n_children"])
+    j = j.join(known, "_to", "left").join(codes, ["_to", "_code"], "left").join(n, child, "left").fillna(0, ["n_children"])
     same = F.col(parent) == F.col("_to")
     why = F.when(same, "same place").when(F.col("_known").isNull(), "unknown place").when(F.col("_dup"), "code exists there").otherwise("")
     return j.select(child, F.when(why == "", F.col("_to")).otherwise(F.col(parent)).alias(parent), "n_children", why.alias("why"))
@@ -313,7 +313,7 @@ def seed_codes(batches: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def swap_prefix(df: DataFrame, path: str, old: str, new: str) -> DataFrame:
-    return df.withColumn(path, F.when(F.startswith(path, F.lit(old)), F.concat(F.lit(new), F.substring(path, len(old) + 1, 4096))).otherwise(F.col(path)))
+    return df.withColumn(path, F.when(F.startswith(path, F.lit(old)), F.concat(F.lit(new), F.substr(path, F.lit(len(old) + 1)))).otherwise(F.col(path)))
 
 
 def get_or_create_batch(batches: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -10,12 +10,16 @@ from tallyscope.functions.names import BINOMIAL, epithet, fold_name, fold_name_d
 # Characters looked at in front of a word, the words that make what follows an aside, lengths from which a
 # word may match on its stem, the stem, and words that follow an initial without being an epithet.
 CONTEXT = 14
+# Fixed value: so many characters before a word are searched for brackets.
+BACK = 160
 ASIDE = r"(?i)(?:mit|als|wie|an|auf|bei|zu|zum|zur|von|vergl\.?|siehe|gleich|aehnlich|ähnlich|=|\()\s*$"
 STEM_FROM, STEM = 8, 6
-STOP_WORDS = (
-    "ist und der die das ein eine von mit nur sind wie aber kommt vor nicht auch sich oder des dem den zu im am an auf bei aus "
-    "ils vergl siehe var forma sp vielleicht wohl"
-).split()
+STOP_WORDS = [
+    "ist", "und", "der", "die", "das", "ein", "eine", "von", "mit", "nur", "sind", "wie",
+    "aber", "kommt", "vor", "nicht", "auch", "sich", "oder", "des", "dem", "den", "zu", "im",
+    "am", "an", "auf", "bei", "aus", "ils", "vergl", "siehe", "var", "forma", "sp", "vielleicht",
+    "wohl",
+]
 # A word with whatever stands between it and the word before.
 PIECE = r"[^\p{L}\p{N}_]*[\p{L}\p{N}_]+"
 GENUS_WORD = r"^[A-Z][a-zA-Zé]{5,}$"
@@ -65,15 +69,16 @@ def truncated_names(names: DataFrame, corpus: DataFrame) -> DataFrame:
 def genus_candidates(plate_names: DataFrame, registry: DataFrame) -> DataFrame:
     """For each name of a plate: other genera of the plate under which the register knows its epithet.
 
-    ``plate_names``: plate, name. Instead of pairing a plate with itself, epithets meet the register first (which genera
-    carry this epithet), and only those genera are looked up on the plate. ``cluster`` counts the names of a genus that
+    ``plate_names``: plate, name. Each name meets the other genera of its plate (a plate holds few), and the register is
+    asked for genus and epithet together. ``cluster`` counts the names of a genus that
     could move to the same other genus; ``strength`` is strong when the name itself is unknown and two or more move,
     medium when one of the two holds, and falls a step unless the target has more than any rival.
     """
     p = plate_names.select("plate", "name", genus(F.col("name")).alias("genus"), epithet(F.col("name")).alias("_e")).distinct()
     known = registry.select(genus(F.col("name")).alias("candidate"), epithet(F.col("name")).alias("_e")).distinct()
     here = p.select("plate", F.col("genus").alias("candidate")).distinct()
-    rows = p.join(known, "_e").filter(F.col("candidate") != F.col("genus")).join(here, ["plate", "candidate"])
+    # The genera of the plate come first, so a common epithet meets no genus from elsewhere.
+    rows = p.join(here, "plate").filter(F.col("candidate") != F.col("genus")).join(known, ["candidate", "_e"])
     n = rows.groupBy("plate", "genus", "candidate").agg(F.count("*").alias("cluster"))
     most = n.groupBy("plate", "genus").agg(F.max("cluster").alias("_top"), (F.count("*") - 1).alias("rivals"))
     ties = n.join(most, ["plate", "genus"]).filter("cluster = _top").groupBy("plate", "genus").agg(F.count("*").alias("_at_top"))
@@ -160,15 +165,20 @@ def name_in_context(names: DataFrame, texts: DataFrame, keys: list[str]) -> Data
     """
     arr = F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))
     n = names.select(*keys, "name", genus(F.col("name")).alias("_g"), epithet(F.col("name")).alias("_ep"), F.substring(epithet(F.col("name")), 1, STEM).alias("_stem")).distinct()
-    spots = texts.select(*keys, "text", arr.alias("_a")).select(*keys, "_a", F.posexplode("_a").alias("_i", "_p"))
-    at = lambda k: F.coalesce(F.get("_a", F.col("_i") + k), F.lit(""))
+    # A word of the text meets the names whose stem may begin it by key and first letters; only hits see the text around.
     tail = lambda c: F.regexp_extract(c, r"([\p{L}\p{N}_]+)$", 1)
     gap = lambda c: F.regexp_extract(c, r"^([^\p{L}\p{N}_]*)", 1)
-    spots = spots.select(
-        *keys, tail(F.col("_p")).alias("_w"), gap(F.col("_p")).alias("_gap"), tail(at(-1)).alias("_w1"), F.concat(tail(at(-2)), gap(at(-1))).alias("_lead"), at(1).alias("_next"),
-        F.array_join(F.slice("_a", F.greatest(F.col("_i") - 19, F.lit(1)), F.least(F.col("_i") + 1, F.lit(20))), "").alias("_back"),
+    words = texts.select(*keys, F.posexplode(arr).alias("_i", "_p")).select(*keys, "_i", tail(F.col("_p")).alias("_w"))
+    first = lambda c: F.lower(F.substring(c, 1, 2))
+    met = n.withColumn("_f", first("_stem")).join(words.withColumn("_f", first("_w")), [*keys, "_f"]).filter(F.startswith(F.lower("_w"), F.lower("_stem")))
+    around = met.groupBy(*keys).agg(F.collect_set("_i").alias("_at")).join(texts.select(*keys, arr.alias("_a")), keys).select(*keys, "_a", F.explode("_at").alias("_i"))
+    at = lambda k: F.coalesce(F.get("_a", F.col("_i") + k), F.lit(""))
+    back = F.array_join(F.slice("_a", F.greatest(F.col("_i") - BACK + 1, F.lit(1)), F.least(F.col("_i"), F.lit(BACK))), "")
+    around = around.select(
+        *keys, "_i", gap(at(0)).alias("_gap"), tail(at(-1)).alias("_w1"), F.concat(tail(at(-2)), gap(at(-1))).alias("_lead"), at(1).alias("_next"),
+        F.right(F.concat(back, gap(at(0))), F.lit(BACK)).alias("_back"),
     )
-    hits = n.join(spots.withColumn("_stem", F.lower(F.substring("_w", 1, STEM))), [*keys, "_stem"])
+    hits = met.join(around, [*keys, "_i"])
     initial = (F.length("_w1") <= 2) & (F.col("_w1") == F.substring("_g", 1, 1)) & F.col("_gap").rlike(r"^\.\s*$")
     whole = (F.col("_w1") == F.col("_g")) & F.col("_gap").rlike(r"^\s+$")
     aside = F.right("_lead", F.lit(CONTEXT)).rlike(ASIDE)
@@ -212,9 +222,10 @@ def taxon_scope(taxa: DataFrame, top: int = 6) -> DataFrame:
     return by_rank.unionByName(by_status.select(F.lit("status").alias("what"), "value", "n")).unionByName(flags.select(F.lit("flag").alias("what"), "value", "n"))
 
 
-def load_taxa(taxa: DataFrame, profiles: DataFrame, classes: list[str]) -> DataFrame:
-    """Taxon dump: wanted classes only, joined to the habitat profile, with folded names."""
-    kept = taxa.filter(F.col("class").isin(classes)).join(profiles, "taxon_id", "left")
+def load_taxa(taxa: DataFrame, profiles: DataFrame, classes: list[str], phyla: list[str]) -> DataFrame:
+    """Taxon dump: wanted classes or phyla (higher ranks have no class), joined to the habitat profile, with folded names."""
+    wanted = F.coalesce(F.col("class").isin(classes), F.lit(False)) | F.coalesce(F.col("phylum").isin(phyla), F.lit(False))
+    kept = taxa.filter(wanted).join(profiles, "taxon_id", "left")
     return kept.withColumn("folded", fold_name(F.col("name"))).withColumn("folded_de", fold_name_de(F.col("name")))
 
 

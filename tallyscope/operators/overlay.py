@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.functions.boxes import Box, hexagon
 from tallyscope.functions.polygon import polygon_area
 from tallyscope.operators.sequence import Blocks
 from tallyscope.operators.verdict import guessed_class
@@ -60,7 +59,7 @@ def review_overlay(
         "mask_key",
         F.lit(True).alias("has_review"),
         *["removed", "accepted", "source", "label", "species", "grade", "pose", "note", "object_id", "is_rep"],
-        *["auto_confirmed", "geom_edited"],
+        *["auto_confirmed", "geom_edited", "polygon"],
         *[F.col("bbox_" + c).alias("r_" + c) for c in "xywh"],
     )
     c = candidates.select(
@@ -75,7 +74,8 @@ def review_overlay(
     orphan = F.col("candidate_no").isNull()
     gone, back = F.coalesce("removed", F.lit(False)), F.coalesce("accepted", F.lit(False))
     from_person = orphan | (F.coalesce("geom_edited", F.lit(False)) & F.col("has_review"))
-    drawn_area = F.rint(polygon_area(hexagon(Box.of("r_")))).cast("bigint")
+    # A person's outline is a flat list of coordinates as JSON text; without one the machine's area stands.
+    drawn_area = F.coalesce(F.rint(polygon_area(F.from_json("polygon", "array<double>"))).cast("bigint"), F.col("area_px"))
     revived = ~orphan & ~F.col("passed") & back & ~gone
     base_cls = (
         F.when(orphan, "").when(revived, guessed_class(F.col("elongation"))).otherwise(F.coalesce("machine_cls", F.lit("")))
@@ -94,7 +94,7 @@ def review_overlay(
         .withColumn("cls_auto", F.when(F.col("cls_user") & (F.col("_base") != F.col("label")), F.col("_base")).otherwise(""))
         .withColumn("area_px", F.coalesce("area_px", F.lit(0)))
     )
-    return out.drop("_base", "machine_cls", *["r_" + s for s in "xywh"])
+    return out.drop("_base", "machine_cls", "polygon", *["r_" + s for s in "xywh"])
 
 
 def ranked(overlay: DataFrame, out: str = "rank") -> DataFrame:

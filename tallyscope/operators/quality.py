@@ -93,7 +93,7 @@ def check_thresholds(detections: DataFrame) -> DataFrame:
 
 
 def check_layers(slides: DataFrame, samples: DataFrame, localities: DataFrame, core_points: DataFrame) -> DataFrame:
-    placed = samples.join(F.broadcast(localities.select("locality_id", "kind")), "locality_id")
+    placed = samples.join(localities.select("locality_id", "kind"), "locality_id")
     filled = samples.select("locality_id").unionByName(core_points.select("locality_id")).distinct()
     return report(
         finding("slide has a sample", slides.filter("sample_id IS NULL"), slides, F.col("slide_id")),

@@ -49,7 +49,10 @@ def rebind_reviews(
     open_r = mine.join(c.select(*ids, F.col("candidate_key").alias("review_key")), [*ids, "review_key"], "left_anti")
     free_c = c.join(mine.select(*ids, F.col("review_key").alias("candidate_key")), [*ids, "candidate_key"], "left_anti")
     a, b = Box.of("r_"), Box.of("c_")
-    near = centre_in_box(open_r.select(*ids, "review_key", *a), free_c, ids, a, b, max_side)
+    # From half the union on, the centre of one box lies in the other and sides differ by two at most; below that only
+    # the touch of the boxes is sure.
+    search = centre_in_box if iou_min >= 0.5 else touching
+    near = search(open_r.select(*ids, "review_key", *a), free_c, ids, a, b, max_side)
     edges = near.withColumn("order", -bbox_iou(a, b)).filter(F.col("order") <= -iou_min)
     taken = greedy_matching(edges, ids, "review_key", "candidate_key", ["order"]).select(
         *ids, "review_key", "candidate_key", F.lit("iou").alias("method"), (-F.col("order")).alias("score")

@@ -94,7 +94,7 @@ def datasets(slides: DataFrame, localities: DataFrame, sites: DataFrame, scales:
     place = localities.select("locality_id", "site_id", F.col("code").alias("locality")).join(
         sites.select("site_id", F.col("code").alias("site"), "area"), "site_id"
     )
-    placed = slides.withColumn("locality_id", F.when(F.col("sample_id").isNotNull(), F.col("locality_id"))).join(F.broadcast(place), "locality_id", "left")
+    placed = slides.withColumn("locality_id", F.when(F.col("sample_id").isNotNull(), F.col("locality_id"))).join(place, "locality_id", "left")
     return (
         placed.join(scales.select("slide_id", "um_per_pixel"), "slide_id", "left")
         .join(summary, "slide_id", "left")
@@ -137,13 +137,8 @@ def datasets_by_locality(rows: DataFrame) -> DataFrame:
 
 
 def area_tabs(rows: DataFrame) -> DataFrame:
-    """Slides per area, all of them, and those without a site. ``rows`` carries ``area``, null without a site."""
-    return rows.agg(
-        F.count("*").alias("n_all"),
-        F.count_if(F.col("area").isNull()).alias("n_without_site"),
-        F.count_if(F.col("area") == "polar").alias("n_polar"),
-        F.count_if(F.col("area") == "land").alias("n_land"),
-    )
+    """Slides per area, with '' for those without a site, and over all (``level`` 1). ``rows`` carries ``area``."""
+    return rows.select(F.coalesce("area", F.lit("")).alias("area")).rollup("area").agg(F.grouping_id().cast("bigint").alias("level"), F.count("*").alias("n_slides"))
 
 
 def review_progress(slide_areas: DataFrame, viewpoints: DataFrame, viewpoint_reviews: DataFrame, corrections: DataFrame, batches: DataFrame) -> DataFrame:

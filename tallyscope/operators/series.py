@@ -210,8 +210,8 @@ def profile_segments(points: DataFrame) -> DataFrame:
 
 def core_profiles(points: DataFrame, chosen: DataFrame, cap: int = PROFILE_POINTS) -> DataFrame:
     """The chosen series, thinned and broken, with their place in the display order."""
-    mine = points.join(F.broadcast(chosen.select(*SERIES)), SERIES, "left_semi")
-    return profile_segments(profile_thin(mine, cap)).join(F.broadcast(chosen.select(*SERIES, "sort_order")), SERIES)
+    mine = points.join(chosen.select(*SERIES), SERIES, "left_semi")
+    return profile_segments(profile_thin(mine, cap)).join(chosen.select(*SERIES, "sort_order"), SERIES)
 
 
 def nice_step(span: Column) -> Column:

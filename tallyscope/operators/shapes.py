@@ -207,13 +207,14 @@ def tighten_boxes(candidates: DataFrame, um_per_px: Column) -> DataFrame:
     xs, ys = pg.axis_values(F.col("polygon"), 0), pg.axis_values(F.col("polygon"), 1)
     s = candidates.withColumns(
         {
-            "new_x": F.array_min(xs).cast("int"),
-            "new_y": F.array_min(ys).cast("int"),
-            "new_w": (F.array_max(xs) - F.array_min(xs)).cast("int"),
-            "new_h": (F.array_max(ys) - F.array_min(ys)).cast("int"),
+            "new_x": F.array_min(xs),
+            "new_y": F.array_min(ys),
+            "new_w": F.array_max(xs) - F.array_min(xs),
+            "new_h": F.array_max(ys) - F.array_min(ys),
         }
     )
-    new_key = F.concat_ws("_", *[F.col("new_" + c).cast("string") for c in "xywh"])
+    # Sides stay as they are; the key alone is rounded, halves to even.
+    new_key = F.concat_ws("_", *[F.rint("new_" + c).cast("int").cast("string") for c in "xywh"])
     long, short = F.greatest("new_w", "new_h"), F.least("new_w", "new_h")
     return s.select(
         "detection_id", "mask_key", new_key.alias("new_key"), (new_key != F.col("mask_key")).alias("changed"),

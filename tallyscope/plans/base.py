@@ -93,7 +93,7 @@ FROM (SELECT coalesce(c.detection_id, r.detection_id) AS detection_id, coalesce(
              WHEN NOT c.passed AND coalesce(r.accepted, FALSE) AND NOT coalesce(r.removed, FALSE)
                THEN CASE WHEN c.elongation < 1.4 THEN 'round' WHEN c.elongation BETWEEN 2 AND 20 THEN 'rod' ELSE '' END
              ELSE c.cls END AS base,
-        CASE WHEN c.candidate_no IS NULL OR coalesce(r.geom_edited, FALSE) THEN CAST(round_even(3 * r.bbox_w * r.bbox_h / 4.0, 0) AS BIGINT) ELSE c.area_px END AS area_px,
+        CASE WHEN c.candidate_no IS NULL OR coalesce(r.geom_edited, FALSE) THEN CAST(round_even(r.bbox_w * r.bbox_h - (r.bbox_w // 3) * (r.bbox_h // 4) / 2.0, 0) AS BIGINT) ELSE c.area_px END AS area_px,
         CASE WHEN c.candidate_no IS NULL OR coalesce(r.geom_edited, FALSE) THEN r.bbox_x ELSE c.bbox_x END AS bbox_x,
         CASE WHEN c.candidate_no IS NULL OR coalesce(r.geom_edited, FALSE) THEN r.bbox_y ELSE c.bbox_y END AS bbox_y,
         CASE WHEN c.candidate_no IS NULL OR coalesce(r.geom_edited, FALSE) THEN r.bbox_w ELSE c.bbox_w END AS bbox_w,

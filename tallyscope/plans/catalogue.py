@@ -27,14 +27,14 @@ CATALOG = [
     *OVERLAY,
     SHOWN,
     """mains AS (SELECT object_id, count(*) AS n, first(image_id ORDER BY bbox_w * bbox_h DESC, image_id, mask_key DESC) AS img FROM {correction} GROUP BY 1 HAVING count(*) >= 2)""",
-    """numbered AS (SELECT x.*, coalesce(n, 0) AS linked_n, CASE WHEN img <> x.image_id THEN img END AS view_image, t.code AS sc, l.code AS lc, p.code AS pc, s.obs_no, v.idx, b.code AS bc,
+    """numbered AS (SELECT x.*, coalesce(n, 0) AS linked_n, CASE WHEN img <> x.image_id THEN img END AS view_image, t.code AS sc, l.code AS lc, p.code AS pc, s.obs_no, v.idx, b.code AS bc, d.frame_no,
  regexp_full_match(mask_key, '[0-9]+_[0-9]+_[0-9]+_[0-9]+|m[0-9a-f]{{8}}') AS good, coalesce(x.source = 'manual', FALSE) AS drawn
  FROM shown x JOIN {slide} s ON s.slide_id = x.slide_id LEFT JOIN {sample} p ON p.sample_id = s.sample_id LEFT JOIN {locality} l ON l.locality_id = p.locality_id LEFT JOIN {site} t ON t.site_id = l.site_id
  JOIN {viewpoint} v ON v.viewpoint_id = x.viewpoint_id JOIN {detection} d ON d.detection_id = x.detection_id JOIN {batch} b ON b.batch_id = d.batch_id LEFT JOIN mains ON mains.object_id = x.object_id)""",
     """whys AS (SELECT *, CASE WHEN sc IS NULL THEN 'site' WHEN lc IS NULL THEN 'locality' WHEN pc IS NULL THEN 'sample' WHEN NOT good THEN 'position' WHEN NOT drawn AND bc = '' THEN 'batch' ELSE '' END AS why FROM numbered)""",
     """cat AS (SELECT slide_id, viewpoint_id, image_id, mask_key, state, cls, area_px, bbox_x, bbox_y, bbox_w, bbox_h, cls_user, revived, orphan, CASE WHEN why = '' THEN concat(sc, '-', lc, '-', pc,
    CASE WHEN obs_no <> 0 THEN concat('-', obs_no) ELSE '' END, '-g', CASE WHEN idx < 10 THEN '0' ELSE '' END, idx,
-   CASE WHEN image_kind <> 'stack' THEN concat('-f', CASE WHEN image_id % 100 < 10 THEN '0' ELSE '' END, image_id % 100) ELSE '' END, '-', mask_key, '-', CASE WHEN drawn THEN 'M' ELSE bc END) END AS catalog_no,
+   CASE WHEN image_kind <> 'stack' THEN concat('-f', CASE WHEN frame_no < 10 THEN '0' ELSE '' END, frame_no) ELSE '' END, '-', mask_key, '-', CASE WHEN drawn THEN 'M' ELSE bc END) END AS catalog_no,
    why AS catalog_why, coalesce(species, '') AS species, coalesce(grade, '') AS grade, coalesce(pose, '') AS pose, coalesce(note, '') AS note, linked_n, view_image FROM whys)""",
 ]
 

@@ -277,7 +277,7 @@ JOIN (SELECT name AS nm, count(DISTINCT state) AS states FROM lookups GROUP BY 1
 )
 def _(m: Model) -> DataFrame:
     e = m.events.select(F.col("user_id").alias("name"), F.col("event_type").alias("state"), F.col("props").alias("text"), F.col("event_id").alias("seq"))
-    return mg.merge_lookup_batches(e)
+    return mg.merge_lookup_batches(e, {"purchase": 5, "signup": 4, "click": 3, "view": 2, "error": 1})
 
 
 @query("check_numbering", "SELECT s.s_suppkey + 1 AS number, s.s_name AS name, c.c_name AS expected FROM supplier s LEFT JOIN customer c ON c.c_custkey = s.s_suppkey + 1 WHERE s.s_name IS DISTINCT FROM c.c_name")

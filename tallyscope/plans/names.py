@@ -49,14 +49,22 @@ def _(m: Model) -> DataFrame:
     return nm.index_names(hits(m))
 
 
+HEAD = "heads AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) p) q)"
+
+
+def lines_of(m: Model) -> DataFrame:
+    """Every line of every text with its number."""
+    return m.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
 @query(
     "binomial",
-    """SELECT doc_id, CASE WHEN len(w) >= 2 AND regexp_full_match(lower(w[2]), '[a-zöäüéë\\-]+') THEN concat(CASE upper(w[1][1]) || lower(w[1][2:]) WHEN 'Chaetoceras' THEN 'Chaetoceros' ELSE upper(w[1][1]) || lower(w[1][2:]) END, ' ', lower(w[2])) END AS name
-FROM (SELECT doc_id, string_split_regex(trim(replace(split_part(text, chr(10), 1), '*', ''), ' ' || chr(9) || chr(13)), '\\s+') AS w FROM documents) q""",
+    """SELECT doc_id, line_no, CASE WHEN len(w) >= 2 AND regexp_full_match(lower(w[2]), '[a-zöäüéë\\-]+') THEN concat(CASE upper(w[1][1]) || lower(w[1][2:]) WHEN 'Chaetoceras' THEN 'Chaetoceros' ELSE upper(w[1][1]) || lower(w[1][2:]) END, ' ', lower(w[2])) END AS name
+FROM (SELECT doc_id, line_no, string_split_regex(trim(replace(line, '*', ''), ' ' || chr(9) || chr(13)), '\\s+') AS w FROM heads) q""",
+    HEAD,
 )
 def _(m: Model) -> DataFrame:
-    # The first line of a text is its headword.
-    return m.documents.select("doc_id", fn.binomial(F.split_part("text", F.lit("\n"), F.lit(1))).alias("name"))
+    return lines_of(m).select("doc_id", "line_no", fn.binomial(F.col("line")).alias("name"))
 
 
 @query("epithet", "SELECT DISTINCT binomial, lower(split_part(binomial, ' ', 2)) AS epithet FROM hits", HITS)
@@ -64,15 +72,13 @@ def _(m: Model) -> DataFrame:
     return hits(m).select("binomial").distinct().select("binomial", fn.epithet(F.col("binomial")).alias("epithet"))
 
 
-HEAD = "heads AS (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents)"
 FOLD = "trim(regexp_replace(lower(strip_accents({0})), '\\s+', ' ', 'g'))"
 DE = "replace(replace(replace(replace(replace(replace(replace({0}, 'ö', 'oe'), 'ä', 'ae'), 'ü', 'ue'), 'Ö', 'oe'), 'Ä', 'ae'), 'Ü', 'ue'), 'ß', 'ss')"
 
 
-@query("fold_name", f"SELECT doc_id, {FOLD.format('line')} AS folded, {FOLD.format(DE.format('line'))} AS folded_de FROM heads", HEAD)
+@query("fold_name", f"SELECT doc_id, line_no, {FOLD.format('line')} AS folded, {FOLD.format(DE.format('line'))} AS folded_de FROM heads", HEAD)
 def _(m: Model) -> DataFrame:
-    head = F.split_part("text", F.lit("\n"), F.lit(1))
-    return m.documents.select("doc_id", fn.fold_name(head).alias("folded"), fn.fold_name_de(head).alias("folded_de"))
+    return lines_of(m).select("doc_id", "line_no", fn.fold_name(F.col("line")).alias("folded"), fn.fold_name_de(F.col("line")).alias("folded_de"))
 
 
 @query(
@@ -232,12 +238,13 @@ def _(m: Model) -> DataFrame:
     return nm.taxon_scope(registry(m))
 
 
-@query("load_taxon_dump", "SELECT taxon_id, name, class, is_marine, lower(name) AS folded, lower(name) AS folded_de FROM registry WHERE class = 'Wanted'", REGISTRY)
+@query("load_taxon_dump", "SELECT taxon_id, name, class, is_marine, lower(name) AS folded, lower(name) AS folded_de FROM registry WHERE class = 'Wanted' OR taxon_id % 11 = 0", REGISTRY)
 def _(m: Model) -> DataFrame:
     r = registry(m)
     profile = r.select("taxon_id", "name", "is_marine").groupBy("taxon_id", "name").agg(F.max("is_marine").alias("is_marine")).withColumnRenamed("name", "_n")
     # Two names may share an id in this register, so the profile is read by both.
-    taxa = nm.load_taxa(r.select("taxon_id", "name", "class"), profile, ["Wanted"]).filter("name = _n")
+    phylum = F.when(F.col("taxon_id") % 11 == 0, "Wide").alias("phylum")
+    taxa = nm.load_taxa(r.select("taxon_id", "name", "class", phylum), profile, ["Wanted"], ["Wide"]).filter("name = _n")
     return taxa.select("taxon_id", "name", "class", "is_marine", "folded", "folded_de")
 
 

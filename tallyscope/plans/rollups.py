@@ -82,8 +82,8 @@ def _(m: Model) -> DataFrame:
 
 @query(
     "area_tabs",
-    """SELECT count(*) AS n_all, count(*) FILTER (WHERE area IS NULL) AS n_without_site, count(*) FILTER (WHERE area = 'polar') AS n_polar, count(*) FILTER (WHERE area = 'land') AS n_land
-FROM {slide} s LEFT JOIN {locality} l ON l.locality_id = s.locality_id AND s.sample_id IS NOT NULL LEFT JOIN {site} t ON t.site_id = l.site_id""",
+    """SELECT area, CAST(grouping_id(area) AS BIGINT) AS level, count(*) AS n_slides FROM (SELECT coalesce(t.area, '') AS area
+FROM {slide} s LEFT JOIN {locality} l ON l.locality_id = s.locality_id AND s.sample_id IS NOT NULL LEFT JOIN {site} t ON t.site_id = l.site_id) q GROUP BY ROLLUP (area)""",
 )
 def _(m: Model) -> DataFrame:
     return ro.area_tabs(slide_areas(m))
@@ -92,7 +92,7 @@ def _(m: Model) -> DataFrame:
 def slide_areas(m: Model) -> DataFrame:
     place = m.locality.select("locality_id", "site_id").join(m.site.select("site_id", "area"), "site_id").select("locality_id", "area")
     s = m.slide.select("slide_id", F.when(F.col("sample_id").isNotNull(), F.col("locality_id")).alias("locality_id"))
-    return s.join(F.broadcast(place), "locality_id", "left").select("slide_id", "area")
+    return s.join(place, "locality_id", "left").select("slide_id", "area")
 
 
 @query(

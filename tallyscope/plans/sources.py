@@ -191,7 +191,7 @@ def _(m: Model) -> DataFrame:
 
 def atlas_docs(m: Model) -> DataFrame:
     h = hits(m)
-    places = F.transform(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(3)).cast("int")), lambda i: F.struct((F.col("doc_id") % 100).alias("plate"), (i + F.col("doc_id")).alias("pdf_page")))
+    places = F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.struct((F.col("doc_id") % 100).alias("plate"), (i + F.col("doc_id")).alias("pdf_page")))
     e = F.struct(
         F.length("binomial").alias("seq"), F.col("binomial").alias("name"), genus(F.col("binomial")).alias("genus"), F.col("binomial"), F.when(F.col("doc_id") % 6 != 0, places).alias("placements")
     )
@@ -201,7 +201,7 @@ def atlas_docs(m: Model) -> DataFrame:
 @query(
     "load_atlas_json",
     """SELECT concat(source, '-', doc_id) AS atlas_key, CAST(length(binomial) AS INT) AS seq, binomial AS name, split_part(binomial, ' ', 1) AS genus, CAST(i - 1 AS INT) AS place, CASE WHEN i IS NOT NULL THEN doc_id % 100 END AS plate, i + doc_id AS pdf_page
-FROM (SELECT *, unnest(CASE WHEN doc_id % 6 <> 0 THEN range(1, least(n, 3) + 1) ELSE [NULL] END) AS i FROM hits) q""",
+FROM (SELECT *, unnest(CASE WHEN doc_id % 6 <> 0 THEN range(1, n + 1) ELSE [NULL] END) AS i FROM hits) q""",
     HITS,
 )
 def _(m: Model) -> DataFrame:

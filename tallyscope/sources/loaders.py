@@ -286,7 +286,11 @@ def parse_index_entries(lines: DataFrame, fmt: str) -> DataFrame:
         heads = x.filter("_name IS NOT NULL").select("doc", "line_no", "section", F.col("_name").alias("name"))
         places = x.withColumn("_p", hit("place_line", 1)).filter("_p IS NOT NULL AND _head IS NOT NULL").select("doc", F.col("_head.at").alias("line_no"), "_p")
         e = heads.join(places, ["doc", "line_no"], "left")
-    return e.select("doc", "line_no", "section", "name", first(f["plate"]).alias("plate"), first(f["page"]).alias("page"))
+    # Each plate begins a place, and the page after it belongs to it.
+    plate = f["plate"].replace("(", "").replace(")", "")
+    parts = F.regexp_extract_all("_p", F.lit(f"{plate}.*?(?={plate}|$)"), F.lit(0))
+    e = e.withColumn("_p", F.explode_outer(F.when(F.size(parts) > 0, parts).otherwise(F.array("_p"))))
+    return e.select("doc", "line_no", "section", "name", first(f["plate"]).alias("plate"), F.when(first(f["plate"]).isNotNull(), first(f["page"])).alias("page"))
 
 
 def check_index_counts(lines: DataFrame, parsed: DataFrame, fmt: str, stated: DataFrame | None = None) -> DataFrame:
@@ -295,7 +299,8 @@ def check_index_counts(lines: DataFrame, parsed: DataFrame, fmt: str, stated: Da
     ``stated`` (doc, entries) adds the number the document itself gives.
     """
     f = FORMATS[fmt]
-    raw_places = F.size(F.regexp_extract_all("line", F.lit(f["place"]), F.lit(0))) if "place" in f else F.col("line").rlike(f["place_line"]).cast("int")
+    n_plates = F.size(F.regexp_extract_all("line", F.lit(f["plate"]), F.lit(0)))
+    raw_places = F.size(F.regexp_extract_all("line", F.lit(f["place"]), F.lit(0))) if "place" in f else F.when(F.col("line").rlike(f["place_line"]), n_plates).otherwise(0)
     raw = lines.groupBy("doc").agg(F.count_if(F.col("line").rlike(f["head"])).alias("raw_entries"), F.sum(raw_places).alias("raw_places"))
     got = parsed.groupBy("doc").agg(F.count_distinct("line_no").alias("entries"), F.count("plate").alias("places"))
     j = raw.join(got, "doc", "full_outer").fillna(0)

@@ -34,7 +34,7 @@ SELECT l_orderkey AS detection_id,
        CASE WHEN l_suppkey % 97 = 0 THEN NULL ELSE l_extendedprice / CAST(12 AS DOUBLE) END AS texture
 FROM {lineitem}""",
     "detection": """
-SELECT o_orderkey AS detection_id, o_orderkey AS image_id, o_orderkey AS run_id,
+SELECT o_orderkey AS detection_id, o_orderkey AS image_id, CASE WHEN o_orderkey % 2 <> 0 THEN CAST(1 + floor(o_custkey / CAST(7 AS DOUBLE)) AS BIGINT) END AS frame_no, o_orderkey AS run_id,
        CAST(floor(o_orderkey / CAST(2 AS DOUBLE)) AS BIGINT) AS viewpoint_id,
        CASE WHEN o_orderkey % 2 = 0 THEN 'stack' ELSE 'frame' END AS image_kind,
        CASE WHEN floor(o_orderkey / CAST(2 AS DOUBLE)) % 5 = 0 THEN 2 WHEN o_custkey % 11 = 0 THEN 3 ELSE 1 END AS batch_id,
@@ -94,12 +94,14 @@ SELECT DISTINCT detection_id AS image_id, CAST(floor(detection_id / CAST(2 AS DO
        bbox_x % 7 = 0 AS removed, bbox_y % 5 = 0 AS accepted, bbox_w % 4 = 0 AS auto_confirmed,
        CAST(floor(detection_id / CAST(2 AS DOUBLE)) AS BIGINT) * 32 + bbox_w % 8 AS object_id, bbox_h % 3 = 0 AS is_rep,
        bbox_h % 5 = 0 AS geom_edited,
-       bbox_x, bbox_y, bbox_w, bbox_h, CASE WHEN bbox_w % 9 = 0 THEN 'manual' WHEN bbox_w % 7 = 0 THEN 'orphan' ELSE 'exact' END AS bind
+       bbox_x, bbox_y, bbox_w, bbox_h, CASE WHEN bbox_w % 9 = 0 THEN 'manual' WHEN bbox_w % 7 = 0 THEN 'orphan' ELSE 'exact' END AS bind,
+       concat('[', bbox_x, ',', bbox_y, ',', bbox_x + bbox_w, ',', bbox_y, ',', bbox_x + bbox_w, ',', bbox_y + bbox_h, ',', bbox_x + CAST(floor(bbox_w / CAST(3 AS DOUBLE)) AS INT), ',', bbox_y + bbox_h, ',', bbox_x, ',', bbox_y + bbox_h - CAST(floor(bbox_h / CAST(4 AS DOUBLE)) AS INT), ']') AS polygon
 FROM {candidate} WHERE (bbox_x + bbox_y) % 3 = 0
 UNION ALL
 SELECT o_orderkey, CAST(floor(o_orderkey / CAST(2 AS DOUBLE)) AS BIGINT), NULL, concat('m', lpad(lower(hex(o_orderkey)), 8, '0')), 'manual',
        o_orderkey % 17 = 0, FALSE, FALSE, CAST(floor(o_orderkey / CAST(2 AS DOUBLE)) AS BIGINT) * 32 + 16 + o_orderkey % 4, TRUE, FALSE,
-       CAST(o_orderkey % 50 AS INT), CAST(o_orderkey % 40 AS INT), 20, 30, 'manual'
+       CAST(o_orderkey % 50 AS INT), CAST(o_orderkey % 40 AS INT), 20, 30, 'manual',
+       concat('[', CAST(o_orderkey % 50 AS INT), ',', CAST(o_orderkey % 40 AS INT), ',', CAST(o_orderkey % 50 AS INT) + 20, ',', CAST(o_orderkey % 40 AS INT), ',', CAST(o_orderkey % 50 AS INT) + 20, ',', CAST(o_orderkey % 40 AS INT) + 30, ',', CAST(o_orderkey % 50 AS INT) + CAST(floor(20 / CAST(3 AS DOUBLE)) AS INT), ',', CAST(o_orderkey % 40 AS INT) + 30, ',', CAST(o_orderkey % 50 AS INT), ',', CAST(o_orderkey % 40 AS INT) + 30 - CAST(floor(30 / CAST(4 AS DOUBLE)) AS INT), ']')
 FROM {orders} WHERE o_orderkey % 23 = 0""",
     "object": """
 SELECT object_id, min(viewpoint_id) AS viewpoint_id, min(batch_id) AS batch_id,
