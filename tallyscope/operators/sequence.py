@@ -59,11 +59,14 @@ class Blocks:
             .drop("_v", "_blk_before", *self.names)
         )
 
-    def row_number(self, df: DataFrame, out: str) -> DataFrame:
-        """1-based position inside the key."""
+    def row_number(self, df: DataFrame, out: str, total: str | None = None) -> DataFrame:
+        """1-based position inside the key, and in ``total`` the rows of the key."""
         tagged = self.tag(df)
         sums = tagged.groupBy(*self.keys, *self.names).agg(F.count("*").alias("_bn"))
-        sums = sums.withColumn("_blk_before", F.sum("_bn").over(self.across.rowsBetween(Window.unboundedPreceding, -1))).drop("_bn")
+        sums = sums.withColumn("_blk_before", F.sum("_bn").over(self.across.rowsBetween(Window.unboundedPreceding, -1)))
+        if total:
+            sums = sums.withColumn(total, F.sum("_bn").over(Window.partitionBy(*self.keys)))
+        sums = sums.drop("_bn")
         return (
             self._join(tagged, sums)
             .withColumn(out, (F.coalesce(F.col("_blk_before"), F.lit(0)) + F.row_number().over(self.inside)).cast("bigint"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.operators.rollup import upper_median
@@ -180,19 +180,16 @@ def _profile_blocks() -> Blocks:
 
 def profile_thin(points: DataFrame, cap: int = PROFILE_POINTS) -> DataFrame:
     """Series above ``cap`` points cut into cap/2 runs, of which the lowest and the highest measured point stay."""
-    placed = _profile_blocks().row_number(points, "_r")
-    n = points.groupBy(*SERIES).agg(F.count("*").alias("_n"))
-    placed = placed.join(n, SERIES)
+    placed = _profile_blocks().row_number(points, "_r", "_n")
     buckets = max(1, cap // 2)
     width = F.col("_n") / F.lit(float(buckets))
-    placed = placed.withColumn("_b", F.when(F.col("_n") > cap, F.ceil(F.col("_r") / width) - 1))
-    long = placed.filter("_b IS NOT NULL")
+    # In a short series every point is a run of its own.
+    placed = placed.withColumn("_b", F.when(F.col("_n") > cap, F.ceil(F.col("_r") / width) - 1).otherwise(F.col("_r")))
     point = F.struct("depth_mm", "value")
-    ends = long.groupBy(*SERIES, "_b").agg(
+    ends = placed.groupBy(*SERIES, "_b").agg(
         F.min_by(point, F.struct("value", "depth_mm")).alias("lo"), F.max_by(point, F.struct(F.col("value"), (-F.col("depth_mm")).alias("d"))).alias("hi")
     )
-    picked = ends.select(*SERIES, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("_p")).select(*SERIES, "_p.depth_mm", "_p.value")
-    return placed.filter("_b IS NULL").select(*SERIES, "depth_mm", "value").unionByName(picked)
+    return ends.select(*SERIES, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("_p")).select(*SERIES, "_p.depth_mm", "_p.value")
 
 
 def profile_segments(points: DataFrame) -> DataFrame:
@@ -200,18 +197,30 @@ def profile_segments(points: DataFrame) -> DataFrame:
     blocks = _profile_blocks()
     p = blocks.previous(points, {"depth_mm": "_before"}).withColumn("_gap", F.col("depth_mm") - F.col("_before"))
     stats = p.groupBy(*SERIES).agg(upper_median("_gap").alias("_mid"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    p = p.join(stats, SERIES)
+    p = _placed(p.join(stats, SERIES))
+    return blocks.running_sum(p, "segment", F.col("_cut")).select(*SERIES, "depth_mm", "value", "x", "segment")
+
+
+def _placed(p: DataFrame) -> DataFrame:
+    """Add ``x``, the value on 0..100, and ``_cut``, whether a stretch begins, from the gap and the stats of the series."""
     broken = F.coalesce(F.col("_gap") > F.col("_mid") * PROFILE_GAP, F.lit(False))
     span = F.col("_hi") - F.col("_lo")
     x = F.round((F.col("value") - F.col("_lo")) / F.when(span == 0, 1.0).otherwise(span) * 100, 3)
-    p = p.withColumn("x", x).withColumn("_cut", broken.cast("bigint"))
-    return blocks.running_sum(p, "segment", F.col("_cut")).select(*SERIES, "depth_mm", "value", "x", "segment")
+    return p.withColumn("x", x).withColumn("_cut", broken.cast("bigint"))
 
 
 def core_profiles(points: DataFrame, chosen: DataFrame, cap: int = PROFILE_POINTS) -> DataFrame:
-    """The chosen series, thinned and broken, with their place in the display order."""
-    mine = points.join(chosen.select(*SERIES), SERIES, "left_semi")
-    return profile_segments(profile_thin(mine, cap)).join(chosen.select(*SERIES, "sort_order"), SERIES)
+    """The chosen series, thinned and broken, with their place in the display order.
+
+    A thinned series has ``cap`` points at most, so from there on one window per series serves gaps, stats and stretches.
+    """
+    thin = profile_thin(points.join(chosen.select(*SERIES), SERIES, "left_semi"), cap)
+    along, whole = Window.partitionBy(*SERIES).orderBy("depth_mm"), Window.partitionBy(*SERIES)
+    p = thin.withColumn("_gap", F.col("depth_mm") - F.lag("depth_mm").over(along))
+    middle = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY _gap DESC) OVER (PARTITION BY {', '.join(SERIES)})")
+    p = p.withColumns({"_mid": middle, "_lo": F.min("value").over(whole), "_hi": F.max("value").over(whole)})
+    p = _placed(p).withColumn("segment", F.sum("_cut").over(along))
+    return p.select(*SERIES, "depth_mm", "value", "x", "segment").join(chosen.select(*SERIES, "sort_order"), SERIES)
 
 
 def nice_step(span: Column) -> Column:
