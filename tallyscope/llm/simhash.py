@@ -252,6 +252,8 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     first = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     named = distinct.join(roots.join(first, "root").select("fp", "root", "component_id"), "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
+    # Dealt anew, so that the join deals both its sides itself and may split a fingerprint of very many copies.
+    named = named.hint("rebalance")
     return prints.join(named, "fp").select("doc_id", "k", "fp", "root", "component_id")
 
 
