@@ -208,7 +208,8 @@ def spans(documents: DataFrame, size: int, gram: int, pieces_limit: int) -> Data
 
     found = cut(mapped(documents.where(F.octet_length("text") >= size), find, KINDS))
     rows = found.select("d", "k", F.explode("pieces").alias("p")).select("d", "k", "p.*")
-    shared = rows.groupBy("h").agg(F.sum(F.size("starts")).alias("n")).where("n > 1").select("h")
+    # Dealt anew, here and below, so that the join deals both its sides itself and may split an anchor of very many rows.
+    shared = rows.groupBy("h").agg(F.sum(F.size("starts")).alias("n")).where("n > 1").select("h").hint("rebalance")
     rows = cut(rows.join(shared, "h").select("h", "ph", "len", "d", "k", "starts"))
     different = rows.groupBy("h", "ph", "len").agg(
         F.sum(F.size("starts")).alias("n"), F.min(F.struct("d", "k", F.element_at("starts", 1).alias("start"))).alias("at"))
@@ -230,7 +231,7 @@ def spans(documents: DataFrame, size: int, gram: int, pieces_limit: int) -> Data
     inside = sorted_blocks(texts.where(F.col("kinds") <= pieces_limit), size).unionByName(counted_strings(texts.where(F.col("kinds") > pieces_limit), size))
     marks = different.join(inside, ["h", "ph", "len"], "left").where("n > 1 or repeated is not null").select(
         "h", "ph", "len", F.when(F.col("n") <= 1, F.col("repeated")).alias("repeated"))
-    covered = rows.join(marks, ["h", "ph", "len"]).select("d", "k", F.struct("starts", "len", "repeated").alias("c"))
+    covered = rows.join(marks.hint("rebalance"), ["h", "ph", "len"]).select("d", "k", F.struct("starts", "len", "repeated").alias("c"))
     return covered.groupBy("d", "k").agg(F.collect_list("c").alias("cover"))
 
 

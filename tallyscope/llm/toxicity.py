@@ -1,6 +1,6 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
-Fit: over all labelled rows, the documents of each class that use a word are counted, and so are those that use one of its
+Fit: over the labelled rows, the documents of each class that use a word are counted, and so are those that use one of its
 stems (proper prefixes of several lengths); one document counts once, however often it repeats a word. The share of a word's documents
 that are toxic gets a Dirichlet prior around the overall share; its score is the lower end of the log-odds against that
 share, so that a rare word proves nothing. A word counts as much as the best of itself
@@ -10,8 +10,8 @@ Scan: the maximal scoring segments of a document are found in one pass (Ruzzo an
 text follows an extreme-value law whose place grows with the log of the length; place and scale are fitted on clean
 rows that the counts did not see, and a logistic curve on the standardised sum gives the score.
 
-Counts live in hashed tables of fixed size, so what is broadcast is bounded. Calibration uses at most
-``calibration_rows`` labelled rows, the first by a hash of the id.
+Counts live in a hashed table of fixed size, so what is broadcast is bounded. Fit and calibration each use at most
+``rows_per_class`` labelled rows of each class, the first by a hash of the id.
 
 Null, empty and wordless texts have no segment and score as the cleanest text of no words. Labels without a document,
 null labels and null ids teach nothing; repeated rows are scored each. Without labels of both classes the score is 0.
@@ -38,7 +38,7 @@ SIGMAS = 3.0
 DRIFT = 0.3
 NOTHING = -0.5  # score of words that prove nothing
 TOP = 60.0
-CALIBRATION_ROWS = 8192
+ROWS_PER_CLASS = 8192
 CACHE_WORDS = 400_000
 SCORED = "doc_id bigint, n_words bigint, top double, segments array<struct<start:bigint,stop:bigint,sum:double>>"
 
@@ -183,12 +183,20 @@ def calibrate(model: Model, rows: list) -> Model:
     return Model(model.slots, place, slope, scale, float(beta[0]), float(beta[1]))
 
 
+def sample(marks: DataFrame, rows_per_class: int) -> DataFrame:
+    """At most so many rows of each class of (mark, label): the first by a hash of the id."""
+    parts = [marks.where(F.col("label") == c).orderBy(F.xxhash64("mark"), "mark").limit(rows_per_class) for c in (0, 1)]
+    return parts[0].unionByName(parts[1])
+
+
 def fit(documents: DataFrame, labels: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-        held_out: int = 2, calibrating: int = 3, calibration_rows: int = CALIBRATION_ROWS) -> Model:
-    """Labels of rows in fold ``held_out`` are never read; fold ``calibrating`` serves the calibration alone."""
+        held_out: int = 2, calibrating: int = 3, rows_per_class: int = ROWS_PER_CLASS) -> Model:
+    """Labels of rows in fold ``held_out`` are never read; fold ``calibrating`` serves the calibration alone. Both the
+    counts and the calibration use at most ``rows_per_class`` labelled rows of each class, so ids fit a broadcast."""
     docs = pick(documents, id=doc_id, text=text)
     marks = pick(labels, mark=doc_id, label=label).where("label in (0, 1) and mark is not null").where(fold(F.col("mark")) != held_out)
-    rows = counts(docs.join(marks.where(fold(F.col("mark")) != calibrating), F.col("id") == F.col("mark")).select("label", "text"))
+    counted = sample(marks.where(fold(F.col("mark")) != calibrating), rows_per_class)
+    rows = counts(docs.join(F.broadcast(counted), F.col("id") == F.col("mark")).select("label", "text"))
     # Slots of fewer toxic rows can have no positive bound; the rest, a row per slot at most, makes the table.
     summed = rows.groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("slot < 0 or toxic > 2").toArrow()
     slot, toxic, clean = (summed[c].to_numpy() for c in ("slot", "toxic", "clean"))
@@ -198,12 +206,12 @@ def fit(documents: DataFrame, labels: DataFrame, key: str, doc_id: str = "doc_id
         return Model(bounds)
     bounds[slot[slot >= 0]] = np.maximum(lower_bounds(toxic, clean, all_toxic / (all_toxic + all_clean))[slot >= 0], NOTHING)
     model = Model(bounds)
-    chosen = marks.where(fold(F.col("mark")) == calibrating).orderBy(F.xxhash64("mark"), "mark", "label").limit(calibration_rows)
-    seen = docs.join(F.broadcast(chosen), F.col("id") == F.col("mark")).select("id", "label", "text")
-    tops = passages(seen, model, key + "-calibration").groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.max("top").alias("top"))
-    table = tops.join(F.broadcast(chosen), F.col("doc_id") == F.col("mark")).groupBy(
+    chosen = sample(marks.where(fold(F.col("mark")) == calibrating), rows_per_class)
+    seen = docs.join(F.broadcast(chosen), F.col("id") == F.col("mark")).select("id", "text")
+    tops = passages(seen, model, key).groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.max("top").alias("top"))
+    cells = tops.join(F.broadcast(chosen), F.col("doc_id") == F.col("mark")).groupBy(
         "label", F.floor(F.log2(F.col("n_words") + 1)).alias("size"), F.round(F.least(F.col("top"), F.lit(TOP)) * 4).alias("quarter")).count()
-    grid = [tuple(r) for r in table.collect()]
+    grid = [tuple(r) for r in cells.collect()]
     return calibrate(model, grid) if grid else model
 
 
