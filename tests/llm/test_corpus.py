@@ -165,10 +165,21 @@ def whole_classes(df):
 @pytest.mark.parametrize("bucket", [256, 2])
 def test_paragraphs(spark, odd, clashing, bucket):
     for df in (table(spark, "documents").where("doc_id < 120"), odd, clashing):
-        found = paragraphs.near_duplicates(df, bucket=bucket, recall=0.99999).collect()
-        assert sorted((str(r["doc_id"]), r["paragraph"], r["members"]) for r in found) == whole_classes(df)
-        stay = Counter(r["class_id"] for r in found if not r["removed"])
-        assert all(n >= 1 for n in stay.values()) and set(stay) == {r["class_id"] for r in found}
+        every = paragraphs.near_duplicates(df, bucket=bucket, recall=0.99999).collect()
+        found = [r for r in every if r["kind"] == "paragraph"]
+        assert sorted((str(r["doc_id"]), r["place"], r["members"]) for r in found) == whole_classes(df)
+        stay = Counter(r["class_id"] for r in every if not r["removed"])
+        assert all(n >= 1 for n in stay.values()) and set(stay) == {r["class_id"] for r in every}
+
+
+def test_passages_inside_paragraphs(spark):
+    rng = random.Random(6)
+    text = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    shared = text(paragraphs.LEAST_WORDS + paragraphs.REACH + paragraphs.SHINGLE)
+    rows = [(i, " ".join([*text(rng.randint(0, 90)), *(shared if i % 3 == 0 else []), *text(rng.randint(0, 90))])) for i in range(30)]
+    found = paragraphs.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"] for r in found} == set(range(0, 30, 3)) and {r["kind"] for r in found} <= {"passage", "paragraph"}
+    assert all(r["members"] >= 2 for r in found) and 0 in {r["doc_id"] for r in found if not r["removed"]}
 
 
 def test_paragraphs_empty(empty):
