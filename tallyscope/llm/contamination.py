@@ -4,8 +4,9 @@ An item is cut into windows of ``width`` consecutive words (a shorter item is on
 into one automaton, and each document is read by it once, as normalised words; matches are mapped back to the text by
 word position.
 
-The item table is broadcast. It is a set of tests, not a corpus; its size is checked, and items beyond ``block_bytes``
-go into further automata, each of bounded size, that read the text one after the other in the same task.
+Items reach the driver and the tasks in blocks of at most ``block_bytes``, one block at a time. A set of tests is one
+block, read in one pass; a larger one is read in as many passes, each with its own automaton, and the rows wait in the
+checkpoint folder between passes.
 
 Null and empty texts have no words. Repeated documents and repeated items keep their rows and ids; items of the same
 text are all reported; an item without words never occurs; with no items nothing is hit.
@@ -20,15 +21,17 @@ from collections.abc import Callable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyscope.llm.common import WORD_BYTES, octets, pick, slices
+from tallyscope.session import cut
 
 WIDTH = 10
 BLOCK_BYTES = 32 << 20
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 BUILT: dict[str, list] = {}  # in a worker, by the scan they belong to
+HELD = "array<struct<place:bigint,n:bigint,items:array<string>>>"
 HITS = "id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,stop:bigint>>"
 
 
@@ -64,37 +67,61 @@ def automaton(block: list[tuple[str, bytes]], width: int) -> ahocorasick.Automat
     return found
 
 
-def shared_automata(items: DataFrame, item_id: str, text: str, width: int, block_bytes: int) -> Callable[[], list[ahocorasick.Automaton]]:
-    """A function for tasks that gives the automata, built once in each worker."""
-    shared = items.sparkSession.sparkContext.broadcast(list(item_blocks(items, item_id, text, block_bytes)))
+def shared_automaton(spark: SparkSession, block: list[tuple[str, bytes]], width: int) -> Callable[[], ahocorasick.Automaton]:
+    """A function for tasks that gives the automaton of a block, built once in each worker."""
+    shared = spark.sparkContext.broadcast(block)
     run_id = uuid.uuid4().hex
 
-    def get() -> list[ahocorasick.Automaton]:
+    def get() -> ahocorasick.Automaton:
         if run_id not in BUILT:
-            BUILT[run_id] = [automaton(b, width) for b in shared.value]
+            BUILT.clear()  # one at a time
+            BUILT[run_id] = automaton(shared.value, width)
         return BUILT[run_id]
 
     return get
 
 
-def matched(raw: bytes, automata: list[ahocorasick.Automaton]) -> tuple[list[bytes], str, list[tuple[int, int, set[str]]]]:
+def matched(raw: bytes, found: ahocorasick.Automaton) -> tuple[list[bytes], str, list[tuple[int, int, set[str]]]]:
     """Words, normalised text, and the windows found in it as (place, words, items)."""
     words = raw.translate(WORD_BYTES).split()
     norm = (b" " + b" ".join(words) + b" ").decode("latin-1") if words else ""
-    return words, norm, [(end + 1 - size, n, ids) for a in automata for end, (size, n, ids) in a.iter(norm)] if norm else []
+    return words, norm, [(end + 1 - size, n, ids) for end, (size, n, ids) in found.iter(norm)] if norm and len(found) else []
+
+
+def noted(rows: DataFrame, block: list[tuple[str, bytes]], width: int) -> DataFrame:
+    """(id, text, held) with the windows of ``block`` added to ``held``."""
+    get = shared_automaton(rows.sparkSession, block, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            held = [
+                old + [{"place": p, "n": n, "items": sorted(ids)} for p, n, ids in matched(raw, get())[2]]
+                for raw, old in zip(octets(batch.column("text")), batch.column("held").to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(held, batch.column("held").type)], names=["id", "text", "held"])
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def scan(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
          item_text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: number of words, of words inside a window, the items found, and the spans (in characters of
     the original text) that the windows cover."""
-    automata = shared_automata(items, item_id, item_text, width, block_bytes)
+    spark = documents.sparkSession
+    rows = pick(documents, id=doc_id, text=text).withColumn("held", F.expr(f"cast(array() as {HELD})"))
+    block: list[tuple[str, bytes]] = []
+    for i, following in enumerate(item_blocks(items, item_id, item_text, block_bytes)):
+        if i:
+            rows = cut(noted(rows, block, width))
+        block = following
+    get = shared_automaton(spark, block, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             counts, hits, found, spans = [], [], [], []
-            for raw in octets(batch.column("text")):
-                words, norm, matches = matched(raw, automata())
+            for raw, held in zip(octets(batch.column("text")), batch.column("held").to_pylist()):
+                words, norm, matches = matched(raw, get())
+                matches += [(h["place"], h["n"], set(h["items"])) for h in held]
                 counts.append(len(words))
                 n_hit, ids, cover = cover_of(raw, norm, len(words), matches)
                 hits.append(n_hit)
@@ -105,7 +132,7 @@ def scan(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: s
                  pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))],
                 names=["id", "n_words", "n_hit", "items", "spans"])
 
-    return pick(documents, id=doc_id, text=text).mapInArrow(run, HITS)
+    return rows.mapInArrow(run, HITS)
 
 
 def cover_of(raw: bytes, norm: str, n_words: int, matches: list[tuple[int, int, set[str]]]) -> tuple[int, list[str], list[dict]]:
@@ -132,16 +159,19 @@ def cover_of(raw: bytes, norm: str, n_words: int, matches: list[tuple[int, int,
 def clean(documents: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
           width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``documents`` without the rows in which a window occurs."""
-    automata = shared_automata(items, item_id, item_text, width, block_bytes)
-    place = documents.columns.index(text)
+    names = {c: f"c{i}" for i, c in enumerate(documents.columns)}
+    rows = documents.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    for i, block in enumerate(item_blocks(items, item_id, item_text, block_bytes)):
+        rows = without(cut(rows) if i else rows, documents.columns.index(text), shared_automaton(rows.sparkSession, block, width))
+    return rows.select(*(F.col(n).alias(c) for c, n in names.items()))
 
+
+def without(rows: DataFrame, place: int, get: Callable[[], ahocorasick.Automaton]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([not matched(raw, automata())[2] for raw in octets(batch.column(place))], pa.bool_()))
+            yield batch.filter(pa.array([not matched(raw, get())[2] for raw in octets(batch.column(place))], pa.bool_()))
 
-    names = {c: f"c{i}" for i, c in enumerate(documents.columns)}
-    rows = documents.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
-    return rows.mapInArrow(run, rows.schema).select(*(F.col(n).alias(c) for c, n in names.items()))
+    return rows.mapInArrow(run, rows.schema)
 
 
 def digest(hits: DataFrame) -> DataFrame:

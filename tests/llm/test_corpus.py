@@ -374,12 +374,16 @@ def test_decontamination(spark, odd, clashing, empty):
     odd_items = [(1, "some WORDS, without"), (2, None), (3, ""), (4, "...!"), (5, "some words without"), (6, " ".join(odd_rows()[0][1].split()[20:45])), (None, "w1")]
     for df, chosen in ((table(spark, "documents"), items), (odd, odd_items), (clashing, odd_items)):
         bench = spark.createDataFrame(chosen, "item_id bigint, text string")
-        for block in (contamination.BLOCK_BYTES, 40):
+        for block in (contamination.BLOCK_BYTES, sum(len(t or "") for _, t in chosen) // 3):
             hits = contamination.digest(contamination.scan(df, bench, block_bytes=block))
             assert got(hits) == brute.benchmark_hits(pairs(df), [c for c in chosen if c[0] is not None])
     nothing = spark.createDataFrame([], "item_id bigint, text string")
     assert contamination.scan(odd, nothing).where("n_hit > 0").count() == 0
     assert contamination.scan(empty, bench).collect() == []
+    for block in (contamination.BLOCK_BYTES, 60):
+        clean = contamination.clean(odd, spark.createDataFrame(odd_items, "item_id bigint, text string"), block_bytes=block)
+        want = [r for r in odd_rows() if not brute.benchmark_hits([r[:2]], odd_items[:-1])[0][5]]
+        assert got(clean) == sorted(want, key=str)
 
 
 def test_spans_lie_in_the_original(spark):
