@@ -182,6 +182,42 @@ def test_passages_inside_paragraphs(spark):
     assert all(r["members"] >= 2 for r in found) and 0 in {r["doc_id"] for r in found if not r["removed"]}
 
 
+@pytest.mark.parametrize("around", [paragraphs.AROUND, 1])
+def test_whole_passages(spark, around):
+    """The maximal runs, word by word, and what is left without the later ones."""
+    rng = random.Random(16)
+    text = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    shared, more = text(51), text(130)
+    inside = [shared, [*more, *shared], more[:60], shared, [*text(1), *more[40:]], [*shared, *more[70:]], text(60)]
+    rows, want, left = [], [], []
+    for i, run in enumerate(inside):
+        before, after = text(70 + i), text(80)
+        rows.append((i, " ".join([*before, *run, *after])))
+    find = lambda i, words: f" {rows[i][1]} ".index(" " + " ".join(words) + " ")
+    place = lambda i, words: len(rows[i][1][: find(i, words)].split())
+    # Text 1 repeats text 0 and is the first to hold ``more``; its own run is parted where the earlier words begin.
+    stay = [(0, shared), (1, more)]
+    gone = [(1, shared), (2, more[:60]), (3, shared), (4, more[40:]), (5, [*shared, *more[70:]])]
+    want = sorted([(i, place(i, w), len(w), False) for i, w in stay] + [(i, place(i, w), len(w), True) for i, w in gone])
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = [r for r in paragraphs.near_duplicates(df, around=around).collect() if r["kind"] == "passage"]
+    assert sorted((r["doc_id"], r["place"], r["n_words"], r["removed"]) for r in found) == want
+    assert len({r["class_id"] for r in found}) == 1 and {r["members"] for r in found} == {7}
+    left = dict(tuple(r) for r in paragraphs.strip(df, around=around).collect())
+    cut = dict(gone)
+    assert left == {i: t.replace(" ".join(cut[i]) + " ", "") if i in cut else t for i, t in rows}
+
+
+def test_stripped_paragraphs(spark, odd, clashing, empty):
+    for df in (odd, clashing):
+        left = paragraphs.strip(df)
+        assert left.dtypes == df.dtypes and left.count() == df.count()
+        texts = {i: t for i, t in pairs(left) if i in (1, 3, 4, 7, 8)}
+        before = {i: t for i, t in pairs(df)}
+        assert texts == {i: before[i] if i != 3 else "" for i in texts}
+    assert paragraphs.strip(empty).collect() == []
+
+
 def test_paragraphs_empty(empty):
     assert paragraphs.near_duplicates(empty).collect() == []
 
