@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 from collections import Counter
 from html import unescape
 
@@ -218,6 +219,36 @@ def test_stripped_paragraphs(spark, odd, clashing, empty):
     assert paragraphs.strip(empty).collect() == []
 
 
+def test_short_and_wrapped_paragraphs(spark):
+    """Paragraphs cut by a rule of the test's own, not by ``cut_text``."""
+    rng = random.Random(26)
+    text = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    short = [text(n) for n in range(3, 20) for _ in range(2)]
+    near = [[*s[:-1], "other"] for s in short]
+    rows, places = [], []  # places: (id, line, words)
+    for i in range(30):
+        lines = [text(40), *(rng.choice(short + near) for _ in range(rng.randint(0, 9)))]
+        rows.append((i, "\n".join(" ".join(w) for w in lines)))
+        places += [(i, j, w) for j, w in enumerate(lines) if len(w) >= 5]
+    story = [text(120), text(9), text(70)]
+    for i, width in ((30, 80), (31, 72), (32, 10**6)):
+        told = [[*w[:50], f"edit{i}", *w[51:]] if len(w) > 60 else w for w in story]
+        wrapped = [textwrap.wrap(" ".join(w), width) for w in told]
+        rows.append((i, "\n\n".join("\n".join(p) for p in wrapped)))
+        starts = [sum(len(p) + 1 for p in wrapped[:j]) for j in range(3)]
+        places += list(zip([i] * 3, starts, told))
+    rows.append((33, " ".join(short[10])))
+    places.append((33, 0, short[10]))
+    sets = [{tuple(w[a : a + 5]) for a in range(len(w) - 4)} for _, _, w in places]
+    group = brute.classes(len(places), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9)
+    size = Counter(group)
+    want = sorted((i, j, len(w), size[g]) for (i, j, w), g in zip(places, group) if size[g] > 1)
+    assert {(30, 0, 120, 3), (31, 0, 120, 3), (32, 0, 120, 3)} <= set(want) and any(i == 33 for i, *_ in want)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = [r for r in paragraphs.near_duplicates(df, recall=0.99999).collect() if r["kind"] == "paragraph"]
+    assert sorted((r["doc_id"], r["place"], r["n_words"], r["members"]) for r in found) == want
+
+
 def test_paragraphs_empty(empty):
     assert paragraphs.near_duplicates(empty).collect() == []
 
