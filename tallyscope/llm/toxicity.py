@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.llm.common import WORD_BYTES, mapped, octets, pick, slices
+from tallyscope.session import cut
 
 SLOTS = 1 << 21
 STEMS = (4, 5, 6, 7, 8)
@@ -69,6 +70,12 @@ def lower_bounds(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarr
     return (odds - SIGMAS * np.sqrt(1 / a + 1 / b)).astype(np.float32)
 
 
+def bound_column(share: float) -> Column:
+    """``lower_bounds`` of the columns toxic and clean."""
+    a, b = F.col("toxic") + PRIOR * share, F.col("clean") + PRIOR * (1 - share)
+    return F.log(a / b) - math.log(share / (1 - share)) - SIGMAS * F.sqrt(1 / a + 1 / b)
+
+
 def counts(labelled: DataFrame) -> DataFrame:
     """Toxic and clean rows that use each slot: (slot, toxic, clean); the sums over all words are in slot -1."""
 
@@ -197,14 +204,16 @@ def fit(documents: DataFrame, labels: DataFrame, key: str, doc_id: str = "doc_id
     marks = pick(labels, mark=doc_id, label=label).where("label in (0, 1) and mark is not null").where(fold(F.col("mark")) != held_out)
     counted = sample(marks.where(fold(F.col("mark")) != calibrating), rows_per_class)
     rows = counts(docs.join(F.broadcast(counted), F.col("id") == F.col("mark")).select("label", "text"))
-    # Slots of fewer toxic rows can have no positive bound; the rest, a row per slot at most, makes the table.
-    summed = rows.groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("slot < 0 or toxic > 2").toArrow()
-    slot, toxic, clean = (summed[c].to_numpy() for c in ("slot", "toxic", "clean"))
-    all_toxic, all_clean = int(toxic[slot < 0].sum()), int(clean[slot < 0].sum())
+    summed = cut(rows.groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+    total = summed.where("slot < 0").first()
     bounds = np.full(SLOTS, NOTHING, np.float32)
-    if not all_toxic or not all_clean:
+    if total is None or not total.toxic or not total.clean:
         return Model(bounds)
-    bounds[slot[slot >= 0]] = np.maximum(lower_bounds(toxic, clean, all_toxic / (all_toxic + all_clean))[slot >= 0], NOTHING)
+    # Slots that prove something, a row per slot at most, make the table.
+    share = total.toxic / (total.toxic + total.clean)
+    found = summed.where("slot >= 0").where(bound_column(share) > NOTHING).toArrow()
+    slot, toxic, clean = (found[c].to_numpy() for c in ("slot", "toxic", "clean"))
+    bounds[slot] = np.maximum(lower_bounds(toxic, clean, share), NOTHING)
     model = Model(bounds)
     chosen = sample(marks.where(fold(F.col("mark")) == calibrating), rows_per_class)
     seen = docs.join(F.broadcast(chosen), F.col("id") == F.col("mark")).select("id", "text")

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import textwrap
+import zlib
 from collections import Counter
 from html import unescape
 
@@ -288,6 +289,14 @@ def test_classifiers_on_odd_rows(spark, odd, clashing, empty):
     assert toxicity.score(empty, toxicity.fit(empty, labels, "none"), "none").collect() == []
 
 
+def test_few_toxic_rows_keep_their_words(spark):
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 4 < 2][:300]
+    rows = [(i, "bad one two" if n < 2 else f"w{n % 50} one two") for n, i in enumerate(ids)]
+    labels = spark.createDataFrame([(i, int(n < 2)) for n, i in enumerate(ids)], "doc_id bigint, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), labels, "few")
+    assert model.slots[zlib.crc32(b"bad") % toxicity.SLOTS] > 1 and model.slots[zlib.crc32(b"one") % toxicity.SLOTS] < 0
+
+
 def test_model_learns_held_back_words():
     rng = random.Random(2)
     good, bad = [f"wort{i}" for i in range(50)], [f"junk{i}***" for i in range(50)]
