@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm import contamination, embedding, packing, pages, paragraphs, rules, simhash, suffixes, tokens, toxicity
+from tallyscope.llm import contamination, embedding, packing, pages, paragraphs, periodic, rules, simhash, suffixes, tokens, toxicity
 from tallyscope.llm.common import pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +86,29 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contamination.digest(contamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Texts of one id in ten repeat a stretch of theirs up to the end; a text without an id stays as it is."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return (words[:a] + words[a : a + p] * (1 + (n - a) // p))[:n]
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.runs(table(spark, sf_dir, "documents"), rewrite=planted)
+    # The longest one; of several the first, then the least period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    text = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select("*", best.alias("best"), text.alias("lines")).selectExpr(
+        "doc_id", "cast(size(runs) as bigint) as n_runs", "-best.start as start", "best.length as length", "-best.period as period",
+        "1000 * best.length div best.period as exponent_milli", "sha2(lines, 256) as runs_sha256", "sha2(collapsed, 256) as collapsed_sha256")
+
+
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLES["op10_benchmark_decontamination"] = f"""
 WITH docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
@@ -114,3 +138,27 @@ heads AS (SELECT g.doc_id, string_agg(substr(x, 2 * c + 1, 2 * (a - c)), '' ORDE
 SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
   sha256(unhex(CASE WHEN last IS NULL THEN x ELSE concat(head, substr(x, 2 * last + 1)) END)) AS kept_sha256
 FROM docs d LEFT JOIN heads h ON h.doc_id = d.doc_id"""
+
+# Pairs of equal strings of six words in one text, no farther apart than their stretch is long, are the runs.
+ORACLES["op11_periodic_runs"] = r"""
+WITH table_of AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i) q),
+docs AS (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda x, c: xor(x >> 8, t[1 + (xor(x, c) & 255)])), 4294967295) AS h FROM documents, table_of),
+sized AS (SELECT *, CAST(len(w) AS BIGINT) AS n, h // 10 AS g FROM docs),
+cut AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM sized),
+turned AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM cut),
+texts AS (SELECT doc_id, k, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM turned),
+grams AS (SELECT k, i, hash(array_to_string(w[i + 1:i + 6], ' ')) AS x FROM (SELECT k, w, unnest(range(n - 5)) AS i FROM texts WHERE n >= 12) q),
+pairs AS (SELECT a.k, a.i, b.i - a.i AS q FROM grams a JOIN grams b ON b.k = a.k AND b.x = a.x AND b.i > a.i),
+islands AS (SELECT k, q, min(i) AS start, count(*) + 5 AS l FROM (SELECT k, q, i, i - row_number() OVER (PARTITION BY k, q ORDER BY i) AS s FROM pairs) z GROUP BY k, q, s),
+runs AS (SELECT k, start, l + q AS length, min(q) AS period FROM islands WHERE l >= q AND l + q >= 12 GROUP BY k, start, l + q),
+gone AS (SELECT DISTINCT k, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT t.k, string_agg(t.v, ' ' ORDER BY t.i) AS txt FROM (SELECT k, unnest(w) AS v, unnest(range(n)) AS i FROM texts) t
+  LEFT JOIN gone g ON g.k = t.k AND g.i = t.i WHERE g.i IS NULL GROUP BY t.k),
+told AS (SELECT k, count(*) AS n_runs, max(struct_pack(length := length, start := -start, period := -period)) AS best,
+  string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines FROM runs GROUP BY k)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, -best.start AS start, best.length AS length, -best.period AS period, 1000 * best.length // best.period AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(txt, '')) AS collapsed_sha256
+FROM texts t LEFT JOIN told ON told.k = t.k LEFT JOIN kept ON kept.k = t.k"""
