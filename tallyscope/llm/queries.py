@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm import contamination, embedding, packing, pages, paragraphs, periodic, rules, simhash, suffixes, tokens, toxicity
+from tallyscope.llm import collocations, contamination, embedding, packing, pages, paragraphs, periodic, rules, secrets, simhash, suffixes, tokens, toxicity
 from tallyscope.llm.common import pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,7 +106,26 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
     return found.select("*", best.alias("best"), text.alias("lines")).selectExpr(
         "doc_id", "cast(size(runs) as bigint) as n_runs", "-best.start as start", "best.length as length", "-best.period as period",
-        "1000 * best.length div best.period as exponent_milli", "sha2(lines, 256) as runs_sha256", "sha2(collapsed, 256) as collapsed_sha256")
+        "1000 * best.length div -best.period as exponent_milli", "sha2(lines, 256) as runs_sha256", "sha2(collapsed, 256) as collapsed_sha256")
+
+
+@query
+def op12_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents"))
+
+    def told(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("bigint").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s.kind != "novel")
+    return found.select("doc_id", *(number(k) for k in ("assign", "access", "hex")), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -159,6 +178,25 @@ kept AS (SELECT t.k, string_agg(t.v, ' ' ORDER BY t.i) AS txt FROM (SELECT k, un
   LEFT JOIN gone g ON g.k = t.k AND g.i = t.i WHERE g.i IS NULL GROUP BY t.k),
 told AS (SELECT k, count(*) AS n_runs, max(struct_pack(length := length, start := -start, period := -period)) AS best,
   string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines FROM runs GROUP BY k)
-SELECT doc_id, coalesce(n_runs, 0) AS n_runs, -best.start AS start, best.length AS length, -best.period AS period, 1000 * best.length // best.period AS exponent_milli,
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, -best.start AS start, best.length AS length, -best.period AS period, 1000 * best.length // -best.period AS exponent_milli,
   sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(txt, '')) AS collapsed_sha256
 FROM texts t LEFT JOIN told ON told.k = t.k LEFT JOIN kept ON kept.k = t.k"""
+
+ORACLES["op13_phrase_collocations"] = r"""
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS p FROM docs) q),
+grams AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS m) z WHERE len(w) >= m) q),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS head, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1) q),
+valued AS (SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, n, CAST(1000 * CAST(c.a AS HUGEINT) * n // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = head JOIN f y ON y.lang = c.lang AND y.phrase = tail JOIN total t ON t.lang = c.lang),
+best AS (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT DISTINCT lang, array_to_string(string_split(phrase, ' ')[i:i + j - 1], ' ') AS phrase, a
+  FROM (SELECT *, unnest(range(1, m - j + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS j FROM f) q) z),
+around AS (SELECT lang, phrase, max(a) AS most FROM inside GROUP BY lang, phrase),
+ranked AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank, b.phrase, a, l, r, n, score
+  FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.phrase = b.phrase WHERE most IS NULL OR 100 * most < 100 * a)
+SELECT * FROM ranked WHERE rank <= 2000"""
