@@ -9,7 +9,8 @@ block, read in one pass; a larger one is read in as many passes, each with its o
 checkpoint folder between passes.
 
 Null and empty texts have no words. Repeated documents and repeated items keep their rows and ids; items of the same
-text are all reported; an item without words never occurs; with no items nothing is hit.
+text are all reported; an item without an id hits like any other but is in no list of ids; an item without words never
+occurs; with no items nothing is hit.
 """
 
 from __future__ import annotations
@@ -35,31 +36,33 @@ HELD = "array<struct<place:bigint,n:bigint,items:array<string>>>"
 HITS = "id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,stop:bigint>>"
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+def item_blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """Normalised items in blocks of at most ``block_bytes`` (an item longer than that stands alone)."""
-    block: list[tuple[str, bytes]] = []
+    block: list[tuple[str | None, bytes]] = []
     held = 0
-    for row in pick(items, i=item_id, t=text).where("i is not null and t is not null").toLocalIterator():
+    for row in pick(items, i=item_id, t=text).where("t is not null").toLocalIterator():
         words = row.t.encode().translate(WORD_BYTES).split()
         if words:
             norm = b" ".join(words)
             if block and held + len(norm) > block_bytes:
                 yield block
                 block, held = [], 0
-            block.append((str(row.i), norm))
+            block.append((None if row.i is None else str(row.i), norm))
             held += len(norm)
     if block:
         yield block
 
 
-def automaton(block: list[tuple[str, bytes]], width: int) -> ahocorasick.Automaton:
+def automaton(block: list[tuple[str | None, bytes]], width: int) -> ahocorasick.Automaton:
     """Windows as latin-1 text between blanks; the value is (words in the window, ids of its items)."""
     windows: dict[bytes, tuple[int, set[str]]] = {}
     for item, norm in block:
         words = norm.split()
         n = min(width, len(words))
         for i in range(len(words) - n + 1):
-            windows.setdefault(b" " + b" ".join(words[i : i + n]) + b" ", (n, set()))[1].add(item)
+            ids = windows.setdefault(b" " + b" ".join(words[i : i + n]) + b" ", (n, set()))[1]
+            if item is not None:
+                ids.add(item)
     found = ahocorasick.Automaton()
     for key, value in windows.items():
         found.add_word(key.decode("latin-1"), (len(key), *value))
@@ -67,7 +70,7 @@ def automaton(block: list[tuple[str, bytes]], width: int) -> ahocorasick.Automat
     return found
 
 
-def shared_automaton(spark: SparkSession, block: list[tuple[str, bytes]], width: int) -> Callable[[], ahocorasick.Automaton]:
+def shared_automaton(spark: SparkSession, block: list[tuple[str | None, bytes]], width: int) -> Callable[[], ahocorasick.Automaton]:
     """A function for tasks that gives the automaton of a block, built once in each worker."""
     shared = spark.sparkContext.broadcast(block)
     run_id = uuid.uuid4().hex
@@ -88,7 +91,7 @@ def matched(raw: bytes, found: ahocorasick.Automaton) -> tuple[list[bytes], str,
     return words, norm, [(end + 1 - size, n, ids) for end, (size, n, ids) in found.iter(norm)] if norm and len(found) else []
 
 
-def noted(rows: DataFrame, block: list[tuple[str, bytes]], width: int) -> DataFrame:
+def noted(rows: DataFrame, block: list[tuple[str | None, bytes]], width: int) -> DataFrame:
     """(id, text, held) with the windows of ``block`` added to ``held``."""
     get = shared_automaton(rows.sparkSession, block, width)
 
@@ -109,7 +112,7 @@ def scan(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: s
     the original text) that the windows cover."""
     spark = documents.sparkSession
     rows = pick(documents, id=doc_id, text=text).withColumn("held", F.expr(f"cast(array() as {HELD})"))
-    block: list[tuple[str, bytes]] = []
+    block: list[tuple[str | None, bytes]] = []
     for i, following in enumerate(item_blocks(items, item_id, item_text, block_bytes)):
         if i:
             rows = cut(noted(rows, block, width))

@@ -85,7 +85,7 @@ def benchmark_hits(rows, items, width=10):
     for item, text in items:
         words = re.findall(rule, lower(text))
         for k in range(max(1, len(words) - width + 1) if words else 0):
-            windows.setdefault(tuple(words[k : k + width]), set()).add(str(item))
+            windows.setdefault(tuple(words[k : k + width]), set()).update([] if item is None else [str(item)])
     out = []
     for i, text in rows:
         words = re.findall(rule, lower(text))
@@ -93,7 +93,7 @@ def benchmark_hits(rows, items, width=10):
         for n in {len(w) for w in windows}:
             for k in range(len(words) - n + 1):
                 found = windows.get(tuple(words[k : k + n]))
-                if found:
+                if found is not None:
                     hit.update(range(k, k + n))
                     ids |= found
         out.append((i, len(words), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
