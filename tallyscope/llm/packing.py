@@ -16,6 +16,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -44,12 +45,16 @@ PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tok
 class WordEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, for a tokenizer whose words never cross white space.
 
+    Texts are first cut at the special strings of the file, which stand for one id each in exactly their own letters.
     Words are cut at blanks and line feeds and looked up; unseen ones are encoded by the library many at a time and told
     apart by the ids that end a word."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # words of lowered text never are special strings
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = {t.content.encode(): np.array([i], "<u4").tobytes() for i, t in added.items()}
+        self.cuts = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special else None
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
@@ -74,6 +79,14 @@ class WordEncoder:
                 start = stop
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text."""
+        if not self.cuts or not any(map(self.cuts.search, texts)):
+            return self.encode_plain(texts)
+        parts = [self.cuts.split(t) for t in texts]
+        plain = iter(self.encode_plain([p for cut in parts for p in cut[::2]]))
+        return [b"".join(self.special[p] if i % 2 else next(plain) for i, p in enumerate(cut)) for cut in parts]
+
+    def encode_plain(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         # bytes.lower changes A-Z only, which the tokenizer lowers as well.
