@@ -1,9 +1,10 @@
 """Quality rules as weak supervision, in DataFrame expressions only.
 
 Each rule looks at a few measures of the text and votes good (1), bad (0) or abstains (null). How far a rule can be
-trusted is not given: expectation-maximisation over the votes of all documents estimates how often each vote of each
-rule is right (votes are taken as independent given the class). The posterior probability of a good document replaces
-an all-must-pass filter; only the two base limits stay absolute.
+trusted is not given. Documents are taken to be of two classes, good and bad, and the votes of a document to be
+independent given its class, abstentions saying nothing; expectation-maximisation over the votes estimates the share of
+good documents and, for each rule and class, how often a vote is good. The posterior probability of a good document
+replaces an all-must-pass filter; only the two base limits stay absolute, and documents that they reject teach nothing.
 
 The estimation needs the number of documents per pattern of votes and nothing else. There are at most 3 to the number
 of rules patterns, so they fit the driver at any size of the corpus, and every document counts.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,11 +28,13 @@ BLANK = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT = 50, 0.5
-ROUNDS = 40
-# Beliefs before any vote is counted: the accuracy of a rule, with the weight of this share of all documents; the bounds
-# of an accuracy; and the share of good documents among those no rule speaks about.
-PRIOR_RIGHT, PRIOR_SHARE, LEAST, MOST = 0.8, 0.002, 0.55, 0.99
-PRIOR_GOOD = 0.5
+# Symbols in a row count once: they are spread over the text if there are many such groups.
+SYMBOL_GROUP = r"[#*$%&|<>]+"
+# Rounds stop when one adds less than this share of a document to the log-likelihood.
+ROUNDS, STILL = 1000, 1e-12
+# Beliefs before any vote is counted, with the weight of this share of all documents: the share of good documents, and
+# how often a vote on a good and on a bad document is good. They keep estimates off 0 and 1.
+PRIOR_SHARE, PRIOR_GOOD, PRIOR_RIGHT, PRIOR_WRONG = 0.002, 0.5, 0.95, 0.5
 
 
 def uses(text: Column, letters: str) -> Column:
@@ -71,25 +75,29 @@ def measure(documents: DataFrame, text: str, name: str) -> DataFrame:
             uses(c(t), "AEO").cast("bigint").alias("n_large_vowels"),
             uses(c(t), "aeo").cast("bigint").alias("n_small_vowels"),
             uses(c(t), "!?").cast("bigint").alias("n_marks"),
+            F.regexp_count(c(t), F.lit(SYMBOL_GROUP)).cast("bigint").alias("n_symbol_groups"),
         ))
         .drop(t, w, l, h, s, d)
     )
 
 
 def votes(m: Column) -> dict[str, Column]:
-    """The rules over a struct of measures. A rule abstains where it sees no sign; each fault has a rule of its own, and
-    one rule speaks for plain running text."""
-    words, chars = m["n_words"], m["word_chars"]
-    plain = (50 * m["n_symbols"] <= words) & (5 * m["n_large_vowels"] <= m["n_small_vowels"]) & (20 * m["n_marks"] <= words)
+    """The rules over a struct of measures. Each has a sign of a fault, a sign of its absence, and abstains between."""
+
+    def rule(bad: Column, good: Column) -> Column:
+        return F.when(bad, 0).when(good, 1)
+
+    words, chars, vowels = m["n_words"], m["word_chars"], m["n_large_vowels"] + m["n_small_vowels"]
     return {
-        "length": F.when(words < MIN_WORDS, 0),
-        "repeats": F.when(3 * m["n_repeat_words"] > words, 0),
-        "symbols": F.when(5 * m["n_symbols"] > words, 0),
-        "word_length": F.when((chars < 2 * words) | (chars > 14 * words), 0),
-        "lines": F.when(2 * m["n_dup_lines"] > m["n_lines"], 0),
-        "capitals": F.when(m["n_large_vowels"] > m["n_small_vowels"], 0),
-        "marks": F.when(2 * m["n_marks"] > words, 0),
-        "plain": F.when(plain, 1),
+        "repeats": rule(4 * m["n_repeat_words"] > words, 20 * m["n_repeat_words"] <= words),
+        "symbols": rule(5 * m["n_symbols"] > words, 50 * m["n_symbols"] <= words),
+        "symbol_groups": rule(10 * m["n_symbol_groups"] > words, 100 * m["n_symbol_groups"] <= words),
+        "word_length": rule((chars < 3 * words) | (chars > 7 * words), (chars >= 4 * words) & (chars <= 6 * words)),
+        # Texts without any of the letters are of another script.
+        "letters": rule((vowels > 0) & (100 * vowels < 22 * chars), (vowels > 0) & (100 * vowels >= 25 * chars)),
+        "lines": rule(4 * m["n_dup_lines"] > m["n_lines"], 10 * m["n_dup_lines"] <= m["n_lines"]),
+        "capitals": rule(m["n_large_vowels"] > m["n_small_vowels"], 5 * m["n_large_vowels"] <= m["n_small_vowels"]),
+        "marks": rule(2 * m["n_marks"] > words, 20 * m["n_marks"] <= words),
     }
 
 
@@ -97,34 +105,54 @@ def base_failed(m: Column) -> Column:
     return (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
 
 
-def estimate(patterns: Sequence[tuple[tuple[int | None, ...], int]], rounds: int = ROUNDS) -> list[dict[int, float]]:
-    """For each rule the log-odds of a good document that each of its votes adds; an abstention adds nothing.
+class Model(NamedTuple):
+    """Share of good documents, and for each rule how often a vote on a good and on a bad document is good."""
+
+    good: float
+    right: list[float]
+    wrong: list[float]
+
+    def log_odds(self, rule: int, vote: int) -> float:
+        a, b = self.right[rule], self.wrong[rule]
+        return math.log(a / b) if vote else math.log((1 - a) / (1 - b))
+
+    def prior(self) -> float:
+        return math.log(self.good / (1 - self.good))
+
+
+def estimate(patterns: Sequence[tuple[tuple[int | None, ...], int]], rounds: int = ROUNDS) -> tuple[Model, list[float]] | None:
+    """The model that expectation-maximisation finds, and the log-likelihood (with that of the prior) round by round.
 
-    A rule's accuracy in a vote is the share of the documents with that vote that are of the class voted for, by the
-    posterior of the round before. Before any vote is counted a document with a bad vote is held to be bad: each rule
-    looks for a fault of its own, so faults hardly overlap. Accuracies have a prior that grows with the number of
-    documents, so the result does not depend on the size of the corpus, and stay within bounds: a rule is better than
-    chance and never certain."""
+    It starts from the votes: a document with a bad vote is held to be bad. The prior grows with the number of documents,
+    so the result does not depend on the size of the corpus."""
     total = sum(n for _, n in patterns)
     if not total:
-        return []
+        return None
     rules = range(len(patterns[0][0]))
     posterior = [0.05 if 0 in pattern else 0.95 if 1 in pattern else PRIOR_GOOD for pattern, _ in patterns]
-    weight = PRIOR_SHARE * total
-    prior = math.log(PRIOR_GOOD / (1 - PRIOR_GOOD))
-    gains: list[dict[int, float]] = []
-    for _ in range(rounds):
-        gains = []
-        for r in rules:
-            gain = {}
-            for v in (0, 1):
-                right = sum((p if v else 1 - p) * n for p, (pattern, n) in zip(posterior, patterns) if pattern[r] == v)
-                voted = sum(n for pattern, n in patterns if pattern[r] == v)
-                accuracy = min(MOST, max(LEAST, (right + weight * PRIOR_RIGHT) / (voted + weight)))
-                gain[v] = math.log(accuracy / (1 - accuracy)) * (1 if v else -1)
-            gains.append(gain)
-        posterior = [1 / (1 + math.exp(-prior - sum(g[v] for g, v in zip(gains, pattern) if v is not None))) for pattern, _ in patterns]
-    return gains
+    weight, history = PRIOR_SHARE * total, []
+    while True:
+        def share(of: list[float], r: int, before: float) -> float:
+            good = sum(p * n for p, (pattern, n) in zip(of, patterns) if pattern[r] == 1)
+            all_ = sum(p * n for p, (pattern, n) in zip(of, patterns) if pattern[r] is not None)
+            return (good + weight * before) / (all_ + weight)
+
+        rest = [1 - p for p in posterior]
+        good = (sum(p * n for p, (_, n) in zip(posterior, patterns)) + weight * PRIOR_GOOD) / (total + weight)
+        model = Model(good, [share(posterior, r, PRIOR_RIGHT) for r in rules], [share(rest, r, PRIOR_WRONG) for r in rules])
+        posterior, likelihood = [], 0.0
+        for pattern, n in patterns:
+            ways = [math.log(c) + sum(math.log(of[r] if v else 1 - of[r]) for r, v in enumerate(pattern) if v is not None)
+                    for c, of in ((model.good, model.right), (1 - model.good, model.wrong))]
+            most = max(ways)
+            both = most + math.log(sum(math.exp(w - most) for w in ways))
+            posterior.append(math.exp(ways[0] - both))
+            likelihood += n * both
+        for share_, before in ((model.good, PRIOR_GOOD), *((a, PRIOR_RIGHT) for a in model.right), *((b, PRIOR_WRONG) for b in model.wrong)):
+            likelihood += weight * (before * math.log(share_) + (1 - before) * math.log(1 - share_))
+        history.append(likelihood)
+        if len(history) >= rounds or len(history) > 1 and history[-1] - history[-2] <= STILL * total:
+            return model, history
 
 
 def judge(documents: DataFrame, text: str = "text", name: str = "quality_rules", drop_text: bool = False) -> DataFrame:
@@ -135,13 +163,13 @@ def judge(documents: DataFrame, text: str = "text", name: str = "quality_rules",
     measured = measure(documents, text, name)
     measured = cut(measured.drop(text) if drop_text else measured)
     rules = votes(F.col(name))
-    patterns = [
-        (tuple(r[k] for k in rules), r["count"]) for r in measured.select(*(v.alias(k) for k, v in rules.items())).groupBy(*rules).count().collect()
-    ]
-    logit = F.lit(math.log(PRIOR_GOOD / (1 - PRIOR_GOOD)))
-    for v, gain in zip(rules.values(), estimate(sorted(patterns, key=str))):
-        logit = logit + F.when(v == 1, gain[1]).when(v == 0, gain[0]).otherwise(0.0)
     failed = base_failed(F.col(name))
+    counted = measured.where(~failed).select(*(v.alias(k) for k, v in rules.items())).groupBy(*rules).count().collect()
+    found = estimate(sorted(((tuple(r[k] for k in rules), r["count"]) for r in counted), key=str))
+    logit = F.lit(found[0].prior() if found else 0.0)
+    if found:
+        for i, v in enumerate(rules.values()):
+            logit = logit + F.when(v == 1, found[0].log_odds(i, 1)).when(v == 0, found[0].log_odds(i, 0)).otherwise(0.0)
     posterior = 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), logit))))
     return measured.withColumn(name, F.struct(
         f"{name}.*", posterior.alias("posterior"), failed.alias("base_failed"), (~failed & (posterior >= 0.5)).alias("kept")))

@@ -13,6 +13,7 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -335,7 +336,7 @@ def test_maximal_segments():
 def test_packing(spark, odd, clashing):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    rows = [(i, t) for i, t in enumerate(["It's 'sX, o'clock!!,", "naïve ÀÉ é 1234", "a b　c", None, "", "Don't.'t", "don',", *(t for _, t in pairs(table(spark, "documents")))])]
+    rows = [(i, t) for i, t in enumerate(["It's 'sX, o'clock!!,", "naïve ÀÉ é 1234", "a b　c", None, "", "Don't.'t", "don',", "a <|endoftext|> b", "x<|startoftext|><|endoftext|>y <|ENDOFTEXT|>'t", *(t for _, t in pairs(table(spark, "documents")))])]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert brute.packing_faults(rows, [r.asDict() for r in packing.pack(df, path).collect()], tokenizer) == ""
     for few in (odd, clashing):
@@ -394,13 +395,69 @@ def test_rules_keep_plain_text_and_reject_symbols(spark):
 
 
 def test_rules_empty(empty):
-    assert rules.judge(empty).collect() == [] and rules.estimate([]) == []
+    assert rules.judge(empty).collect() == [] and rules.estimate([]) is None
+
+
+PATTERNS = [((1, None, 1), 800), ((0, None, 1), 40), ((0, 0, None), 90), ((None, None, None), 70), ((0, 0, 0), 30), ((1, 1, 0), 25)]
 
 
 def test_estimate_does_not_depend_on_size():
-    patterns = [((1, None, 1), 800), ((0, None, 1), 40), ((0, 0, None), 90), ((None, None, None), 70)]
-    small, large = rules.estimate(patterns), rules.estimate([(p, 1000 * n) for p, n in patterns])
-    assert all(math.isclose(a[v], b[v], rel_tol=1e-9) for a, b in zip(small, large) for v in (0, 1))
+    small, large = rules.estimate(PATTERNS)[0], rules.estimate([(p, 1000 * n) for p, n in PATTERNS])[0]
+    assert all(math.isclose(a, b, rel_tol=1e-6) for a, b in zip([small.good, *small.right, *small.wrong], [large.good, *large.right, *large.wrong]))
+
+
+def test_likelihood_never_falls_and_settles():
+    model, history = rules.estimate(PATTERNS)
+    assert all(b >= a - 1e-9 * abs(a) for a, b in zip(history, history[1:]))
+    assert len(history) < rules.ROUNDS
+    again = rules.estimate(PATTERNS, rounds=len(history) + 500)[0]
+    assert model == again
+
+
+def plain_posteriors(patterns, rounds):
+    """The two-class model in numpy, one row per document."""
+    votes = np.array([[np.nan if v is None else v for v in p] for p, n in patterns for _ in range(n)])
+    weight = rules.PRIOR_SHARE * len(votes)
+    good = np.array([0.05 if 0 in v else 0.95 if 1 in v else 0.5 for v in votes])
+    for _ in range(rounds):
+        share = (good.sum() + weight * rules.PRIOR_GOOD) / (len(votes) + weight)
+        voted = ~np.isnan(votes)
+        one = np.nan_to_num(votes)
+        rate = [(c @ one + weight * b) / (c @ voted + weight) for c, b in ((good, rules.PRIOR_RIGHT), (1 - good, rules.PRIOR_WRONG))]
+        ways = [np.log(s) + (voted * (one * np.log(r) + (1 - one) * np.log(1 - r))).sum(1) for s, r in zip((share, 1 - share), rate)]
+        good = 1 / (1 + np.exp(ways[1] - ways[0]))
+    return share, rate
+
+
+def test_estimate_against_plain_version():
+    model, history = rules.estimate(PATTERNS)
+    share, (right, wrong) = plain_posteriors(PATTERNS, len(history))
+    assert np.allclose([model.good, *model.right, *model.wrong], [share, *right, *wrong], rtol=1e-6)
+
+
+def test_planted_accuracies_are_found():
+    rng = np.random.default_rng(4)
+    share, right, wrong, speaks = 0.8, [0.97, 0.9, 0.95, 0.85, 0.99], [0.2, 0.3, 0.1, 0.35, 0.4], 0.8
+    good = rng.random(60000) < share
+    rate = np.where(good[:, None], right, wrong)
+    votes = np.where(rng.random(rate.shape) < speaks, rng.random(rate.shape) < rate, -1)
+    patterns = Counter(tuple(None if v < 0 else int(v) for v in row) for row in votes)
+    model = rules.estimate(sorted(patterns.items(), key=str))[0]
+    assert abs(model.good - share) < 0.02
+    assert np.allclose(model.right, right, atol=0.02) and np.allclose(model.wrong, wrong, atol=0.03)
+    # One bad vote of a weak rule does not outweigh the others.
+    assert model.prior() + model.log_odds(3, 0) + sum(model.log_odds(r, 1) for r in (0, 1, 2, 4)) > 0
+
+
+def test_kept_follows_the_model(spark):
+    rows = [(r["v"], tuple(r[f"r{i}"] for i in range(8))) for r in rules.judge(table(spark, "documents"), name="v").select(
+        "v", *(v.alias(f"r{i}") for i, v in enumerate(rules.votes(F.col("v")).values()))).collect()]
+    patterns = sorted(Counter(votes for v, votes in rows if not v["base_failed"]).items(), key=str)
+    share, (right, wrong) = plain_posteriors(patterns, 300)
+    for v, votes in rows:
+        odds = math.log(share / (1 - share)) + sum(math.log(right[i] / wrong[i]) if x else math.log((1 - right[i]) / (1 - wrong[i])) for i, x in enumerate(votes) if x is not None)
+        assert abs(v["posterior"] - 1 / (1 + math.exp(-max(-60, min(60, odds))))) < 1e-6
+        assert v["kept"] == (not v["base_failed"] and v["posterior"] >= 0.5)
 
 
 # 7. long repeats
@@ -452,13 +509,13 @@ def test_decontamination(spark, odd, clashing, empty):
         bench = spark.createDataFrame(chosen, "item_id bigint, text string")
         for block in (contamination.BLOCK_BYTES, sum(len(t or "") for _, t in chosen) // 3):
             hits = contamination.digest(contamination.scan(df, bench, block_bytes=block))
-            assert got(hits) == brute.benchmark_hits(pairs(df), [c for c in chosen if c[0] is not None])
+            assert got(hits) == brute.benchmark_hits(pairs(df), chosen)
     nothing = spark.createDataFrame([], "item_id bigint, text string")
     assert contamination.scan(odd, nothing).where("n_hit > 0").count() == 0
     assert contamination.scan(empty, bench).collect() == []
     for block in (contamination.BLOCK_BYTES, 60):
         clean = contamination.clean(odd, spark.createDataFrame(odd_items, "item_id bigint, text string"), block_bytes=block)
-        want = [r for r in odd_rows() if not brute.benchmark_hits([r[:2]], odd_items[:-1])[0][5]]
+        want = [r for r in odd_rows() if not brute.benchmark_hits([r[:2]], odd_items)[0][5]]
         assert got(clean) == sorted(want, key=str)
 
 
