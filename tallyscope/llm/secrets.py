@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.llm.common import mapped, octets, pick, slices
+from tallyscope.session import cut
 
 # Kinds, their patterns over text in lower case (assign) or as it is, and the least lengths.
 ASSIGN = re.compile(rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""")
@@ -49,7 +50,7 @@ SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
 def identifier_parts(documents: DataFrame, text: str = "text", room: int = DICTIONARY_BYTES) -> bytes:
-    """The most frequent identifier parts of all documents, ``room`` bytes of them, the most frequent last."""
+    """The most frequent identifier parts of all documents, at most ``room`` bytes of them, the most frequent last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> pa.RecordBatch:
@@ -68,15 +69,17 @@ def identifier_parts(documents: DataFrame, text: str = "text", room: int = DICTI
 
     chosen = pick(documents, text=text)
     counted = chosen.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "part string, n bigint").groupBy("part").agg(F.sum("n").alias("n"))
-    # A part takes at least five bytes of the room.
-    often = counted.orderBy(F.desc("n"), "part").limit(room // 5).collect()
-    out, held = [], 0
-    for row in often:
-        held += len(row.part) + 1
+    counted = cut(counted.where("n > 1").withColumn("class", F.floor(F.log2("n") * 16).cast("int")))
+    # Parts of about the same count go in together, so that the driver gets what fits the room and no more.
+    held, least = 0, None
+    for row in counted.groupBy("class").agg(F.sum(F.octet_length("part") + 1).alias("size")).orderBy(F.desc("class")).collect():
+        held += row["size"]
         if held > room:
             break
-        out.append(row.part.encode())
-    return b" ".join(reversed(out))
+        least = row["class"]
+    if least is None:
+        return b""
+    return b" ".join(r.part.encode() for r in counted.where(F.col("class") >= least).orderBy("n", F.desc("part")).select("part").collect())
 
 
 class Measure:

@@ -206,7 +206,7 @@ def test_novel_strings_near_sensitive_words(spark):
 def test_identifier_parts_are_bounded_and_ordered(spark, odd, empty):
     df = spark.createDataFrame([(1, "camelCaseName snake_name_part NAME name name 9f8a7b")], "doc_id bigint, text string")
     assert secrets.identifier_parts(df).split()[-1] == b"name"
-    assert secrets.identifier_parts(df, room=9) == b"name"
+    assert secrets.identifier_parts(df, room=9) == b"name" and secrets.identifier_parts(df, room=3) == b""
     assert secrets.identifier_parts(empty) == b""
     assert len(secrets.identifier_parts(odd, room=100)) <= 100
 
