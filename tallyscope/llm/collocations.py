@@ -32,8 +32,9 @@ LONGEST, THRESHOLD, TOP = 5, 100, 2000
 BITS = 27
 RANGE_BYTES, MOST_RANGES = 16 << 20, 1 << 15
 KEY_BITS = 40
-BUFFER = 1 << 22
-PENDING = 1 << 22
+BUFFER = 1 << 21
+PENDING = 1 << 20
+ENTRIES = 384  # of a row, so that 10,000 rows on their way to Python stay small
 BREAK = 255  # no byte of UTF-8
 # Bytes -> bytes: A-Z in lower case, marks and line ends to BREAK.
 FOLD = bytes(BREAK if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -104,7 +105,7 @@ def numbers(raw: bytes, kind: type) -> np.ndarray:
 
 
 def summaries(documents: DataFrame, ranges_log: int, longest: int) -> DataFrame:
-    """(part, body, mass, keys, counts): for each buffer and range a row with its mass and one with the summary."""
+    """(part, body, mass, keys, counts): for each buffer and range a row with its mass and some with the summary."""
     schema = pa.schema([("part", pa.int32()), ("body", pa.bool_()), ("mass", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def rows(values: list[np.ndarray]) -> pa.RecordBatch:
@@ -120,15 +121,18 @@ def summaries(documents: DataFrame, ranges_log: int, longest: int) -> DataFrame:
         out: list[tuple] = []
         for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(h)).tolist()):
             keys = h[a:b] & np.uint64((1 << KEY_BITS) - 1)
-            keys[1:] -= keys[:-1].copy()
             p = int(part[a])
-            out += [(p, False, int(count[a:b].sum()), None, None), (p, True, None, planes(keys), planes(count[a:b]))]
+            out.append((p, False, int(count[a:b].sum()), None, None))
+            for i in range(0, b - a, ENTRIES):
+                part_keys = keys[i : i + ENTRIES].copy()
+                part_keys[1:] -= keys[i : i + ENTRIES][:-1]
+                out.append((p, True, None, planes(part_keys), planes(count[a + i : min(b, a + i + ENTRIES)])))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
-        for batch in slices(batches, "text", 6 << 20):
+        for batch in slices(batches, "text", 3 << 20):
             words = Words()
             words.add(batch)
             ids, langs = words.arrays()
@@ -244,7 +248,7 @@ def exact_counts(documents: DataFrame, marked: np.ndarray, bits: int, longest: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for batch in slices(batches, "text", 6 << 20):
+        for batch in slices(batches, "text", 3 << 20):
             words.add(batch)
             if words.size >= BUFFER // 2:
                 yield rows(words)
