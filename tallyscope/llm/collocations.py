@@ -32,9 +32,9 @@ LONGEST, THRESHOLD, TOP = 5, 100, 2000
 BITS = 27
 RANGE_BYTES, MOST_RANGES = 16 << 20, 1 << 15
 KEY_BITS = 40
-BUFFER = 1 << 21
-PENDING = 1 << 20
-ENTRIES = 384  # of a row, so that 10,000 rows on their way to Python stay small
+BUFFER = 1 << 20
+PENDING = 1 << 19
+ENTRIES = 128  # of a row, so that 10,000 rows on their way to Python stay small
 BREAK = 255  # no byte of UTF-8
 # Bytes -> bytes: A-Z in lower case, marks and line ends to BREAK.
 FOLD = bytes(BREAK if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
