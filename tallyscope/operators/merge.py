@@ -85,26 +85,6 @@ def confirm_kept(overlay: DataFrame, done: DataFrame) -> DataFrame:
     return open_.join(done.select("viewpoint_id"), "viewpoint_id", "left_semi").select("image_id", "mask_key", F.col("has_review").isNull().alias("is_new"))
 
 
-def save_review(existing: DataFrame, payload: DataFrame, known: DataFrame) -> DataFrame:
-    """Bring the corrections of the images in ``payload`` to what it says.
-
-    ``payload``: image_id, mask_key, removed, accepted, label (one row per mentioned key); ``known``: keys an image has.
-    An image with an unknown key is refused as a whole and keeps its rows.
-    """
-    unknown = payload.join(known.select("image_id", "mask_key"), ["image_id", "mask_key"], "left_anti").select("image_id").distinct().withColumn("_bad", F.lit(True))
-    images = payload.select("image_id").distinct().join(unknown, "image_id", "left")
-    old = existing.join(images, "image_id").select("image_id", "mask_key", F.col("removed").alias("o_removed"), F.col("accepted").alias("o_accepted"), F.col("label").alias("o_label"), F.lit(True).alias("_old"))
-    new = payload.join(images, "image_id").select("image_id", "mask_key", "removed", "accepted", "label", F.lit(True).alias("_new"))
-    j = old.join(new, ["image_id", "mask_key"], "full_outer").join(unknown, "image_id", "left")
-    same = (F.col("removed") == F.col("o_removed")) & (F.col("accepted") == F.col("o_accepted")) & (F.col("label") == F.col("o_label"))
-    what = (
-        F.when(F.col("_bad"), "refused").when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "delete").when(same, "same").otherwise("update")
-    )
-    refused = F.coalesce("_bad", F.lit(False))
-    pick = lambda c: F.when(refused, F.col("o_" + c)).otherwise(F.col(c)).alias(c)
-    return j.select("image_id", "mask_key", what.alias("what"), pick("removed"), pick("accepted"), pick("label"))
-
-
 def catalog_edit(objects: DataFrame, edits: DataFrame, members: DataFrame) -> DataFrame:
     """Edits of species, grade, pose and note by object; null leaves a field, '' clears it.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.operators import merge as mg
+from tallyscope.operators import saving as sv
 from tallyscope.operators.review import spread_drawn
 from tallyscope.operators.rollup import done_viewpoints
 from tallyscope.operators.verdict import Thresholds, classify
@@ -111,29 +112,109 @@ def _(m: Model) -> DataFrame:
     return mg.confirm_kept(overlay(m), done_viewpoints(m.viewpoint_review, m.batch))
 
 
-PAYLOAD = [
-    """payload AS (SELECT DISTINCT detection_id AS image_id, mask_key, bbox_x % 3 = 0 AS removed, bbox_y % 4 = 0 AS accepted, CASE WHEN bbox_w % 5 = 0 THEN 'rod' ELSE '' END AS label FROM {candidate} WHERE detection_id % 2 = 0 AND (bbox_x % 3 = 0 OR bbox_y % 4 = 0 OR bbox_w % 5 = 0)
- UNION ALL SELECT o_orderkey, '0_0_1_1', TRUE, FALSE, '' FROM orders WHERE o_orderkey % 50 = 0)""",
-    """existing AS (SELECT r.image_id, r.mask_key, r.removed, r.accepted, o.label FROM {correction} r JOIN {object} o ON o.object_id = r.object_id WHERE r.source = 'engine')""",
-    """badimg AS (SELECT DISTINCT p.image_id FROM payload p WHERE NOT EXISTS (SELECT 1 FROM {candidate} c WHERE c.detection_id = p.image_id AND c.mask_key = p.mask_key))""",
+# Two batches: every third image also has rows of the other one, of objects nobody annotated.
+SAVES = [
+    STORED,
+    """existing AS (SELECT image_id, viewpoint_id, batch_id, mask_key, object_id, removed, accepted, auto_confirmed, geom_edited, polygon AS outline, bind FROM {correction}
+ UNION ALL SELECT image_id, viewpoint_id, 3 - batch_id, mask_key, object_id * 1000003 + 7, accepted, removed, FALSE, bbox_w % 2 = 0, polygon, 'exact' FROM {correction} WHERE source = 'engine' AND image_id % 3 = 0)""",
+    """saves AS (SELECT detection_id AS image_id, CASE WHEN viewpoint_id % 5 = 0 THEN 2 ELSE 1 END AS batch_id, viewpoint_id, detection_id % 4 = 0 AS knows_edits, detection_id % 6 = 0 AS done FROM {detection} WHERE detection_id % 2 = 0)""",
+    """payload AS (SELECT c.detection_id AS image_id, s.batch_id, mask_key, bool_or(bbox_x % 3 = 0) AS removed, bool_or(bbox_y % 4 = 0) AS accepted, max(CASE WHEN bbox_w % 5 = 0 THEN 'rod' END) AS label,
+  max(CASE WHEN bbox_h % 7 = 0 THEN concat('[', bbox_x, ',', bbox_y, ',9,9,0,9]') WHEN bbox_h % 11 = 0 THEN '' END) AS outline
+ FROM {candidate} c JOIN saves s ON s.image_id = c.detection_id WHERE bbox_x % 3 = 0 OR bbox_y % 4 = 0 OR bbox_w % 5 = 0 OR bbox_h % 7 = 0 OR bbox_h % 11 = 0 GROUP BY ALL
+ UNION ALL SELECT o_orderkey, CASE WHEN floor(o_orderkey / 2) % 5 = 0 THEN 2 ELSE 1 END, '0_0_1_1', TRUE, FALSE, NULL, NULL FROM orders WHERE o_orderkey % 50 = 0)""",
+    """detected AS (SELECT c.detection_id AS image_id, CASE WHEN d.viewpoint_id % 5 = 0 THEN 2 ELSE 1 END AS batch_id, d.viewpoint_id, c.mask_key, bool_or(passed) AS passed,
+  max(concat('[', bbox_x, ',', bbox_y, ',', bbox_w, ',', bbox_h, ',0,0]')) AS outline FROM stored c JOIN {detection} d ON d.detection_id = c.detection_id GROUP BY ALL)""",
+    """refused AS (SELECT image_id, batch_id, max(why) AS why FROM (
+ SELECT p.image_id, p.batch_id, 'unknown key' AS why FROM payload p JOIN saves USING (image_id, batch_id) WHERE NOT EXISTS (SELECT 1 FROM detected c WHERE c.image_id = p.image_id AND c.batch_id = p.batch_id AND c.mask_key = p.mask_key)
+   AND NOT EXISTS (SELECT 1 FROM existing c WHERE c.image_id = p.image_id AND c.batch_id = p.batch_id AND c.mask_key = p.mask_key)
+ UNION ALL SELECT p.image_id, p.batch_id, 'no outline to go back to' FROM payload p JOIN saves USING (image_id, batch_id) WHERE p.outline = '' AND NOT EXISTS (SELECT 1 FROM detected c WHERE c.image_id = p.image_id AND c.batch_id = p.batch_id AND c.mask_key = p.mask_key)) q GROUP BY 1, 2)""",
+    """open AS (SELECT s.*, why FROM saves s LEFT JOIN refused r ON r.image_id = s.image_id AND r.batch_id = s.batch_id)""",
+    """sizes AS (SELECT object_id, count(*) AS n FROM existing GROUP BY 1)""",
+    """olds AS (SELECT e.*, coalesce(b.label, '') AS label, coalesce(concat(b.species, b.grade, b.pose, b.note) <> '', FALSE) AS annotated, n >= 2 AS linked FROM existing e JOIN sizes z ON z.object_id = e.object_id LEFT JOIN {object} b ON b.object_id = e.object_id WHERE e.batch_id IS NOT NULL)""",
+    """met AS (SELECT coalesce(o.image_id, p.image_id, c.image_id) AS image_id, coalesce(o.batch_id, p.batch_id, c.batch_id) AS batch_id, coalesce(o.mask_key, p.mask_key, c.mask_key) AS mask_key,
+  o.image_id IS NOT NULL AS was, c.image_id IS NOT NULL AS seen, coalesce(o.viewpoint_id, c.viewpoint_id) AS viewpoint_id, o.object_id, o.annotated, o.linked, o.removed AS o_removed, o.accepted AS o_accepted, o.label AS o_label, coalesce(o.outline, '') AS o_outline, o.geom_edited AS o_edited, o.auto_confirmed AS o_confirmed, o.bind AS o_bind,
+  p.removed AS p_removed, p.accepted AS p_accepted, p.label AS p_label, p.outline AS p_outline, c.passed, coalesce(c.outline, '') AS c_outline
+ FROM olds o FULL JOIN payload p ON p.image_id = o.image_id AND p.batch_id = o.batch_id AND p.mask_key = o.mask_key
+ FULL JOIN detected c ON c.image_id = coalesce(o.image_id, p.image_id) AND c.batch_id = coalesce(o.batch_id, p.batch_id) AND c.mask_key = coalesce(o.mask_key, p.mask_key))""",
+    """ruled AS (SELECT m.*, s.image_id IS NOT NULL AS own, s.why, s.knows_edits, s.image_id IS NOT NULL AND s.why IS NULL AS spoken,
+  q.viewpoint_id IS NOT NULL AS signs
+ FROM met m LEFT JOIN open s ON s.image_id = m.image_id AND s.batch_id = m.batch_id
+ LEFT JOIN (SELECT DISTINCT viewpoint_id, batch_id FROM open WHERE done AND why IS NULL) q ON q.viewpoint_id = coalesce(m.viewpoint_id, s.viewpoint_id) AND q.batch_id = m.batch_id)""",
+    """after AS (SELECT *, CASE WHEN spoken THEN coalesce(p_removed, FALSE) OR coalesce(p_accepted, FALSE) OR p_label IS NOT NULL OR p_outline IS NOT NULL OR coalesce((o_edited AND NOT knows_edits) OR annotated OR o_confirmed OR linked, FALSE) ELSE was END AS stands,
+  CASE WHEN spoken THEN coalesce(p_removed, FALSE) ELSE coalesce(o_removed, FALSE) END AS removed, CASE WHEN spoken THEN coalesce(p_accepted, FALSE) ELSE coalesce(o_accepted, FALSE) END AS accepted,
+  CASE WHEN spoken THEN coalesce(p_label, '') ELSE coalesce(o_label, '') END AS label,
+  CASE WHEN spoken AND p_outline <> '' THEN p_outline WHEN spoken AND (p_outline = '' OR o_outline = '') THEN c_outline ELSE o_outline END AS outline,
+  CASE WHEN spoken AND p_outline IS NOT NULL THEN p_outline <> '' ELSE coalesce(o_edited, FALSE) END AS geom_edited, CASE WHEN spoken AND seen THEN 'exact' ELSE coalesce(o_bind, 'orphan') END AS bind FROM ruled WHERE own OR signs)""",
+    """signed AS (SELECT *, signs AND seen AND ((passed AND NOT (stands AND removed)) OR (NOT passed AND stands AND accepted)) AND NOT (stands AND coalesce(o_confirmed, FALSE)) AS confirm FROM after)""",
+    """changes AS (SELECT image_id, batch_id, mask_key, was, stands OR confirm AS stands, why, object_id, o_removed, o_accepted, o_label, o_outline, o_edited, o_confirmed, o_bind,
+  NOT (confirm AND NOT stands) AND removed AS removed, NOT (confirm AND NOT stands) AND accepted AS accepted, CASE WHEN confirm AND NOT stands THEN '' ELSE label END AS label, CASE WHEN confirm AND NOT stands THEN c_outline ELSE outline END AS outline,
+  NOT (confirm AND NOT stands) AND geom_edited AS geom_edited, coalesce(o_confirmed, FALSE) OR confirm AS auto_confirmed, CASE WHEN confirm AND NOT stands THEN 'exact' ELSE bind END AS bind FROM signed)""",
+    """saved AS (SELECT image_id, batch_id, mask_key, CASE WHEN why IS NOT NULL THEN 'refused' WHEN NOT was THEN 'insert' WHEN NOT stands THEN 'delete'
+  WHEN removed = o_removed AND accepted = o_accepted AND label = o_label AND outline = o_outline AND geom_edited = o_edited AND auto_confirmed = o_confirmed AND bind = o_bind THEN 'same' ELSE 'update' END AS what, why,
+  removed, accepted, label, outline, geom_edited, auto_confirmed, bind, object_id FROM changes WHERE was OR stands)""",
+]
+
+
+def review_tables(m: Model) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """existing, saves, payload and candidates of :func:`saving.save_review`."""
+    c = m.correction
+    cols = ["image_id", "viewpoint_id", "batch_id", "mask_key", "object_id", "removed", "accepted", "auto_confirmed", "geom_edited", "polygon AS outline", "bind"]
+    beside = c.filter("source = 'engine' AND image_id % 3 = 0").selectExpr(
+        "image_id", "viewpoint_id", "3 - batch_id AS batch_id", "mask_key", "object_id * 1000003 + 7 AS object_id", "accepted AS removed", "removed AS accepted", "false AS auto_confirmed", "bbox_w % 2 = 0 AS geom_edited", "polygon AS outline", "'exact' AS bind")
+    existing = c.selectExpr(*cols).unionByName(beside)
+    batch = F.expr("CASE WHEN viewpoint_id % 5 = 0 THEN 2 ELSE 1 END").alias("batch_id")
+    saves = m.detection.filter("detection_id % 2 = 0").select(
+        F.col("detection_id").alias("image_id"), batch, "viewpoint_id", F.expr("detection_id % 4 = 0 AS knows_edits"), F.expr("detection_id % 6 = 0 AS done"))
+    said = m.candidate.filter("bbox_x % 3 = 0 OR bbox_y % 4 = 0 OR bbox_w % 5 = 0 OR bbox_h % 7 = 0 OR bbox_h % 11 = 0").selectExpr(
+        "detection_id AS image_id", "mask_key", "bbox_x % 3 = 0 AS removed", "bbox_y % 4 = 0 AS accepted", "CASE WHEN bbox_w % 5 = 0 THEN 'rod' END AS label",
+        "CASE WHEN bbox_h % 7 = 0 THEN concat('[', bbox_x, ',', bbox_y, ',9,9,0,9]') WHEN bbox_h % 11 = 0 THEN '' END AS outline")
+    wrong = m.orders.filter("o_orderkey % 50 = 0").selectExpr(
+        "o_orderkey AS image_id", "'0_0_1_1' AS mask_key", "true AS removed", "false AS accepted", "CAST(NULL AS STRING) AS label", "CAST(NULL AS STRING) AS outline")
+    payload = said.unionByName(wrong).join(saves.select("image_id", "batch_id"), "image_id")
+    detected = m.stored.join(m.detection.select("detection_id", "viewpoint_id"), "detection_id").select(
+        F.col("detection_id").alias("image_id"), batch, "viewpoint_id", "mask_key", "passed", F.expr("concat('[', bbox_x, ',', bbox_y, ',', bbox_w, ',', bbox_h, ',0,0]') AS outline"))
+    return existing, saves, payload, detected
+
+
+@query("save_review", "SELECT * FROM saved", *SAVES)
+def _(m: Model) -> DataFrame:
+    return sv.save_review(*review_tables(m), m.object)
+
+
+@query(
+    "save_review_labels",
+    """SELECT object_id, label FROM (SELECT s.object_id, last(s.label ORDER BY s.image_id, s.batch_id, s.mask_key) AS label, max(coalesce(b.label, '')) AS was FROM saved s LEFT JOIN {object} b ON b.object_id = s.object_id WHERE what IN ('update', 'insert') AND s.object_id IS NOT NULL GROUP BY 1) q WHERE label <> was""",
+    *SAVES,
+)
+def _(m: Model) -> DataFrame:
+    return sv.relabelled(sv.save_review(*review_tables(m), m.object), m.object)
+
+
+DRAWN = [
+    """olddrawn AS (SELECT r.image_id, r.mask_key, r.polygon AS outline, b.label, r.object_id FROM {correction} r LEFT JOIN {object} b ON b.object_id = r.object_id WHERE r.batch_id IS NULL AND r.image_id % 3 <> 0)""",
+    """newdrawn AS (SELECT o_orderkey AS image_id, CASE WHEN o_orderkey % 31 = 0 THEN '1_2_3_4' ELSE concat('m', lpad(lower(hex(o_orderkey + o_orderkey % 2)), 8, '0')) END AS mask_key, CASE WHEN o_orderkey % 4 = 0 THEN 'rod' ELSE '' END AS label, concat('[1,1,', o_orderkey % 9, ',9,1,9]') AS outline
+ FROM orders WHERE o_orderkey % 23 = 0 AND o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0)""",
+    """baddrawn AS (SELECT DISTINCT image_id FROM newdrawn WHERE NOT regexp_full_match(mask_key, 'm[0-9a-f]{{8}}'))""",
 ]
 
 
 @query(
-    "save_review",
-    """SELECT coalesce(e.image_id, p.image_id) AS image_id, coalesce(e.mask_key, p.mask_key) AS mask_key,
- CASE WHEN b.image_id IS NOT NULL THEN 'refused' WHEN e.image_id IS NULL THEN 'insert' WHEN p.image_id IS NULL THEN 'delete' WHEN p.removed = e.removed AND p.accepted = e.accepted AND p.label = e.label THEN 'same' ELSE 'update' END AS what,
- CASE WHEN b.image_id IS NOT NULL THEN e.removed ELSE p.removed END AS removed, CASE WHEN b.image_id IS NOT NULL THEN e.accepted ELSE p.accepted END AS accepted, CASE WHEN b.image_id IS NOT NULL THEN e.label ELSE p.label END AS label
-FROM (SELECT * FROM existing WHERE image_id IN (SELECT image_id FROM payload)) e FULL JOIN payload p ON p.image_id = e.image_id AND p.mask_key = e.mask_key LEFT JOIN badimg b ON b.image_id = coalesce(e.image_id, p.image_id)""",
-    *PAYLOAD,
+    "save_drawn",
+    """SELECT coalesce(o.image_id, p.image_id) AS image_id, coalesce(o.mask_key, p.mask_key) AS mask_key,
+ CASE WHEN b.image_id IS NOT NULL THEN 'refused' WHEN o.image_id IS NULL THEN 'insert' WHEN p.image_id IS NULL THEN 'delete' WHEN o.outline = p.outline AND coalesce(o.label, '') = p.label THEN 'same' ELSE 'update' END AS what,
+ CASE WHEN b.image_id IS NOT NULL THEN 'not the key of a drawing' END AS why, coalesce(CASE WHEN b.image_id IS NULL AND p.image_id IS NOT NULL THEN p.label ELSE o.label END, '') AS label,
+ CASE WHEN b.image_id IS NULL AND p.image_id IS NOT NULL THEN p.outline ELSE o.outline END AS outline, o.object_id
+FROM olddrawn o FULL JOIN newdrawn p ON p.image_id = o.image_id AND p.mask_key = o.mask_key LEFT JOIN baddrawn b ON b.image_id = coalesce(o.image_id, p.image_id)
+WHERE b.image_id IS NULL OR o.image_id IS NOT NULL""",
+    *DRAWN,
 )
 def _(m: Model) -> DataFrame:
-    said = m.candidate.filter("detection_id % 2 = 0 AND (bbox_x % 3 = 0 OR bbox_y % 4 = 0 OR bbox_w % 5 = 0)").selectExpr(
-        "detection_id AS image_id", "mask_key", "bbox_x % 3 = 0 AS removed", "bbox_y % 4 = 0 AS accepted", "CASE WHEN bbox_w % 5 = 0 THEN 'rod' ELSE '' END AS label"
-    ).distinct()
-    wrong = m.orders.filter("o_orderkey % 50 = 0").selectExpr("o_orderkey AS image_id", "'0_0_1_1' AS mask_key", "true AS removed", "false AS accepted", "'' AS label")
-    existing = m.correction.filter("source = 'engine'").join(m.object.select("object_id", "label"), "object_id")
-    return mg.save_review(existing, said.unionByName(wrong), m.candidate.select(F.col("detection_id").alias("image_id"), "mask_key"))
+    existing = m.correction.join(m.object.select("object_id", "label"), "object_id", "left").select("image_id", "batch_id", "mask_key", F.col("polygon").alias("outline"), "label", "object_id")
+    drawn = m.orders.filter("o_orderkey % 23 = 0 AND o_orderkey % 5 <> 0").selectExpr(
+        "o_orderkey AS image_id", "CASE WHEN o_orderkey % 31 = 0 THEN '1_2_3_4' ELSE concat('m', lpad(lower(hex(o_orderkey + o_orderkey % 2)), 8, '0')) END AS mask_key",
+        "CASE WHEN o_orderkey % 4 = 0 THEN 'rod' ELSE '' END AS label", "concat('[1,1,', o_orderkey % 9, ',9,1,9]') AS outline")
+    images = m.orders.filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("image_id"))
+    return sv.save_drawn(existing, drawn, images)
 
 
 EDITS = """edits AS (SELECT object_id, object_id % 12 = 0 AS remove, CASE WHEN object_id % 2 = 0 THEN 'Edited name' END AS species, CASE WHEN object_id % 3 = 0 THEN '' END AS grade, CASE WHEN object_id % 5 = 0 THEN 'other' END AS pose, CASE WHEN object_id % 4 <> 0 THEN '' END AS note FROM {object} WHERE object_id % 11 < 5)"""
