@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyscope.session import use_shared_checkpoints
+
 # Bytes -> bytes: A-Z in lower case, everything but letters, digits and non-ASCII bytes a space.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -53,3 +56,19 @@ def mapped(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None
                 yield out
 
     return df.mapInArrow(run, schema)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet below the shared checkpoint folder and read again: lost executors do not replay it, and
+    later steps read the columns they need, compressed."""
+    spark = df.sparkSession
+    use_shared_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Empties the folder of a stored step that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)

@@ -28,14 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import mapped, octets, slices
-from tallyscope.session import cut
+from tallyscope.llm.common import mapped, octets, release, slices, stored
 
 SIZE, GRAM = 400, 128
 PIECES = 2048
-BLOCK = 4 << 20
+BLOCK, PART = 4 << 20, 6 << 20
 SEGMENT = 8 << 20
 WORD = 7
+# Direct sorting goes by words up to SLOW symbols; behind that a rank must lie within SLACK symbols of the known end.
+SLOW, SLACK = 42, 18
 BASE = 0x9E3779B97F4A7C15 | 1
 KINDS = "d bigint, k bigint, pieces array<struct<h:bigint,ph:bigint,len:int,starts:array<int>>>"
 
@@ -103,15 +104,21 @@ def anchored(raw: bytes, size: int = SIZE, gram: int = GRAM) -> list[dict]:
     return [{"h": h, "ph": ph, "len": n, "starts": starts} for (h, ph, n), starts in found.items()]
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``text`` (symbols from 0 up to 256, the last one 0) in order, as far as their first ``depth`` symbols
-    tell; two-stage sorting."""
+def symbol_words(text: np.ndarray, depth: int) -> np.ndarray:
+    """Seven symbols from each place on in one number; zeros for ``depth`` places behind the end."""
     n = len(text)
     words = np.zeros(n, np.uint64)
-    padded = np.concatenate((text, np.zeros(depth + 2 * WORD, text.dtype))).astype(np.uint64)
+    padded = np.concatenate((text, np.zeros(WORD, text.dtype))).astype(np.uint64)
     for k in range(WORD):
         words = (words << np.uint64(9)) | padded[k : k + n]
-    words = np.concatenate((words, np.zeros(depth + WORD, np.uint64)))
+    return np.concatenate((words, np.zeros(depth + 2 * WORD, np.uint64)))
+
+
+def suffix_array(text: np.ndarray, depth: int, words: np.ndarray | None = None) -> np.ndarray:
+    """Suffixes of ``text`` (symbols from 0 up to 256, the last one 0) in order, as far as their first ``depth`` symbols
+    tell; two-stage sorting."""
+    n = len(text)
+    words = symbol_words(text, depth) if words is None else words
     # Types: compare with the successor; equal symbols take the type of the next different one.
     change = np.flatnonzero(text[1:] != text[:-1])
     rises = np.zeros(n, bool)
@@ -121,7 +128,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         at = change[np.minimum(following, len(change) - 1)]
         rises[:-1] = inside & (text[at] < text[at + 1])
     rises[-1] = True  # the end is sorted directly
-    direct = direct_sort(np.flatnonzero(rises), words, depth)
+    direct = direct_sort(np.flatnonzero(rises), words, depth, text)
     by_symbol = np.searchsorted(text[direct], np.arange(258))
     arrived: list[list[np.ndarray]] = [[] for _ in range(257)]
     out = []
@@ -148,40 +155,80 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def direct_sort(at: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
-    """``at`` in the order of their first ``depth`` symbols; only ties go on to the next word."""
+def direct_sort(at: np.ndarray, words: np.ndarray, depth: int, text: np.ndarray) -> np.ndarray:
+    """``at`` in the order of their first ``depth`` symbols; only ties go on.
+
+    Ties are first compared word by word. Once the known part is long, the rank of a suffix near its end, which is sorted
+    directly as well, tells about as much again, so the known part nearly doubles with each round.
+    """
+    n = len(text)
     key = words[at]
     order = np.argsort(key, kind="stable")
     at, key = at[order], key[order]
     same = np.concatenate(([False], key[1:] == key[:-1]))
-    group = np.cumsum(~same)
-    for deep in range(WORD, depth, WORD):
+    known = WORD
+    # The last place up to each one whose suffix is smaller than the next by its first symbol: within the common part of
+    # tied suffixes such places are the same.
+    places = np.zeros(n, np.int64)
+    strict = at[text[at] < text[np.minimum(at + 1, n - 1)]]
+    places[strict] = strict
+    places = np.maximum.accumulate(places)
+    rank = np.zeros(n, np.int64)
+    while known < depth:
         tied = same.copy()
         tied[:-1] |= same[1:]
         where = np.flatnonzero(tied)
         if not len(where):
             break
-        key = words[at[where] + deep]
-        order = np.lexsort((key, group[where]))
+        group = np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))
+        if known < SLOW:
+            target = known + WORD
+            keys = [words[at[where] + known]]
+        else:
+            target = min(2 * known - SLACK, depth)
+            rank[at] = group
+            near = places[np.minimum(at[where] + known - 2, n - 1)]
+            far = near >= at[where] + (target - known)
+            keys = [np.where(far, rank[near], 0).astype(np.uint64)]
+            slow = where[~far]
+            if len(slow):
+                # No such place near the end, as in runs of one symbol: words, as before.
+                for deep in range(known, target, WORD):
+                    more = np.zeros(len(where), np.uint64)
+                    more[~far] = words[at[slow] + deep]
+                    keys.append(more)
+        order = np.lexsort((*reversed(keys), group[where]))
         at[where] = at[where][order]
-        key = key[order]
-        again = np.zeros(len(where), bool)
-        again[1:] = (key[1:] == key[:-1]) & (group[where][1:] == group[where][:-1])
+        held = group[where]
+        again = np.ones(len(where), bool)
+        again[0] = False
+        again[1:] = held[1:] == held[:-1]
+        for k in keys:
+            k = k[order]
+            again[1:] &= k[1:] == k[:-1]
         same[where] = again
-        group = np.cumsum(~same)
+        known = target
     return at
 
 
-def long_prefix(order: np.ndarray, text: np.ndarray, room: np.ndarray, size: int) -> np.ndarray:
-    """Starts whose common prefix with a neighbour in ``order`` reaches ``size``."""
-    order = order[room[order] >= size]
+def common_prefixes(order: np.ndarray, words: np.ndarray, text: np.ndarray, most: int) -> np.ndarray:
+    """Common prefix of neighbours in ``order``, as far as ``most`` symbols; short ones in whole words."""
     a, b = order[:-1], order[1:]
-    for deep in range(size - 1, -1, -1):  # from the end: chance agreement is least likely there
-        if not len(a):
+    length = np.zeros(len(a), np.int64)
+    going = np.arange(len(a))
+    while len(going):
+        deep = length[going[0]]  # the same for all that go on
+        going = going[words[a[going] + deep] == words[b[going] + deep]]
+        length[going] += WORD
+        if deep + WORD >= most:
             break
-        same = text[a + deep] == text[b + deep]
-        a, b = a[same], b[same]
-    return np.union1d(a, b)
+    last = np.flatnonzero(length > most - WORD)
+    a, b, part = a[last], b[last], length[last]
+    for _ in range(WORD - 1):
+        x, y = np.minimum(a + part, len(text) - 1), np.minimum(b + part, len(text) - 1)
+        part += (text[x] == text[y]) & (part < most) & (text[x] > 0)
+    length[last] = np.minimum(part, most)
+    return length
 
 
 def repeated_in(pieces: list[bytes], size: int = SIZE) -> list[np.ndarray]:
@@ -193,9 +240,13 @@ def repeated_in(pieces: list[bytes], size: int = SIZE) -> list[np.ndarray]:
     for s, p in zip(starts.tolist(), pieces):
         text[s : s + len(p)] = np.frombuffer(p, np.uint8).astype(np.int16) + 1
         room[s : s + len(p)] = np.arange(len(p), 0, -1)
-    found = long_prefix(suffix_array(text, size), text, room, size)
-    owner = np.searchsorted(starts, found, side="right") - 1
-    return [found[owner == i] - starts[i] for i in range(len(pieces))] if len(found) else [found] * len(pieces)
+    words = symbol_words(text, size)
+    order = suffix_array(text, size, words)
+    order = order[room[order] >= size]
+    long = common_prefixes(order, words, text, size) >= size
+    found = np.union1d(order[:-1][long], order[1:][long])
+    cuts = np.searchsorted(found, np.append(starts, len(text))).tolist()
+    return [found[a:b] - s for a, b, s in zip(cuts, cuts[1:], starts.tolist())]
 
 
 def spans(documents: DataFrame, size: int, gram: int, pieces_limit: int) -> DataFrame:
@@ -206,16 +257,17 @@ def spans(documents: DataFrame, size: int, gram: int, pieces_limit: int) -> Data
         got = [anchored(raw, size, gram) for raw in octets(batch.column("text"))]
         return pa.RecordBatch.from_arrays([batch.column("d"), batch.column("k"), pa.array(got, kind)], names=["d", "k", "pieces"])
 
-    found = cut(mapped(documents.where(F.octet_length("text") >= size), find, KINDS))
-    rows = found.select("d", "k", F.explode("pieces").alias("p")).select("d", "k", "p.*")
+    found = mapped(documents.where(F.octet_length("text") >= size), find, KINDS)
+    every = stored(found.select("d", "k", F.explode("pieces").alias("p")).select("d", "k", "p.*"))
     # Dealt anew, here and below, so that the join deals both its sides itself and may split an anchor of very many rows.
-    shared = rows.groupBy("h").agg(F.sum(F.size("starts")).alias("n")).where("n > 1").select("h").hint("rebalance")
-    rows = cut(rows.join(shared, "h").select("h", "ph", "len", "d", "k", "starts"))
+    shared = every.groupBy("h").agg(F.sum(F.size("starts")).alias("n")).where("n > 1").select("h").hint("rebalance")
+    rows = stored(every.join(shared, "h").select("h", "ph", "len", "d", "k", "starts"))
+    release(every)
     different = rows.groupBy("h", "ph", "len").agg(
         F.sum(F.size("starts")).alias("n"), F.min(F.struct("d", "k", F.element_at("starts", 1).alias("start"))).alias("at"))
     # An anchor of one piece has nothing to compare; its strings are repeated if the piece is.
     kinds = different.groupBy("h").agg(F.count("*").alias("kinds"))
-    different = cut(different.join(kinds, "h").select("h", "ph", "len", "n", "at.*", "kinds"))
+    different = stored(different.join(kinds, "h").select("h", "ph", "len", "n", "at.*", "kinds"))
     wanted = different.where("kinds > 1").groupBy("d", "k").agg(F.collect_list(F.struct("h", "ph", "len", "n", "start", "kinds")).alias("wanted"))
 
     def take(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -227,7 +279,7 @@ def spans(documents: DataFrame, size: int, gram: int, pieces_limit: int) -> Data
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds_of)] if out else [pa.array([], t) for t in kinds_of], names=names)
 
     texts = mapped(documents.join(wanted, ["d", "k"]), take, "h bigint, ph bigint, len int, n bigint, kinds bigint, piece binary")
-    texts = cut(texts.dropDuplicates(["h", "ph", "len"]))  # repeated rows give a piece each
+    texts = stored(texts.dropDuplicates(["h", "ph", "len"]))  # repeated rows give a piece each
     inside = sorted_blocks(texts.where(F.col("kinds") <= pieces_limit), size).unionByName(counted_strings(texts.where(F.col("kinds") > pieces_limit), size))
     marks = different.join(inside, ["h", "ph", "len"], "left").where("n > 1 or repeated is not null").select(
         "h", "ph", "len", F.when(F.col("n") <= 1, F.col("repeated")).alias("repeated"))
@@ -258,7 +310,9 @@ def sorted_blocks(texts: DataFrame, size: int) -> DataFrame:
             [pa.array([block[i][0] for i in some], pa.int64()), pa.array([block[i][1] for i in some], pa.int64()), pa.array([block[i][2] for i in some], pa.int32()),
              pa.array([got[i] for i in some], pa.list_(pa.int32()))], names=["h", "ph", "len", "repeated"])
 
-    dealt = texts.select("h", "ph", "len", "piece").repartition("h").sortWithinPartitions("h", "ph")
+    # As many parts as the bytes need; adaptive execution would go by compressed sizes.
+    parts = texts.agg(F.sum("len")).first()[0] or 0
+    dealt = texts.select("h", "ph", "len", "piece").repartition(max(1, -(-parts // PART)), "h").sortWithinPartitions("h", "ph")
     return dealt.mapInArrow(run, "h bigint, ph bigint, len int, repeated array<int>")
 
 
