@@ -17,6 +17,9 @@ from tallyscope.llm import contamination, packing, rules, simhash, suffixes
 from tallyscope.llm.common import table
 from tallyscope.session import use_shared_checkpoints
 
+# A passage of 51 words, the shortest one to be taken out, has 250 bytes or more.
+PASSAGE, PASSAGE_GRAM = 240, 80
+
 ORACLE_SQL = None  # fingerprints, suffix arrays and packing have no SQL; tests compare with plain Python
 
 
@@ -35,7 +38,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes long repeated strings out of the texts; ``n_chars`` follows."""
-    left = suffixes.strip(docs)
+    left = suffixes.strip(docs, size=PASSAGE, gram=PASSAGE_GRAM)
     return left.withColumn("n_chars", F.char_length("text").cast(left.schema["n_chars"].dataType)) if "n_chars" in left.columns else left
 
 
