@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,9 @@ from tallyscope.operators.verdict import Thresholds, classify
 from tallyscope.plans.base import OVERLAY, STORED, query
 from tallyscope.plans.reviews import HISTORY, history, overlay
 from tallyscope.plans.rollups import DONE, slide_areas
+from tallyscope.session import use_shared_checkpoints
 from tallyscope.sources.model import Model
+from tallyscope.streaming.detections import DetectionStore, run_detections
 
 
 @query(
@@ -439,3 +443,28 @@ def _(m: Model) -> DataFrame:
     h = history(m).select("detection_id", "batch_id", "image_id", "is_current", "created_at")
     old, new = h.filter("created_at < TIMESTAMP '2000-01-01'"), h.filter("created_at >= TIMESTAMP '2000-01-01'")
     return mg.supersede(new, old).select("detection_id", "batch_id", "image_id", "is_current")
+
+
+@query(
+    "save_detection_batch_stream",
+    """SELECT h.detection_id, h.batch_id, h.image_id, lead(h.detection_id) OVER w IS NULL AS is_current, lead(h.detection_id) OVER w AS superseded_by, coalesce(c.n, 0) AS n_candidates FROM hist h
+ LEFT JOIN (SELECT detection_id, count(DISTINCT mask_key) AS n FROM {candidate} GROUP BY 1) c ON c.detection_id = h.detection_id WINDOW w AS (PARTITION BY h.batch_id, h.image_id ORDER BY h.created_at, h.detection_id)""",
+    HISTORY,
+)
+def _(m: Model) -> DataFrame:
+    """The detections as a stream of four files, each a micro-batch, with the corrections bound as they come."""
+    use_shared_checkpoints(m.spark)
+    base = f"{m.spark.sparkContext.getCheckpointDir()}/arrivals-{uuid.uuid4().hex}"
+    box = [f"bbox_{s}" for s in "xywh"]
+    rows = history(m).join(m.candidate.select("detection_id", "mask_key", *box), "detection_id", "left").select(
+        "detection_id", "image_id", "batch_id", "created_at", F.lit(False).alias("keep_aside"), "mask_key", *box, F.lit(None).cast("string").alias("polygon"))
+    # Two years in each file, the earliest first.
+    for n in range(4):
+        some = rows.filter(F.least(F.floor((F.year("created_at") - 1992) / 2), F.lit(3)) == n)
+        some.repartition("detection_id").write.mode("append").parquet(f"{base}/in")
+    store = DetectionStore(m.spark, f"{base}/store")
+    stream = m.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
+    run_detections(stream, store, lambda: m.correction.filter("batch_id is not null"), f"{base}/checkpoint")
+    n = store.candidates().groupBy("detection_id").agg(F.count("*").alias("n_candidates"))
+    return store.detections().join(n, "detection_id", "left").select(
+        "detection_id", "batch_id", "image_id", "is_current", "superseded_by", F.coalesce("n_candidates", F.lit(0)).cast("bigint").alias("n_candidates"))
