@@ -73,7 +73,7 @@ def _(m: Model) -> DataFrame:
 
 
 FOLDERS = [
-    """obs AS (SELECT *, concat(n_files, ':', n_sidecars) AS sig, lag(concat(n_files, ':', n_sidecars)) OVER (PARTITION BY folder_id ORDER BY seen_at, event_id) AS before FROM {folder_scan})""",
+    """obs AS (SELECT *, concat(n_files, ':', n_sidecars, ':', n_bytes) AS sig, lag(concat(n_files, ':', n_sidecars, ':', n_bytes)) OVER (PARTITION BY folder_id ORDER BY seen_at, event_id) AS before FROM {folder_scan})""",
     """folders AS (SELECT folder_id, last(sig ORDER BY seen_at, event_id) AS signature, max(seen_at) FILTER (WHERE before IS NULL OR before <> sig) AS since, max(seen_at) AS last_seen, last(n_files ORDER BY seen_at, event_id) AS n_files FROM obs GROUP BY 1)""",
     """states AS (SELECT folder_id, signature, epoch_us(since) AS since_us, epoch_us(last_seen) AS last_us, n_files, CASE WHEN n_files = 0 THEN 'empty' WHEN folder_id % 10 = 0 THEN 'known' WHEN epoch_us(last_seen) - epoch_us(since) < 300000000 THEN 'copying' ELSE 'new' END AS state FROM folders)""",
 ]
@@ -92,7 +92,8 @@ def _(m: Model) -> DataFrame:
 def observation_stream(m: Model) -> DataFrame:
     events = m.spark.readStream.schema(m.events.schema).option("pathGlobFilter", "events.parquet").parquet(m.folder)
     return events.selectExpr(
-        "user_id AS folder_id", "CAST(ts AS TIMESTAMP) AS seen_at", "event_id", "CAST(floor(value / 100) AS INT) AS n_files", "CAST(floor(value / 120) AS INT) AS n_sidecars"
+        "user_id AS folder_id", "CAST(ts AS TIMESTAMP) AS seen_at", "event_id", "CAST(floor(value / 100) AS INT) AS n_files", "CAST(floor(value / 120) AS INT) AS n_sidecars",
+        "CAST(floor(value / 100) AS BIGINT) * 4096 + CASE WHEN user_id % 16 = 9 AND event_id % 2 = 0 THEN 512 ELSE 0 END AS n_bytes"
     )
 
 
@@ -102,6 +103,19 @@ def _(m: Model) -> DataFrame:
     return with_state(fo.latest(written))
 
 
+@query(
+    "folder_alarms",
+    """SELECT folder_id, count(*) AS n_settled, max(since_us) AS last_us FROM (SELECT folder_id, epoch_us(min(seen_at)) AS since_us, arg_max(n_files, (seen_at, event_id)) AS n_files,
+ lead(epoch_us(min(seen_at))) OVER (PARTITION BY folder_id ORDER BY min(seen_at), min(event_id)) AS gone_us
+ FROM (SELECT *, sum(CASE WHEN before IS NOT DISTINCT FROM sig THEN 0 ELSE 1 END) OVER (PARTITION BY folder_id ORDER BY seen_at, event_id) AS spell FROM obs) q GROUP BY folder_id, spell) r
+ WHERE n_files > 0 AND (gone_us IS NULL OR gone_us >= since_us + 300000000) GROUP BY 1""",
+    *FOLDERS[:1],
+)
+def _(m: Model) -> DataFrame:
+    """Every spell of five minutes without change rings once, whether or not its folder was looked at again."""
+    return fo.spells(m.folder_scan).groupBy("folder_id").agg(F.count("*").alias("n_settled"), F.max(F.unix_micros("since")).alias("last_us"))
+
+
 @query("missing_sidecars", "SELECT folder_id, event_id, n_files, n_sidecars FROM {folder_scan} WHERE n_sidecars < n_files")
 def _(m: Model) -> DataFrame:
     return fo.missing_sidecars(m.folder_scan).select("folder_id", "event_id", "n_files", "n_sidecars")

@@ -146,7 +146,8 @@ SELECT o_orderkey AS snapshot_id, CASE WHEN o_orderkey % 49 = 0 THEN NULL ELSE C
 FROM {orders}""",
     "folder_scan": """
 SELECT user_id AS folder_id, CAST(ts AS TIMESTAMP) AS seen_at, CAST(floor(value / CAST(100 AS DOUBLE)) AS INT) AS n_files,
-       CAST(floor(value / CAST(120 AS DOUBLE)) AS INT) AS n_sidecars, event_id
+       CAST(floor(value / CAST(120 AS DOUBLE)) AS INT) AS n_sidecars,
+       CAST(floor(value / CAST(100 AS DOUBLE)) AS BIGINT) * 4096 + CASE WHEN user_id % 16 = 9 AND event_id % 2 = 0 THEN 512 ELSE 0 END AS n_bytes, event_id
 FROM {events}""",
 }
 

@@ -1,6 +1,8 @@
 """Folders that fill up while they are watched: when one has been still long enough, its slide is taken in, once.
 
-The stream keeps one small state per folder; ``settled`` is the same rule over a finished table of observations.
+The stream keeps one small state per folder and a timer: a folder rings when its signature (files, side files and bytes)
+has held for long enough, also if nobody looks at it again. ``settled`` and ``spells`` are the same rules over a finished
+table of observations.
 """
 
 from __future__ import annotations
@@ -24,12 +26,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Minutes without change that make a folder new, minutes its newest file must be old, days until a vanished
 # folder is forgotten.
 STABLE_MIN, QUIET_MIN, FORGET_DAYS = 5.0, 1.0, 30
-STATE = "signature STRING, since TIMESTAMP, last_seen TIMESTAMP, n_files INT"
-OUT = "folder_id BIGINT, signature STRING, since TIMESTAMP, last_seen TIMESTAMP, n_files INT"
+STATE = "signature STRING, since TIMESTAMP, last_seen TIMESTAMP, n_files INT, newest TIMESTAMP"
+OUT = "folder_id BIGINT, signature STRING, since TIMESTAMP, last_seen TIMESTAMP, n_files INT, rang BOOLEAN"
 
 
 def signature() -> Column:
-    return F.concat_ws(":", F.col("n_files").cast("string"), F.col("n_sidecars").cast("string"))
+    """What must hold still: a growing copy of an unchanged number of files has other bytes."""
+    return F.concat_ws(":", *(F.col(c).cast("string") for c in ("n_files", "n_sidecars", "n_bytes")))
 
 
 def folder_state(known: Column, quiet_min: Column | None = None, stable_min: float = STABLE_MIN) -> Column:
@@ -42,7 +45,7 @@ def folder_state(known: Column, quiet_min: Column | None = None, stable_min: flo
 def settled(seen: DataFrame) -> DataFrame:
     """Last signature of every folder and since when it holds: folder_id, signature, since, last_seen, n_files.
 
-    ``seen``: folder_id, seen_at, event_id, n_files, n_sidecars. A change is a row whose signature differs from the one
+    ``seen``: folder_id, seen_at, event_id, n_files, n_sidecars, n_bytes. A change is a row whose signature differs from the one
     before; the last change is where the signature began to hold.
     """
     rows = seen.withColumn("signature", signature())
@@ -56,39 +59,76 @@ def settled(seen: DataFrame) -> DataFrame:
     )
 
 
+def spells(seen: DataFrame, stable_min: float = STABLE_MIN) -> DataFrame:
+    """Every spell of a folder with files whose signature held for ``stable_min`` minutes: folder_id, signature, since.
+
+    A spell ends with the first other signature; the last one has no end and counts.
+    """
+    rows = seen.withColumn("signature", signature())
+    order = Blocks(["folder_id"], [(F.to_date("seen_at"), True)], ["seen_at", "event_id"])
+    starts = order.previous(rows, {"signature": "_before"}).filter(~F.col("signature").eqNullSafe(F.col("_before")))
+    ends = order.following(starts, {"seen_at": "_until"})
+    held = F.col("_until").isNull() | (F.unix_micros("_until") - F.unix_micros("seen_at") >= stable_min * 6e7)
+    return ends.filter(held & (F.col("n_files") > 0)).select("folder_id", "signature", F.col("seen_at").alias("since"))
+
+
 class FolderWatch(StatefulProcessor):
-    """Holds signature and since per folder; with ``forget``, a folder not seen for a month is dropped by its TTL."""
+    """Holds signature and since per folder, and one timer. With ``forget``, a folder not seen for a month is dropped by
+    its TTL, and timers go by the clock; else by the watermark of ``seen_at``."""
 
-    def __init__(self, forget: bool):
+    def __init__(self, forget: bool, stable_min: float = STABLE_MIN, quiet_min: float = QUIET_MIN):
         self.ttl = FORGET_DAYS * 86_400_000 if forget else None
+        self.clock, self.stable, self.quiet = forget, pd.Timedelta(minutes=stable_min), pd.Timedelta(minutes=quiet_min)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("folder", STATE, self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        # The observations of one folder in one micro-batch: one a minute, so a handful.
-        seen = pd.concat(list(rows)).sort_values(["seen_at", "event_id"])
-        held = self.state.get() if self.state.exists() else (None, None, None, 0)
-        sig, since, last, n = held
-        for s, at, files in zip(seen["signature"], seen["seen_at"], seen["n_files"]):
+        # Of each chunk only the columns of the rule are held; a micro-batch has a handful of observations of a folder.
+        seen: list[tuple] = []
+        for part in rows:
+            newest = part["newest"] if "newest" in part else part["seen_at"]
+            seen += zip(part["seen_at"], part["event_id"], part["signature"], part["n_files"], newest)
+        held = self.state.get() if self.state.exists() else (None, None, None, 0, None)
+        sig, since, last, n, newest = held
+        for at, _, s, files, touched in sorted(seen, key=lambda r: r[:2]):
             if s != sig:
                 sig, since = s, at
-            last, n = at, int(files)
-        self.state.update((sig, since, last, n))
-        yield pd.DataFrame({"folder_id": [key[0]], "signature": [sig], "since": [since], "last_seen": [last], "n_files": [n]})
+            last, n, newest = at, int(files), touched
+        self.state.update((sig, since, last, n, newest))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if n > 0:
+            due = max(since + self.stable, newest + self.quiet if newest < last else since + self.stable)
+            now = timerValues.getCurrentProcessingTimeInMs() if self.clock else timerValues.getCurrentWatermarkInMs()
+            self.handle.registerTimer(max(int(pd.Timestamp(due).timestamp() * 1000), now + 1))
+        yield self.row(key, sig, since, last, n, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.state.exists():
+            sig, since, last, n, _ = self.state.get()
+            yield self.row(key, sig, since, last, n, True)
+
+    @staticmethod
+    def row(key: tuple, sig: str, since: object, last: object, n: int, rang: bool) -> pd.DataFrame:
+        return pd.DataFrame({"folder_id": [key[0]], "signature": [sig], "since": [since], "last_seen": [last], "n_files": [n], "rang": [rang]})
 
     def close(self) -> None:
         pass
 
 
-def watch(observations: DataFrame, forget: bool = True) -> DataFrame:
-    """A stream of observations to a stream of folder states (one row per folder and micro-batch).
+def watch(observations: DataFrame, forget: bool = True, late: str = "0 seconds") -> DataFrame:
+    """A stream of observations to a stream of folder states: one row per folder and micro-batch, and one with ``rang``
+    when a folder has been still for long enough, whether or not it was looked at again.
 
     Forgetting needs processing time, and with it a query has work to do at every trigger: a stream that is to end once
-    its input is read must not forget.
+    its input is read must not forget; its timers go by ``seen_at``, of which none comes later than ``late``.
     """
-    keyed = observations.withColumn("signature", signature()).groupBy("folder_id")
-    return keyed.transformWithStateInPandas(FolderWatch(forget), OUT, "update", "ProcessingTime" if forget else "None")
+    keyed = observations.withColumn("signature", signature())
+    if not forget:
+        keyed = keyed.withWatermark("seen_at", late)
+    return keyed.groupBy("folder_id").transformWithStateInPandas(FolderWatch(forget), OUT, "update", "ProcessingTime" if forget else "EventTime")
 
 
 def run_to_end(stream: DataFrame, spark: SparkSession, mode: str = "update") -> DataFrame:

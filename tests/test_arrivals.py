@@ -69,3 +69,53 @@ def test_a_micro_batch_run_again_changes_nothing(spark, once, tmp_path):
             store.save(df, n, fixes(spark))
         store.save(df, n, fixes(spark))
     assert state(store) == once
+
+
+# folders
+
+
+def look(folder, minute, files, size, event):
+    return (folder, at(minute), event, files, files, size)
+
+
+SEEN = "folder_id bigint, seen_at timestamp, event_id bigint, n_files int, n_sidecars int, n_bytes bigint"
+
+
+def watched(spark, tmp_path, parts):
+    from tallyscope.streaming import folders as fo
+
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, SEEN).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/part={n}")
+    stream = spark.readStream.schema(SEEN + ", part int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").drop("part")
+    return fo.run_to_end(fo.watch(stream, forget=False), spark).collect()
+
+
+def test_a_growing_copy_never_rings_and_a_still_folder_rings_without_being_seen_again(spark, tmp_path):
+    parts, event = [], 0
+    for start in range(0, 30, 5):
+        part = []
+        for minute in range(start, start + 5):
+            part.append(look(1, minute, 3, 1000 + minute, event))  # same number of files, more bytes each minute
+            if minute < 2:
+                part.append(look(2, minute, 4, 4000, event + 1))  # never seen again
+            part.append(look(3, minute, 0, 0, event + 2))  # empty
+            event += 3
+        parts.append(part)
+    rang = [r for r in watched(spark, tmp_path, parts) if r["rang"]]
+    assert [(r["folder_id"], r["since"]) for r in rang] == [(2, at(0))]
+
+
+def test_spells_of_a_finished_table(spark):
+    from tallyscope.streaming import folders as fo
+
+    rows = [look(1, 0, 2, 5, 1), look(1, 3, 2, 6, 2), look(1, 8, 2, 6, 3), look(1, 9, 2, 7, 4), look(2, 0, 0, 0, 5), look(2, 9, 0, 0, 6)]
+    found = fo.spells(spark.createDataFrame(rows, SEEN)).orderBy("since").collect()
+    assert [(r["folder_id"], r["since"]) for r in found] == [(1, at(3)), (1, at(9))]
+
+
+def test_bytes_belong_to_the_signature(spark):
+    from tallyscope.streaming import folders as fo
+
+    rows = [look(1, m, 3, 10 + m, m) for m in range(20)]
+    state = fo.settled(spark.createDataFrame(rows, SEEN)).select(fo.folder_state(F.lit(False))).first()[0]
+    assert state == "copying"
