@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyscope.operators import linking as li
 from tallyscope.operators import merge as mg
 from tallyscope.operators import saving as sv
 from tallyscope.operators.review import spread_drawn
@@ -260,6 +261,54 @@ def _(m: Model) -> DataFrame:
     return mg.link_objects(r, linked)
 
 
+# Two requests a viewpoint and shape, of which every fifth mask is in both; most rows have an object of their own.
+SETTLED = [
+    STORED,
+    """judged AS (SELECT image_id, mask_key, r.viewpoint_id, r.batch_id, CASE WHEN r.bbox_w % 6 = 0 THEN r.object_id ELSE r.image_id * 100000 + bbox_x * 1000 + bbox_y * 10 + bbox_w % 10 END AS object_id, r.removed, r.accepted,
+  CASE WHEN bbox_h % 4 = 0 THEN o.label ELSE '' END AS label, CASE WHEN bbox_h % 6 = 0 THEN o.species ELSE '' END AS species FROM {correction} r JOIN {object} o ON o.object_id = r.object_id)""",
+    """asked AS (SELECT r.viewpoint_id * 8 + (n + bbox_h) % 4 AS link_id, r.viewpoint_id, CASE WHEN r.viewpoint_id % 3 = 0 THEN min(CASE WHEN r.bbox_w % 6 = 0 THEN r.object_id END) OVER (PARTITION BY r.viewpoint_id * 8 + (n + bbox_h) % 4) END AS target_id,
+  r.image_id, r.mask_key, row_number() OVER (PARTITION BY r.viewpoint_id * 8 + (n + bbox_h) % 4 ORDER BY r.image_id, r.mask_key) = 1 AS is_rep, CASE WHEN r.viewpoint_id % 2 = 0 THEN 'rod' END AS label, CASE WHEN r.viewpoint_id % 4 = 0 THEN '' END AS species
+ FROM {correction} r JOIN (SELECT unnest([0, 1]) AS n) z ON n = 0 OR bbox_w % 5 = 0 WHERE r.mask_key IN (SELECT min(mask_key) FROM {correction} q GROUP BY q.image_id, q.bbox_h % 4) AND NOT r.removed)""",
+    """sides AS (SELECT DISTINCT a.link_id AS x, b.link_id AS y FROM asked a JOIN asked b ON a.image_id = b.image_id AND a.mask_key = b.mask_key)""",
+    """rec_reach AS (SELECT x, y FROM sides UNION SELECT r.x, s.y FROM rec_reach r JOIN sides s ON s.x = r.y)""",
+    """roots AS (SELECT x AS link_id, min(y) AS group_id FROM rec_reach GROUP BY 1)""",
+    """named AS (SELECT a.*, group_id FROM asked a JOIN roots r ON r.link_id = a.link_id)""",
+    """masks AS (SELECT group_id, image_id, mask_key, bool_or(is_rep AND link_id = group_id) AS is_rep, min(viewpoint_id) AS v0, max(viewpoint_id) AS v1 FROM named GROUP BY 1, 2, 3)""",
+    """chosen AS (SELECT group_id, min(target_id) FILTER (WHERE link_id = group_id) AS target_id, arg_min(label, link_id) AS label, arg_min(species, link_id) AS species FROM named GROUP BY 1)""",
+    """olds AS (SELECT image_id, mask_key, max(object_id) AS object_id, bool_or(removed) AS removed, bool_or(accepted) AS accepted, max(label) AS label, max(species) AS species, max(viewpoint_id) AS rv, bool_or(batch_id IS NULL) AS drawn FROM judged GROUP BY 1, 2)""",
+    """seen AS (SELECT c.detection_id AS image_id, c.mask_key, max(d.viewpoint_id) AS cv, bool_or(passed) AS passed FROM stored c JOIN {detection} d ON d.detection_id = c.detection_id GROUP BY 1, 2)""",
+    """sizes AS (SELECT object_id, count(*) AS n FROM judged GROUP BY 1)""",
+    """m AS (SELECT k.*, o.object_id, o.removed, o.accepted, o.label, o.species, o.rv, coalesce(o.drawn, FALSE) AS drawn, s.cv, s.passed, c.target_id, c.label AS clabel, c.species AS cspecies, z.n AS size FROM masks k LEFT JOIN olds o ON o.image_id = k.image_id AND o.mask_key = k.mask_key
+  LEFT JOIN seen s ON s.image_id = k.image_id AND s.mask_key = k.mask_key JOIN chosen c ON c.group_id = k.group_id LEFT JOIN sizes z ON z.object_id = o.object_id)""",
+    """g AS (SELECT group_id, CASE WHEN count(*) < 2 THEN 'too few members' WHEN count(*) FILTER (WHERE is_rep) <> 1 THEN 'not one representative' WHEN count(DISTINCT image_id) < count(*) THEN 'one image twice'
+  WHEN bool_or(cv IS NULL AND NOT drawn) THEN 'unknown mask' WHEN bool_or(v0 IS DISTINCT FROM v1 OR coalesce(cv, rv) IS DISTINCT FROM v0) THEN 'several viewpoints' WHEN bool_or(coalesce(removed, FALSE)) THEN 'removed member'
+  WHEN bool_or(coalesce(size > 1, FALSE) AND object_id IS DISTINCT FROM target_id) THEN 'already linked'
+  WHEN (count(DISTINCT nullif(label, '')) > 1 AND max(clabel) IS NULL) OR (count(DISTINCT nullif(species, '')) > 1 AND max(cspecies) IS NULL) THEN 'conflict' ELSE '' END AS why,
+  coalesce(max(target_id), max(object_id) FILTER (WHERE is_rep), min(object_id)) AS home, coalesce(max(clabel), max(nullif(label, '')), '') AS nlabel, coalesce(max(cspecies), max(nullif(species, '')), '') AS nspecies FROM m GROUP BY 1)""",
+    """settled AS (SELECT m.group_id AS link_id, image_id, mask_key, CASE WHEN why <> '' THEN 'refused' WHEN object_id IS NULL THEN 'created' WHEN object_id = home THEN 'stays' ELSE 'moved' END AS what, why, CASE WHEN why = '' THEN home ELSE object_id END AS object_id, is_rep,
+  coalesce(accepted, FALSE) OR coalesce(why = '' AND cv IS NOT NULL AND NOT passed, FALSE) AS accepted, CASE WHEN why = '' THEN nlabel ELSE coalesce(label, '') END AS label, CASE WHEN why = '' THEN nspecies ELSE coalesce(species, '') END AS species FROM m JOIN g ON g.group_id = m.group_id
+ UNION ALL SELECT g.group_id, j.image_id, j.mask_key, 'split', '', NULL, TRUE, coalesce(j.accepted, FALSE), coalesce(j.label, ''), coalesce(j.species, '') FROM judged j JOIN g ON g.home = j.object_id AND why = ''
+  WHERE NOT EXISTS (SELECT 1 FROM masks k WHERE k.group_id = g.group_id AND k.image_id = j.image_id AND k.mask_key = j.mask_key))""",
+]
+
+
+@query("settle_links", "SELECT * FROM settled", *SETTLED)
+def _(m: Model) -> DataFrame:
+    c = m.correction
+    judged = c.join(m.object.select("object_id", "label", "species"), "object_id").selectExpr(
+        "image_id", "mask_key", "viewpoint_id", "batch_id", "CASE WHEN bbox_w % 6 = 0 THEN object_id ELSE image_id * 100000 + bbox_x * 1000 + bbox_y * 10 + bbox_w % 10 END AS object_id", "removed", "accepted",
+        "CASE WHEN bbox_h % 4 = 0 THEN label ELSE '' END AS label", "CASE WHEN bbox_h % 6 = 0 THEN species ELSE '' END AS species")
+    firsts = c.groupBy("image_id", F.col("bbox_h") % 4).agg(F.min("mask_key").alias("mask_key")).select("mask_key").distinct()
+    n = F.explode(F.when(F.col("bbox_w") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("n")
+    rows = c.filter("not removed").join(firsts, "mask_key", "left_semi").select("*", n).withColumn("link_id", F.expr("viewpoint_id * 8 + (n + bbox_h) % 4"))
+    heads = rows.groupBy("link_id").agg(F.min(F.when(F.col("bbox_w") % 6 == 0, F.col("object_id"))).alias("_t"), F.min(F.struct("image_id", "mask_key")).alias("_h"))
+    asked = rows.join(heads, "link_id").select(
+        "link_id", "viewpoint_id", F.when(F.col("viewpoint_id") % 3 == 0, F.col("_t")).alias("target_id"), "image_id", "mask_key", (F.struct("image_id", "mask_key") == F.col("_h")).alias("is_rep"),
+        F.when(F.col("viewpoint_id") % 2 == 0, "rod").alias("label"), F.when(F.col("viewpoint_id") % 4 == 0, "").alias("species"))
+    seen = m.stored.join(m.detection.select("detection_id", "viewpoint_id"), "detection_id").select(F.col("detection_id").alias("image_id"), "mask_key", "viewpoint_id", "passed")
+    return li.settle_links(asked, judged, seen)
+
+
 @query(
     "unlink_objects",
     """SELECT r.image_id, r.mask_key, concat(r.object_id, ':', r.image_id, ':', r.mask_key) AS new_object, o.label, o.species, o.grade, o.pose, o.note, TRUE AS is_rep FROM {correction} r JOIN {object} o ON o.object_id = r.object_id WHERE r.object_id IN (SELECT object_id FROM linked)""",
