@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions.names import genus
+from tallyscope.operators.verdict import judge
 from tallyscope.plans.base import STORED, query
+from tallyscope.plans.base import judged as judged_sql
 from tallyscope.plans.names import HITS, hits
+from tallyscope.plans.verdicts import SIDE
 from tallyscope.sources import loaders as ld
 from tallyscope.sources.model import Model
 
@@ -128,27 +131,51 @@ def _(m: Model) -> DataFrame:
     return ld.upsert_points(stored_points(m), new_points(m), KEYS)
 
 
-@query(
-    "load_detections_json",
-    "SELECT image_id, mask_key, passed, area_px, elongation, cls, reject FROM (SELECT detection_id * 8 + candidate_no % 8 AS image_id, * FROM stored UNION ALL SELECT detection_id * 8 + candidate_no % 8, * FROM stored WHERE FALSE) q QUALIFY row_number() OVER (PARTITION BY detection_id, candidate_no ORDER BY 1) = 1",
-    STORED,
-)
-def _(m: Model) -> DataFrame:
-    # One document per candidate; a rejected one is listed twice, and the second listing must not count.
+def detection_docs(m: Model) -> DataFrame:
+    """One document per detection with all its masks, larger ones first, and a field that no schema names."""
     c = F.struct(
-        F.array(*[F.col("bbox_" + s).cast("double") for s in "xywh"]).alias("bbox_xywh"), "area_px", "shape_ok", "major_um", "texture", "elongation", "ellipse_iou", "solidity", "cls", "reject"
-    )
-    again = F.struct(F.col("c.bbox_xywh"), F.lit(-1).cast("bigint").alias("area_px"), *[F.col(f"c.{f}") for f in ("shape_ok", "major_um", "texture", "elongation", "ellipse_iou", "solidity", "cls", "reject")])
-    rows = m.stored.select("detection_id", "candidate_no", "passed", c.alias("c"))
-    none = F.slice(F.array("c"), 1, 0)
-    doc = F.struct(
-        F.lit("img").alias("image"), F.when(F.col("passed"), F.array("c")).otherwise(none).alias("candidates"), F.when(F.col("passed"), none).otherwise(F.array(F.col("c"), again)).alias("rejected")
-    )
-    docs = rows.select(F.col("detection_id").cast("string").alias("_d"), "candidate_no", "detection_id", F.to_json(doc).alias("text"))
-    keyed = docs.select(F.concat_ws("/", "_d", F.col("candidate_no").cast("string")).alias("image_id"), "text")
-    flat = ld.flatten_detections(keyed)
-    parts = F.split("image_id", "/")
-    return flat.withColumn("image_id", parts[0].cast("bigint") * 8 + parts[1].cast("bigint") % 8)
+        F.col("candidate_no").alias("id"), F.array(*[F.col("bbox_" + s).cast("double") for s in "xywh"]).alias("bbox_xywh"), F.array(F.col("bbox_x") + F.col("bbox_w") / 2, F.col("bbox_y") + F.col("bbox_h") / 2).alias("center_xy"),
+        "area_px", "shape_ok", F.array(*[F.col(c).cast("double") for c in ("bbox_x", "bbox_y", "bbox_w", "bbox_y", "bbox_w", "bbox_h")]).alias("polygon"), "major_um", "texture", "elongation", "ellipse_iou", "solidity", "cls", "reject",
+        F.concat(F.lit("s"), F.col("candidate_no") % 10).alias("session"))
+    order = F.struct((-F.col("area_px")).alias("a"), "candidate_no", c.alias("c"))
+    pools = m.stored.groupBy("detection_id").agg(*(F.sort_array(F.collect_list(F.when(F.col("passed") == p, order))).alias(n) for n, p in (("candidates", True), ("rejected", False))))
+    pools = pools.join(m.detection.select("detection_id", "um_per_pixel", "image_path"), "detection_id")
+    doc = F.struct(F.col("image_path").alias("image"), F.array(F.lit(1920), F.lit(1440)).alias("size"), "um_per_pixel", F.create_map(F.lit("texture_min"), F.lit(1000.0)).alias("thresholds"),
+                   *(F.transform(n, lambda x: x["c"]).alias(n) for n in ("candidates", "rejected")))
+    return pools.select(F.col("detection_id").alias("image_id"), F.to_json(doc).alias("text"))
+
+
+LOADED = """cls0 AS (SELECT * FROM stored QUALIFY row_number() OVER (PARTITION BY detection_id, mask_key ORDER BY passed DESC, area_px DESC, candidate_no) = 1)"""
+
+
+def told(flat: DataFrame) -> DataFrame:
+    points = F.array_join(F.transform("polygon", lambda v: v.cast("int").cast("string")), ",")
+    return flat.select(
+        F.col("image_id").alias("detection_id"), "mask_key", "passed", "raw_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h", "center_x", "center_y", "area_px", "shape_ok", "major_um", "texture", "elongation", "ellipse_iou", "solidity",
+        "cls", "reject", points.alias("points"), F.get(F.map_values("extra"), F.lit(0)).alias("session"), F.col("doc.um_per_pixel").alias("um_per_pixel"), F.get("doc.size", F.lit(0)).alias("width"))
+
+
+LOADED_SQL = """SELECT c.detection_id, mask_key, passed, candidate_no AS raw_id, bbox_x, bbox_y, bbox_w, bbox_h, bbox_x + bbox_w / 2 AS center_x, bbox_y + bbox_h / 2 AS center_y, area_px, shape_ok, major_um, texture, elongation, ellipse_iou, solidity, cls, reject,
+ concat_ws(',', bbox_x, bbox_y, bbox_w, bbox_y, bbox_w, bbox_h) AS points, concat('s', candidate_no % 10) AS session, d.um_per_pixel, 1920 AS width FROM cls0 c JOIN {detection} d ON d.detection_id = c.detection_id"""
+
+
+@query("load_detections_json", LOADED_SQL, STORED, LOADED)
+def _(m: Model) -> DataFrame:
+    return told(ld.flatten_detections(detection_docs(m)))
+
+
+@query("load_detections_again", LOADED_SQL, STORED, LOADED)
+def _(m: Model) -> DataFrame:
+    """Loaded, written as documents and loaded once more."""
+    once = ld.flatten_detections(detection_docs(m))
+    return told(ld.flatten_detections(ld.detection_documents(once)))
+
+
+@query("load_detections_judged", "SELECT detection_id, candidate_no, passed, cls, reject FROM judged", STORED, LOADED, *judged_sql())
+def _(m: Model) -> DataFrame:
+    """Loaded candidates are complete: judging them gives what judging the table gives."""
+    rows = ld.flatten_detections(detection_docs(m)).withColumnsRenamed({"image_id": "detection_id", "raw_id": "candidate_no"})
+    return judge(rows, max_side=SIDE).select("detection_id", "candidate_no", "passed", "cls", "reject")
 
 
 @query(
@@ -178,15 +205,28 @@ def _(m: Model) -> DataFrame:
 
 @query(
     "load_reviews_json",
-    """SELECT r.viewpoint_id AS gid, r.image_id, r.mask_key, r.removed, r.accepted, o.label, CASE WHEN c.k IS NULL THEN 'orphan' ELSE 'exact' END AS bind FROM {correction} r JOIN {object} o ON o.object_id = r.object_id
-LEFT JOIN (SELECT DISTINCT detection_id, mask_key AS k FROM {candidate} WHERE bbox_w % 3 <> 0) c ON c.detection_id = r.image_id AND c.k = r.mask_key""",
+    """SELECT r.viewpoint_id AS gid, r.image_id, CASE WHEN r.batch_id IS NOT NULL THEN concat('b', r.batch_id) END AS batch, r.mask_key, r.removed, r.accepted, r.geom_edited, r.auto_confirmed, r.is_rep, o.label, o.note, o.species, o.grade, o.pose, r.source,
+ CASE WHEN r.bbox_w % 2 = 0 THEN r.object_id END AS link, regexp_replace(r.polygon, '[\\[\\]]', '', 'g') AS points, concat('u', r.object_id % 7) AS who, r.viewpoint_id % 4 <> 0 AS done,
+ CASE WHEN r.source = 'manual' THEN 'manual' WHEN c.k IS NULL THEN 'orphan' ELSE 'exact' END AS bind, CASE WHEN c.k IS NOT NULL AND r.source <> 'manual' THEN 1.0::DOUBLE END AS bind_score FROM {correction} r JOIN {object} o ON o.object_id = r.object_id
+LEFT JOIN (SELECT DISTINCT detection_id, mask_key AS k FROM {candidate} WHERE bbox_w % 3 <> 0) c ON c.detection_id = r.image_id AND c.k = r.mask_key
+QUALIFY row_number() OVER (PARTITION BY r.viewpoint_id, r.image_id, r.batch_id, r.mask_key ORDER BY r.object_id DESC, r.bbox_w DESC) = 1""",
 )
 def _(m: Model) -> DataFrame:
-    r = m.correction.join(m.object.select("object_id", "label"), "object_id")
-    entry = F.struct(F.col("mask_key").alias("key"), F.when(F.col("removed"), True).alias("removed"), F.when(F.col("accepted"), True).alias("accepted"), F.when(F.col("label") != "", F.col("label")).alias("label"))
-    image = F.struct(F.col("image_id").cast("string").alias("image"), F.array(entry).alias("objects"))
-    docs = r.select(F.to_json(F.struct(F.col("viewpoint_id").alias("gid"), F.array(image).alias("images"))).alias("text"))
-    return ld.flatten_reviews(docs, m.candidate.filter("bbox_w % 3 <> 0").select(F.col("detection_id").alias("image_id"), "mask_key"))
+    r = m.correction.join(m.object.select("object_id", "label", "species", "grade", "pose", "note"), "object_id")
+    only = lambda c: F.when(F.col(c), True).alias(c)
+    text = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
+    points = F.from_json("polygon", "array<double>").alias("polygon")
+    entry = F.struct(
+        F.col("mask_key").alias("key"), *(only(c) for c in ("removed", "accepted", "geom_edited", "auto_confirmed", "is_rep")), *(text(c) for c in ("label", "note", "species", "grade", "pose")), "source", points,
+        F.when(F.col("bbox_w") % 2 == 0, F.col("object_id")).alias("link"), F.concat(F.lit("u"), F.col("object_id") % 7).alias("who"))
+    # One document per viewpoint, with its images and batches and all their objects.
+    images = r.groupBy("viewpoint_id", "image_id", "batch_id").agg(F.sort_array(F.collect_list(F.struct("object_id", "bbox_w", entry.alias("e")))).alias("o"))
+    image = F.struct(F.col("image_id").cast("string").alias("image"), F.when(F.col("batch_id").isNotNull(), F.concat(F.lit("b"), "batch_id")).alias("batch"), F.transform("o", lambda x: x["e"]).alias("objects"))
+    docs = images.groupBy("viewpoint_id").agg(F.collect_list(image).alias("images")).select(F.to_json(F.struct(F.col("viewpoint_id").alias("gid"), (F.col("viewpoint_id") % 4 != 0).alias("done"), "images")).alias("text"))
+    flat = ld.flatten_reviews(docs, m.candidate.filter("bbox_w % 3 <> 0").select(F.col("detection_id").alias("image_id"), "mask_key"))
+    return flat.select(
+        "gid", "image_id", "batch", "mask_key", "removed", "accepted", "geom_edited", "auto_confirmed", "is_rep", "label", "note", "species", "grade", "pose", "source", "link",
+        F.array_join(F.transform("polygon", lambda v: v.cast("int").cast("string")), ",").alias("points"), F.get(F.map_values("extra"), F.lit(0)).alias("who"), "done", "bind", "bind_score")
 
 
 def atlas_docs(m: Model) -> DataFrame:

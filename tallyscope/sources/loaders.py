@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 # Schemas of the JSON documents, given so that no file is read twice for inference.
-CANDIDATE_JSON = (
-    "struct<bbox_xywh:array<double>,area_px:bigint,shape_ok:boolean,major_um:double,texture:double,elongation:double,"
-    "ellipse_iou:double,solidity:double,cls:string,reject:string>"
-)
-DETECTION_JSON = f"struct<image:string,size:array<int>,um_per_pixel:double,candidates:array<{CANDIDATE_JSON}>,rejected:array<{CANDIDATE_JSON}>>"
+CANDIDATE_FIELDS = {
+    "id": "bigint", "bbox_xywh": "array<double>", "center_xy": "array<double>", "area_px": "bigint", "shape_ok": "boolean", "polygon": "array<double>", "major_um": "double", "minor_um": "double",
+    "texture": "double", "elongation": "double", "ellipse_iou": "double", "solidity": "double", "cls": "string", "reject": "string",
+}
+CANDIDATE_JSON = "struct<" + ",".join(f"{k}:{v}" for k, v in CANDIDATE_FIELDS.items()) + ">"
+DETECTION_FIELDS = {
+    "image": "string", "size": "array<int>", "scale": "double", "um_per_pixel": "double", "um_per_pixel_native": "double", "um_per_pixel_source": "string", "um_per_pixel_backfilled": "boolean",
+    "n_raw_masks": "bigint", "n_sized": "bigint", "thresholds": "map<string,double>",
+}
+DETECTION_JSON = "struct<" + ",".join(f"{k}:{v}" for k, v in DETECTION_FIELDS.items()) + f",candidates:array<{CANDIDATE_JSON}>,rejected:array<{CANDIDATE_JSON}>>"
+# The same document with every field as text, for the ones not named above.
+OPEN_DETECTION_JSON = "struct<candidates:array<map<string,string>>,rejected:array<map<string,string>>>"
 GROUPS_JSON = "struct<dir:string,corr_thresh:double,groups:array<struct<id:int,images:array<string>,n:int,sharpest:string,sharpness:map<string,double>,span_sec:double>>>"
 STACKS_JSON = "array<struct<tag:string,n:int,um_per_pixel:double,gain:double>>"
-REVIEWS_JSON = (
-    "struct<slide:string,gid:bigint,images:array<struct<image:string,batch:string,objects:array<struct<key:string,removed:boolean,accepted:boolean,label:string,note:string>>>>>"
-)
+OBJECT_FIELDS = {
+    "key": "string", "removed": "boolean", "accepted": "boolean", "label": "string", "note": "string", "species": "string", "grade": "string", "pose": "string", "source": "string", "bind": "string", "bind_score": "double",
+    "geom_edited": "boolean", "auto_confirmed": "boolean", "bbox": "array<double>", "polygon": "array<double>", "link": "bigint", "is_rep": "boolean",
+}
+OBJECT_JSON = "struct<" + ",".join(f"{k}:{v}" for k, v in OBJECT_FIELDS.items()) + ">"
+REVIEWS_JSON = f"struct<slide:string,gid:bigint,tag:string,done:boolean,comment:string,images:array<struct<image:string,batch:string,objects:array<{OBJECT_JSON}>>>>"
+OPEN_REVIEWS_JSON = "struct<images:array<struct<objects:array<map<string,string>>>>>"
 PLACEMENT_JSON = "struct<plate:bigint,figures:string,pdf_page:bigint,volume:string,note:string>"
 ATLAS_JSON = f"struct<atlas:struct<key:string,title:string>,entries:array<struct<seq:int,name:string,genus:string,binomial:string,placements:array<{PLACEMENT_JSON}>>>>"
 # Scale metadata.
@@ -112,22 +126,55 @@ def upsert_points(stored: DataFrame, new: DataFrame, keys: list[str], replace: b
     return kept.select(*keys, "depth_mm", "value").unionByName(new.select(*keys, "depth_mm", "value"))
 
 
+def unknown_fields(fields: Column, known: Iterable[str]) -> Column:
+    """The entries of a map of all fields that the schema does not name."""
+    names = list(known)
+    return F.map_filter(fields, lambda k, v: ~k.isin(names) & v.isNotNull())
+
+
 def flatten_detections(docs: DataFrame) -> DataFrame:
-    """Detection documents (image_id, text) to candidate rows; of equal boxes in an image the first one stays.
+    """Detection documents (image_id, text) to candidate rows with every field; of equal boxes in an image the first one
+    stays: the passing pool comes before the rejected one, each in document order.
 
-    The passing pool comes first, then the rejected one, each in document order.
+    Fields that the schema does not name stay as text in ``extra``. The fields of the document stand in ``doc``. Rows can
+    be judged again, compared, or written back by :func:`detection_documents`.
     """
-    d = docs.select("image_id", F.from_json("text", DETECTION_JSON).alias("d"))
+    d = docs.select("image_id", F.from_json("text", DETECTION_JSON).alias("d"), F.from_json("text", OPEN_DETECTION_JSON).alias("o"))
 
     def pool(name: str, passed: bool) -> Column:
-        return F.transform(F.coalesce(f"d.{name}", F.array()), lambda c, i: F.struct(F.lit(passed).alias("passed"), i.alias("i"), c.alias("c")))
+        every = F.coalesce(f"o.{name}", F.array())
+        return F.transform(F.coalesce(f"d.{name}", F.array()), lambda c, i: F.struct(F.lit(passed).alias("passed"), i.alias("i"), c.alias("c"), F.get(every, i).alias("all")))
 
-    rows = d.select("image_id", F.explode(F.concat(pool("candidates", True), pool("rejected", False))).alias("r"))
+    rows = d.select("image_id", F.struct(*(f"d.{f}" for f in DETECTION_FIELDS)).alias("doc"), F.explode(F.concat(pool("candidates", True), pool("rejected", False))).alias("r"))
     box = F.transform("r.c.bbox_xywh", lambda v: v.cast("int"))
-    rows = rows.select("image_id", F.array_join(F.transform(box, lambda v: v.cast("string")), "_").alias("mask_key"), "r")
-    first = F.min_by("r", F.struct((~F.col("r.passed")).alias("p"), F.col("r.i"))).alias("r")
+    rows = rows.select("image_id", F.array_join(F.transform(box, lambda v: v.cast("string")), "_").alias("mask_key"), "doc", "r")
+    first = F.min_by(F.struct("doc", "r.*"), F.struct((~F.col("r.passed")).alias("p"), F.col("r.i"))).alias("r")
     kept = rows.groupBy("image_id", "mask_key").agg(first)
-    return kept.select("image_id", "mask_key", "r.passed", "r.c.area_px", "r.c.elongation", F.coalesce("r.c.cls", F.lit("")).alias("cls"), F.coalesce("r.c.reject", F.lit("")).alias("reject"))
+    side = lambda i: F.get("r.c.bbox_xywh", i).cast("int")
+    return kept.select(
+        "image_id", "mask_key", "r.passed", F.col("r.c.id").alias("raw_id"), *(side(i).alias("bbox_" + n) for i, n in enumerate("xywh")),
+        *(F.get("r.c.center_xy", i).alias("center_" + n) for i, n in enumerate("xy")), F.coalesce("r.c.area_px", F.lit(0)).alias("area_px"), F.coalesce("r.c.shape_ok", F.lit(False)).alias("shape_ok"),
+        *(f"r.c.{f}" for f in ("major_um", "minor_um", "texture", "elongation", "ellipse_iou", "solidity")), F.coalesce("r.c.polygon", F.expr("cast(array() as array<double>)")).alias("polygon"),
+        F.coalesce("r.c.cls", F.lit("")).alias("cls"), F.when(F.col("r.passed"), "").otherwise(F.coalesce("r.c.reject", F.lit(""))).alias("reject"),
+        unknown_fields(F.col("r.all"), CANDIDATE_FIELDS).alias("extra"), F.col("r.doc").alias("doc"))
+
+
+def joined_objects(first: Column, second: Column) -> Column:
+    """Two JSON objects as one; either may be empty."""
+    inner = lambda c: F.substring(c, F.lit(2), F.length(c) - 2)
+    return F.concat(F.lit("{"), F.concat_ws(",", *(F.when(F.length(c) > 2, inner(c)) for c in (first, second))), F.lit("}"))
+
+
+def detection_documents(rows: DataFrame) -> DataFrame:
+    """The documents of :func:`flatten_detections` again: image_id, text. A document is one image with its masks; unnamed
+    fields go back to their place, as text."""
+    c = F.struct(
+        F.col("raw_id").alias("id"), F.array(*(F.col("bbox_" + s).cast("double") for s in "xywh")).alias("bbox_xywh"), F.when(F.col("center_x").isNotNull(), F.array("center_x", "center_y")).alias("center_xy"),
+        "area_px", "shape_ok", "polygon", "major_um", "minor_um", "texture", "elongation", "ellipse_iou", "solidity", "cls", "reject")
+    one = rows.select("image_id", "passed", "doc", F.struct(F.col("raw_id").alias("o"), "mask_key", joined_objects(F.to_json(c), F.coalesce(F.to_json("extra"), F.lit("{}"))).alias("text")).alias("m"))
+    pools = one.groupBy("image_id").agg(F.first("doc").alias("doc"), *(F.sort_array(F.collect_list(F.when(F.col("passed") == p, F.col("m")))).alias(n) for n, p in (("candidates", True), ("rejected", False))))
+    listed = [F.concat(F.lit(f'"{n}":['), F.array_join(F.transform(n, lambda x: x["text"]), ","), F.lit("]")) for n in ("candidates", "rejected")]
+    return pools.select("image_id", joined_objects(F.to_json("doc"), F.concat(F.lit("{"), F.concat_ws(",", *listed), F.lit("}"))).alias("text"))
 
 
 def flatten_groups(docs: DataFrame) -> DataFrame:
@@ -146,13 +193,31 @@ def load_stacks(docs: DataFrame, viewpoints: DataFrame) -> DataFrame:
 
 
 def flatten_reviews(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Review exports (text) to judgements, bound to the candidate of the same key, else orphans."""
-    d = docs.select(F.from_json("text", REVIEWS_JSON).alias("d")).select("d.gid", F.explode("d.images").alias("i"))
-    o = d.select("gid", F.col("i.image").cast("bigint").alias("image_id"), F.explode("i.objects").alias("o")).select(
-        "gid", "image_id", F.col("o.key").alias("mask_key"), *[F.coalesce(f"o.{f}", F.lit(False)).alias(f) for f in ("removed", "accepted")], F.coalesce("o.label", F.lit("")).alias("label")
-    )
-    c = candidates.select("image_id", "mask_key", F.lit("exact").alias("_b")).distinct()
-    return o.join(c, ["image_id", "mask_key"], "left").withColumn("bind", F.coalesce("_b", F.lit("orphan"))).drop("_b")
+    """Review documents (text) to judgements with every field, bound to the candidate of the same key, else orphans.
+
+    A key stands once per image and batch (the last mention counts). Fields not named by the schema stay in ``extra``.
+    A missing outline is taken from the candidate, if ``candidates`` has a polygon.
+    """
+    d = docs.select(F.from_json("text", REVIEWS_JSON).alias("d"), F.from_json("text", OPEN_REVIEWS_JSON).alias("o"))
+    images = d.select("d.slide", "d.gid", "d.tag", "d.done", "d.comment", "o", F.posexplode("d.images").alias("_i", "i"))
+    objects = images.select("slide", "gid", "tag", "done", "comment", F.col("i.image").cast("bigint").alias("image_id"), F.col("i.batch").alias("batch"), F.get("o.images", F.col("_i"))["objects"].alias("_all"), F.posexplode("i.objects").alias("_k", "o"))
+    yes = lambda f: F.coalesce(f"o.{f}", F.lit(False)).alias(f)
+    text = lambda f: F.coalesce(f"o.{f}", F.lit("")).alias(f)
+    rows = objects.select(
+        "slide", "gid", "tag", F.coalesce("done", F.lit(False)).alias("done"), F.coalesce("comment", F.lit("")).alias("comment"), "image_id", "batch", F.col("o.key").alias("mask_key"), "_k",
+        *(yes(f) for f in ("removed", "accepted", "geom_edited", "auto_confirmed", "is_rep")), *(text(f) for f in ("label", "note", "species", "grade", "pose")),
+        F.coalesce("o.source", F.lit("engine")).alias("source"), "o.bbox", "o.polygon", F.col("o.link").alias("link"), F.col("o.bind_score").alias("stated_score"),
+        unknown_fields(F.get("_all", F.col("_k")), OBJECT_FIELDS).alias("extra"))
+    ids = ["gid", "image_id", "batch", "mask_key"]
+    cols = [c for c in rows.columns if c not in (*ids, "_k")]
+    last = rows.groupBy(*ids).agg(F.max_by(F.struct(*cols), "_k").alias("_r")).select(*ids, *(F.col(f"_r.{c}").alias(c) for c in cols))
+    polygon = F.max("polygon") if "polygon" in candidates.columns else F.lit(None).cast("array<double>")
+    c = candidates.groupBy("image_id", "mask_key").agg(polygon.alias("_polygon")).withColumn("_b", F.lit("exact"))
+    bound = last.join(c, ["image_id", "mask_key"], "left")
+    drawn = F.col("source") == "manual"
+    return bound.withColumns({
+        "bind": F.when(drawn, "manual").otherwise(F.coalesce("_b", F.lit("orphan"))), "bind_score": F.when(F.col("_b").isNotNull() & ~drawn, 1.0), "polygon": F.coalesce("polygon", "_polygon"),
+    }).drop("_b", "_polygon")
 
 
 def flatten_atlas(docs: DataFrame) -> DataFrame:
