@@ -11,6 +11,7 @@ from tallyscope.plans.base import STORED, query
 from tallyscope.plans.base import judged as judged_sql
 from tallyscope.plans.names import HITS, hits
 from tallyscope.plans.verdicts import SIDE
+from tallyscope.sources import indexes as ix
 from tallyscope.sources import loaders as ld
 from tallyscope.sources.model import Model
 
@@ -320,6 +321,53 @@ def _(m: Model) -> DataFrame:
     return ld.check_index_counts(lines, ld.parse_index_entries(lines, "one_line"), "one_line", stated)
 
 
+def full_index(m: Model, fmt: str) -> DataFrame:
+    """Index lines with figures, volumes, notes, samples and tokens that no rule knows."""
+    h = hits(m).select("doc_id", "source", "binomial", "n")
+    d, size = F.col("doc_id"), F.length("binomial")
+    if fmt == "one_line":
+        first = F.concat(F.lit("Tafel "), size, F.lit(" fig.. "), d % 9, F.lit(", 12. (Band"), d % 5, F.lit(" PDF p."), d % 97, F.lit("/"), d % 97 + 1, F.lit(")"))
+        second = F.concat(F.when(d % 3 == 0, "〔Tafel 아님 · 색인〕 ").otherwise(""), F.lit("Tafel "), size + 1, F.lit(" (Band7 PDF p."), F.col("n"), F.lit("/8)"))
+        text = [F.concat(F.lit("- ***"), F.col("binomial"), F.lit("***"), F.when(d % 4 == 0, " *(속명 추정)*").otherwise(""), F.lit(" — "), F.concat_ws("; ", first, second, F.when(d % 6 == 0, "Taf 3")))]
+    else:
+        text = [
+            F.concat(F.lit("***"), F.col("binomial"), F.lit("***"), F.when(d % 5 == 0, " sp. 2").when(d % 5 == 1, " (Ehr.) Kütz").otherwise("")),
+            F.concat(F.lit("<sub>pl. "), size, F.lit(" fig. 2, 3 · PDF p."), d % 97, F.lit("/9 · "), F.when(d % 2 == 0, "SEM fig. 1").otherwise("q.v."), F.lit("</sub>")),
+            F.lit("- 원문 표기: as printed"), F.concat(F.lit("- pl."), size, F.lit(" — 1. sec.3-4, "), d % 50, F.lit(".5 cm ×1,800, bar · 2. no depth · loose")), F.lit("- crop exists")]
+    at = F.row_number().over(_window())
+    rows = h.withColumn("_i", at).withColumn("_t", F.when(F.col("_i") == 1, F.concat(F.array(F.concat(F.lit("## "), "source")), F.array(*text))).otherwise(F.array(*text)))
+    out = rows.select(F.col("doc_id").alias("doc"), "_i", F.posexplode("_t").alias("_k", "line"))
+    return out.select("doc", (F.col("_i") * 10 + F.col("_k")).cast("bigint").alias("line_no"), "line")
+
+
+@query(
+    "parse_index",
+    """SELECT doc_id AS doc, source AS section, binomial AS name, split_part(binomial, ' ', 1) AS genus, 'species' AS rank, doc_id % 4 = 0 AS genus_guess, CAST(i AS INT) AS place, CAST(CASE i WHEN 0 THEN length(binomial) ELSE length(binomial) + 1 END AS INT) AS plate,
+ CASE i WHEN 0 THEN concat(doc_id % 9, ', 12') END AS figures, CASE i WHEN 0 THEN concat('Band', doc_id % 5) ELSE 'Band7' END AS volume, CAST(CASE i WHEN 0 THEN doc_id % 97 ELSE n END AS INT) AS pdf_page, CAST(CASE i WHEN 0 THEN doc_id % 97 + 1 ELSE 8 END AS INT) AS pdf_plate_page,
+ CASE WHEN i = 1 AND doc_id % 3 = 0 THEN 'Tafel 아님 · 색인' END AS note, CASE WHEN doc_id % 6 = 0 THEN 'Taf 3' ELSE '' END AS unparsed FROM hits, (SELECT unnest([0, 1]) AS i) z""",
+    HITS,
+)
+def _(m: Model) -> DataFrame:
+    e = ix.parse_index(full_index(m, "one_line"), "one_line")
+    e = e.select("doc", "section", "name", "genus", "rank", "genus_guess", F.array_join("unparsed", "|").alias("unparsed"), F.posexplode("placements").alias("place", "p"))
+    return e.select("doc", "section", "name", "genus", "rank", "genus_guess", "place", "p.plate", "p.figures", "p.volume", "p.pdf_page", "p.pdf_plate_page", "p.note", "unparsed")
+
+
+@query(
+    "parse_index_samples",
+    """SELECT doc_id AS doc, concat(binomial, CASE WHEN doc_id % 5 = 0 THEN ' sp. 2' ELSE '' END) AS name, CASE WHEN doc_id % 5 = 0 THEN 'genus_only' ELSE 'species' END AS rank, CASE WHEN doc_id % 5 = 1 THEN '(Ehr.) Kütz' END AS authority,
+ concat(length(binomial), ':2, 3:', doc_id % 97, '/9', CASE WHEN doc_id % 2 = 0 THEN '|SEM:1:/' ELSE '' END) AS places, 'original_note=as printed|hand=crop exists' AS remarks, concat(CASE WHEN doc_id % 2 = 1 THEN 'q.v.|' ELSE '' END, 'loose') AS unparsed,
+ CAST(length(binomial) AS INT) AS plate, CAST(k AS INT) AS figure, CASE k WHEN 1 THEN '3-4' END AS section, CASE k WHEN 1 THEN doc_id % 50 + 0.5::DOUBLE END AS depth_cm, CASE k WHEN 1 THEN '1,800' END AS magnification FROM hits, (SELECT unnest([1, 2]) AS k) z""",
+    HITS,
+)
+def _(m: Model) -> DataFrame:
+    e = ix.parse_index(full_index(m, "starred"), "starred")
+    shown = F.array_join(F.transform("placements", lambda p: F.concat(F.coalesce(p["plate"].cast("string"), p["plate_label"]), F.lit(":"), p["figures"], F.lit(":"), F.coalesce(p["pdf_page"].cast("string"), F.lit("")), F.lit("/"), F.coalesce(p["pdf_plate_page"].cast("string"), F.lit("")))), "|")
+    kind = lambda r: F.when(r["kind"] == "원문 표기", "original_note").otherwise(r["kind"])
+    e = e.select("doc", "name", "rank", "authority", shown.alias("places"), F.array_join(F.transform("remarks", lambda r: F.concat(kind(r), F.lit("="), r["text"])), "|").alias("remarks"), F.array_join("unparsed", "|").alias("unparsed"), F.explode("samples").alias("x"))
+    return e.select("doc", "name", "rank", "authority", "places", "remarks", "unparsed", "x.plate", "x.figure", "x.section", "x.depth_cm", "x.magnification")
+
+
 def metadata(m: Model) -> DataFrame:
     """Metadata texts as a microscope writes them, one per page of the given table, around its own text."""
     p = F.col("page_id")
