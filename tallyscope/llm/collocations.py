@@ -17,6 +17,7 @@ stand. A table without frequent phrases gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -210,21 +211,25 @@ def survivors(found: DataFrame, ranges_log: int, bits: int, threshold: int) -> D
         if summary is not None:
             yield marks()
 
-    dealt = found.repartition(1 << ranges_log, "part").sortWithinPartitions("part", "body")
+    dealt = found.repartitionById(1 << ranges_log, "part").sortWithinPartitions("part", "body")
     return dealt.mapInArrow(run, "part int, marks binary")
 
 
-def exact_counts(documents: DataFrame, marked: np.ndarray, bits: int, longest: int) -> DataFrame:
-    """(lang, size, phrase, a) of phrases on marked bits; a row of size 0 counts all words of a language."""
+def exact_counts(documents: DataFrame, marked: np.ndarray, bits: int, longest: int, parts_log: int, threshold: int) -> DataFrame:
+    """(lang, size, phrase, a) of phrases on marked bits that reach ``threshold``; a row of size 0 counts all words of a
+    language.
+
+    A buffer leaves a row for each language and range of hashes, with its phrases and their counts; the rows of a range
+    are added up as they pass, so memory is what one range can hold of surviving phrases."""
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(marked)
-    schema = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("a", pa.int64())])
+    schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("phrases", pa.binary()), ("counts", pa.binary())])
 
-    def rows(words: Words) -> pa.RecordBatch:
+    def rows(words: Words) -> Iterator[pa.RecordBatch]:
         ids, langs = words.arrays()
         spelled, names = list(words.vocabulary), list(words.langs)
-        every = np.bincount(langs[ids != 0], minlength=len(names)).tolist()
-        out: list[tuple] = [(name, 0, b"", n) for name, n in zip(names, every)]
+        every = np.bincount(langs[ids != 0], minlength=len(names))
+        found: dict[tuple[int, int], tuple[list, list]] = {(0, i): ([b""], [n]) for i, n in enumerate(every.tolist())}
         for n, (place, value) in enumerate(words.hashes(ids, langs, longest), 1):
             bit = value >> np.uint64(64 - bits)
             hit = np.flatnonzero((shared.value[(bit >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8)) & 1)
@@ -241,22 +246,43 @@ def exact_counts(documents: DataFrame, marked: np.ndarray, bits: int, longest: i
             at = place[first]
             columns = [[spelled[i] for i in ids[at + j].tolist()] for j in range(n)]
             phrases = columns[0] if n == 1 else map(b" ".join, zip(*columns))
-            out += zip((names[i] for i in langs[at].tolist()), [n] * len(at), phrases, count.tolist())
-        lang, size, phrase, a = zip(*out)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(a, pa.int64())], schema=schema)
+            part = (value[first] >> np.uint64(64 - parts_log)).astype(np.int64)
+            for p, lang, phrase, c in zip(part.tolist(), langs[at].tolist(), phrases, count.tolist()):
+                held = found.setdefault((p, lang), ([], []))
+                held[0].append(phrase)
+                held[1].append(c)
+        out = [(p, names[lang], b"\n".join(phrases), np.array(counts, np.int64).tobytes()) for (p, lang), (phrases, counts) in found.items()]
+        # Few rows at a time, so that what waits on the way to Python stays small.
+        for i in range(0, len(out), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + 256]), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in slices(batches, "text", 3 << 20):
             words.add(batch)
             if words.size >= BUFFER // 2:
-                yield rows(words)
+                yield from rows(words)
                 words = Words()
         if words.size:
-            yield rows(words)
+            yield from rows(words)
 
-    return documents.mapInArrow(run, "lang string, size int, phrase string, a bigint").groupBy("lang", "size", "phrase").agg(F.sum("a").alias("a"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, Counter[bytes]] = {}
+        for batch in batches:
+            for lang, phrases, counts in zip(*(batch.column(c) for c in ("lang", "phrases", "counts"))):
+                held = totals.setdefault(lang.as_py(), Counter())
+                for phrase, n in zip(phrases.as_py().split(b"\n"), np.frombuffer(counts.as_py(), np.int64).tolist()):
+                    held[phrase] += n
+        for lang, held in totals.items():
+            kept = [(p, n) for p, n in held.items() if n >= threshold or not p]
+            for i in range(0, len(kept), 10_000):
+                phrase, n = zip(*kept[i : i + 10_000])
+                sizes = [p.count(b" ") + 1 if p else 0 for p in phrase]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(phrase)), pa.array(sizes, pa.int32()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "size", "phrase", "a"])
+
+    found = documents.mapInArrow(run, "part int, lang string, phrases binary, counts binary")
+    return found.repartitionById(1 << parts_log, "part").mapInArrow(add, "lang string, size int, phrase string, a bigint")
 
 
 def frequent(documents: DataFrame, text: str = "text", lang: str = "lang", threshold: int = THRESHOLD, longest: int = LONGEST, bits: int = BITS) -> DataFrame:
@@ -270,7 +296,7 @@ def frequent(documents: DataFrame, text: str = "text", lang: str = "lang", thres
     # ``bits`` bits in all, however many rows.
     for row in survivors(summaries(chosen, ranges_log, longest), ranges_log, bits, threshold).collect():
         table[row.part * width : (row.part + 1) * width] = np.frombuffer(row.marks, np.uint8)
-    return cut(exact_counts(chosen, table, bits, longest).where((F.col("a") >= threshold) | (F.col("size") == 0)))
+    return cut(exact_counts(chosen, table, bits, longest, max(3, ranges_log - 3), threshold))
 
 
 def score(a: Column, n: Column, l: Column, r: Column) -> Column:
