@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.operators import linking as li
 from tallyscope.operators import merge as mg
+from tallyscope.operators import reconcile as rc
 from tallyscope.operators import saving as sv
 from tallyscope.operators.review import spread_drawn
 from tallyscope.operators.rollup import done_viewpoints
@@ -59,6 +60,60 @@ def _(m: Model) -> DataFrame:
     return mg.reconcile_sources(mg.source_metrics(m.stored, SUMS), mg.source_metrics(other, SUMS))
 
 
+# The second copy of the reviews: some rows gone, some new, some changed.
+COPY = [
+    """firstcopy AS (SELECT r.image_id, r.batch_id, r.mask_key, r.removed, r.accepted, r.bind, r.polygon AS outline, o.label, o.note FROM {correction} r JOIN {object} o ON o.object_id = r.object_id)""",
+    """secondcopy AS (SELECT CASE WHEN image_id % 61 = 0 THEN image_id + 1000000 ELSE image_id END AS image_id, batch_id, mask_key, removed, CASE WHEN image_id % 53 = 0 THEN NOT accepted ELSE accepted END AS accepted, bind,
+  CASE WHEN image_id % 47 = 0 THEN NULL ELSE outline END AS outline, CASE WHEN image_id % 43 = 0 THEN 'other' ELSE label END AS label, note FROM firstcopy WHERE image_id % 59 <> 0)""",
+]
+ROW_KEYS, ROW_COLUMNS = ["image_id", "batch_id", "mask_key"], ["removed", "accepted", "bind", "outline", "label", "note"]
+
+
+def review_copies(m: Model) -> tuple[DataFrame, DataFrame]:
+    a = m.correction.join(m.object.select("object_id", "label", "note"), "object_id").select(*ROW_KEYS, "removed", "accepted", "bind", F.col("polygon").alias("outline"), "label", "note")
+    b = a.filter("image_id % 59 <> 0").selectExpr(
+        "CASE WHEN image_id % 61 = 0 THEN image_id + 1000000 ELSE image_id END AS image_id", "batch_id", "mask_key", "removed", "CASE WHEN image_id % 53 = 0 THEN NOT accepted ELSE accepted END AS accepted", "bind",
+        "CASE WHEN image_id % 47 = 0 THEN NULL ELSE outline END AS outline", "CASE WHEN image_id % 43 = 0 THEN 'other' ELSE label END AS label", "note")
+    return a, b
+
+
+@query(
+    "reconcile_rows",
+    """SELECT * FROM (SELECT coalesce(a.image_id, b.image_id) AS image_id, coalesce(a.batch_id, b.batch_id) AS batch_id, coalesce(a.mask_key, b.mask_key) AS mask_key,
+ CASE WHEN b.image_id IS NULL THEN 'only_a' WHEN a.image_id IS NULL THEN 'only_b' WHEN a.n <> b.n THEN 'repeated' WHEN a.removed IS DISTINCT FROM b.removed OR a.accepted IS DISTINCT FROM b.accepted OR a.bind IS DISTINCT FROM b.bind OR a.outline IS DISTINCT FROM b.outline OR a.label IS DISTINCT FROM b.label OR a.note IS DISTINCT FROM b.note THEN 'changed' END AS status,
+ CASE WHEN a.image_id IS NULL OR b.image_id IS NULL THEN '' ELSE concat_ws(',', CASE WHEN a.removed IS DISTINCT FROM b.removed THEN 'removed' END, CASE WHEN a.accepted IS DISTINCT FROM b.accepted THEN 'accepted' END, CASE WHEN a.bind IS DISTINCT FROM b.bind THEN 'bind' END,
+  CASE WHEN a.outline IS DISTINCT FROM b.outline THEN 'outline' END, CASE WHEN a.label IS DISTINCT FROM b.label THEN 'label' END, CASE WHEN a.note IS DISTINCT FROM b.note THEN 'note' END) END AS columns
+FROM (SELECT *, 1 AS n FROM firstcopy QUALIFY row_number() OVER (PARTITION BY image_id, batch_id, mask_key) = 1) a
+FULL JOIN (SELECT *, 1 AS n FROM secondcopy QUALIFY row_number() OVER (PARTITION BY image_id, batch_id, mask_key) = 1) b ON b.image_id = a.image_id AND b.batch_id IS NOT DISTINCT FROM a.batch_id AND b.mask_key = a.mask_key) q WHERE status IS NOT NULL""",
+    *COPY,
+)
+def _(m: Model) -> DataFrame:
+    a, b = (df.dropDuplicates(ROW_KEYS) for df in review_copies(m))
+    return rc.differing_rows(a, b, ROW_KEYS, ROW_COLUMNS)
+
+
+def review_metrics_sql(source: str, states: str) -> str:
+    parts = [f"SELECT 'rows' AS metric, count(*) AS value FROM {source}", f"SELECT 'keys', count(*) FROM (SELECT DISTINCT image_id, mask_key FROM {source}) q"]
+    parts += [f"SELECT '{n}', count(*) FILTER (WHERE {w}) FROM {source}" for n, w in (("removed", "removed"), ("accepted", "accepted"), ("notes", "note <> ''"), ("no_outline", "coalesce(outline, '') = ''"))]
+    parts += [f"SELECT concat('{c}:', {c}), count(*) FROM {source} WHERE {c} <> '' GROUP BY {c}" for c in ("label", "bind")]
+    return " UNION ALL ".join([*parts, f"SELECT concat('state:', state), count(*) FROM {states} GROUP BY state"])
+
+
+@query(
+    "reconcile_reviews",
+    "SELECT coalesce(a.metric, b.metric) AS metric, a.value AS value_a, b.value AS value_b, a.value IS NOT DISTINCT FROM b.value AS same FROM ma a FULL JOIN mb b ON b.metric = a.metric",
+    *OVERLAY,
+    *COPY,
+    "fewer AS (SELECT * FROM overlay WHERE image_id % 59 <> 0)",
+    f"ma AS ({review_metrics_sql('firstcopy', 'overlay')})",
+    f"mb AS ({review_metrics_sql('secondcopy', 'fewer')})",
+)
+def _(m: Model) -> DataFrame:
+    a, b = review_copies(m)
+    states = overlay(m).select("image_id", "state")
+    return mg.reconcile_sources(rc.review_metrics(a, states), rc.review_metrics(b, states.filter("image_id % 59 <> 0")))
+
+
 @query(
     "survey_drop_batch",
     """SELECT b.batch_id, b.label, coalesce(nd, 0) AS n_detections, coalesce(nr, 0) AS n_runs, coalesce(nc, 0) AS n_current, coalesce(nk, 0) AS n_candidates, coalesce(nx, 0) AS n_corrections,
