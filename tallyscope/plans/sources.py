@@ -132,6 +132,31 @@ def _(m: Model) -> DataFrame:
     return ld.upsert_points(stored_points(m), new_points(m), KEYS)
 
 
+GUARDED = [
+    *POINTS,
+    """pasted AS (SELECT * FROM new_p UNION ALL SELECT locality_id, key, depth_mm, value + 1 FROM new_p WHERE locality_id = 2 AND depth_mm % 5 = 1)""",
+    """kinds AS (SELECT DISTINCT locality_id, key, CASE WHEN length(key) % 3 = 0 THEN 'import' ELSE 'manual' END AS origin FROM stored_p WHERE locality_id <> 3)""",
+    """rules AS (SELECT q.locality_id, q.key, CASE WHEN origin IS NULL THEN 'unknown series' WHEN origin <> 'manual' THEN 'imported series' WHEN clash THEN 'two values for one depth' ELSE '' END AS why
+ FROM (SELECT locality_id, key, bool_or(c) AS clash FROM (SELECT locality_id, key, depth_mm, min(value) < max(value) AS c FROM pasted GROUP BY ALL) z GROUP BY ALL) q LEFT JOIN kinds k ON k.locality_id = q.locality_id AND k.key = q.key)""",
+    """sent AS (SELECT locality_id, key, depth_mm, min(value) AS value FROM pasted GROUP BY ALL)""",
+]
+
+
+@query(
+    "save_points",
+    """SELECT s.locality_id, s.key, s.depth_mm, CASE WHEN n.depth_mm IS NOT NULL AND why = '' THEN n.value ELSE s.value END AS value, CASE WHEN n.depth_mm IS NOT NULL AND why = '' THEN 'overwritten' WHEN why = '' THEN 'removed' ELSE 'kept' END AS what, '' AS why
+ FROM stored_p s LEFT JOIN rules r ON r.locality_id = s.locality_id AND r.key = s.key LEFT JOIN sent n ON n.locality_id = s.locality_id AND n.key = s.key AND n.depth_mm = s.depth_mm
+UNION ALL SELECT n.locality_id, n.key, n.depth_mm, n.value, CASE WHEN why = '' THEN 'inserted' ELSE 'refused' END, why FROM sent n JOIN rules r ON r.locality_id = n.locality_id AND r.key = n.key
+ WHERE why <> '' OR NOT EXISTS (SELECT 1 FROM stored_p s WHERE s.locality_id = n.locality_id AND s.key = n.key AND s.depth_mm = n.depth_mm)""",
+    *GUARDED,
+)
+def _(m: Model) -> DataFrame:
+    new = new_points(m)
+    pasted = new.unionByName(new.filter("locality_id = 2 AND depth_mm % 5 = 1").withColumn("value", F.col("value") + 1))
+    kinds = stored_points(m).filter("locality_id <> 3").select(*KEYS, F.when(F.length("key") % 3 == 0, "import").otherwise("manual").alias("origin")).distinct()
+    return ld.save_points(stored_points(m), pasted, kinds, KEYS, replace=True)
+
+
 def detection_docs(m: Model) -> DataFrame:
     """One document per detection with all its masks, larger ones first, and a field that no schema names."""
     c = F.struct(

@@ -126,6 +126,29 @@ def upsert_points(stored: DataFrame, new: DataFrame, keys: list[str], replace: b
     return kept.select(*keys, "depth_mm", "value").unionByName(new.select(*keys, "depth_mm", "value"))
 
 
+def save_points(stored: DataFrame, new: DataFrame, series: DataFrame, keys: list[str], replace: bool = False) -> DataFrame:
+    """What pasted points do to the table: keys, depth_mm, value, what (kept, inserted, overwritten, removed or refused)
+    and why.
+
+    A series is refused as a whole if it is unknown or imported (``series``: keys, origin), or if two different values are
+    given for one depth; its stored points stay, its new ones are listed as refused. ``replace`` removes the points of the
+    other depths of a series that takes points.
+    """
+    one = new.groupBy(*keys, "depth_mm").agg(F.min("value").alias("_new"), (F.min("value") < F.max("value")).alias("_clash"))
+    kinds = series.groupBy(*keys).agg(F.max("origin").alias("_origin"))
+    rules = one.groupBy(*keys).agg(F.max("_clash").alias("_clash")).join(kinds, keys, "left")
+    why = F.when(F.col("_origin").isNull(), "unknown series").when(F.col("_origin") != "manual", "imported series").when(F.col("_clash"), "two values for one depth").otherwise("")
+    rules = rules.select(*keys, why.alias("why"))
+    sides = stored.select(*keys, "depth_mm", F.col("value").alias("_old"), F.lit(True).alias("_was")).unionByName(one.select(*keys, "depth_mm", "_new", F.lit(True).alias("_sent")), allowMissingColumns=True)
+    met = sides.groupBy(*keys, "depth_mm").agg(*(F.max(c).alias(c) for c in ("_old", "_was", "_new", "_sent"))).join(rules, keys, "left")
+    sent, was, open_ = F.col("_sent").isNotNull(), F.col("_was").isNotNull(), F.col("why") == ""
+    rows = F.array(
+        F.struct(F.when(sent & open_, F.col("_new")).otherwise(F.col("_old")).alias("value"), F.when(was & sent & open_, "overwritten").when(sent & open_, "inserted").when(
+            was & open_ & F.lit(replace), "removed").when(was, "kept").alias("what"), F.lit("").alias("why")),
+        F.struct(F.col("_new").alias("value"), F.when(sent & ~open_, "refused").alias("what"), F.col("why").alias("why")))
+    return met.select(*keys, "depth_mm", F.explode(F.filter(rows, lambda r: r["what"].isNotNull())).alias("r")).select(*keys, "depth_mm", "r.*")
+
+
 def unknown_fields(fields: Column, known: Iterable[str]) -> Column:
     """The entries of a map of all fields that the schema does not name."""
     names = list(known)
