@@ -228,3 +228,22 @@ def remap_keys(corrections: DataFrame, tightened: DataFrame) -> DataFrame:
     """Corrections with the keys of the tightened boxes."""
     k = tightened.groupBy(F.col("detection_id").alias("image_id"), "mask_key").agg(F.min("new_key").alias("_new"))
     return corrections.join(k, ["image_id", "mask_key"], "left").select("image_id", "mask_key", F.coalesce("_new", "mask_key").alias("new_key"))
+
+
+def outline_measures(df: DataFrame, polygon: str, um_per_px: Column) -> DataFrame:
+    """Add what an outline that a person drew or edited says by itself: area, elongation, axes of its ellipse and sides of
+    the box turned with it. Column expressions only, so that rows are measured where they are read; null where a shape
+    has fewer than three corners or no area."""
+    s = basic_measures(df, polygon)
+    turned = s.withColumn("_t", pg.rotated_extent(F.col(polygon), -F.col("_e.deg")))
+    ok = F.col("_a") > 0
+    out = {
+        "area_px": F.rint("_a").cast("bigint"),
+        "elongation": F.when(F.col("_e.b") > 1e-9, F.round(F.col("_e.a") / F.col("_e.b"), 4)),
+        "major_um": F.round(F.col("_e.a") * 2 * um_per_px, 3),
+        "minor_um": F.round(F.col("_e.b") * 2 * um_per_px, 3),
+        "long_side_um": F.round(F.greatest("_t.w", "_t.h") * um_per_px, 3),
+        "short_side_um": F.round(F.least("_t.w", "_t.h") * um_per_px, 3),
+        "area_um2": F.round(F.col("_a") * um_per_px * um_per_px, 3),
+    }
+    return turned.withColumns({k: F.when(ok, v) for k, v in out.items()}).drop("_edges", "_sums", "_m", "_e", "_a", "_p", "_box", "_t")

@@ -168,3 +168,40 @@ def _(m: Model) -> DataFrame:
 @query("image_sharpness")
 def _(m: Model) -> DataFrame:
     return px.image_sharpness(pictures(m), ["vec_id"])
+
+
+OUTLINES = [
+    """drawn AS (SELECT r.image_id, coalesce(r.batch_id, 0) AS batch, r.mask_key, d.um_per_pixel AS um, list_transform(string_split(replace(replace(r.polygon, '[', ''), ']', ''), ','), lambda v: CAST(v AS DOUBLE)) AS p, row_number() OVER () AS k
+ FROM {correction} r JOIN {detection} d ON d.detection_id = r.image_id WHERE r.geom_edited OR r.batch_id IS NULL)""",
+    """sides AS (SELECT k, p[2 * i + 1] AS x0, p[2 * i + 2] AS y0, p[(2 * i + 2) % len(p) + 1] AS x1, p[(2 * i + 3) % len(p) + 1] AS y1 FROM (SELECT k, p, unnest(range(len(p) // 2)) AS i FROM drawn) q)""",
+    """sums AS (SELECT k, sum(c) AS a2, sum((x0 + x1) * c) AS sx, sum((y0 + y1) * c) AS sy, sum(c * (x0 * x0 + x0 * x1 + x1 * x1)) AS xx, sum(c * (y0 * y0 + y0 * y1 + y1 * y1)) AS yy, sum(c * (2 * x0 * y0 + x0 * y1 + x1 * y0 + 2 * x1 * y1)) AS xy
+ FROM (SELECT *, x0 * y1 - x1 * y0 AS c FROM sides) q GROUP BY k)""",
+    """moments AS (SELECT k, abs(a2) / 2 AS area, xx / (6 * a2) - (sx / (3 * a2)) * (sx / (3 * a2)) AS m20, yy / (6 * a2) - (sy / (3 * a2)) * (sy / (3 * a2)) AS m02, xy / (12 * a2) - (sx / (3 * a2)) * (sy / (3 * a2)) AS m11 FROM sums)""",
+    """axes2 AS (SELECT *, 2 * sqrt((m20 + m02 + sqrt((m20 - m02) * (m20 - m02) + 4 * m11 * m11)) / 2) AS a, 2 * sqrt((m20 + m02 - sqrt((m20 - m02) * (m20 - m02) + 4 * m11 * m11)) / 2) AS b, atan2(2 * m11, m20 - m02) / 2 AS t FROM moments)""",
+    """turned AS (SELECT s.k, max(x0 * cos(t) + y0 * sin(t)) - min(x0 * cos(t) + y0 * sin(t)) AS w, max(y0 * cos(t) - x0 * sin(t)) - min(y0 * cos(t) - x0 * sin(t)) AS h FROM sides s JOIN axes2 x ON x.k = s.k GROUP BY s.k)""",
+]
+
+
+@query(
+    "outline_measures",
+    """SELECT image_id, batch, mask_key, CAST(round_even(area, 0) AS BIGINT) AS area_px, round(a / b, 4) AS elongation, round(2 * a * um, 3) AS major_um, round(2 * b * um, 3) AS minor_um,
+ round(greatest(w, h) * um, 3) AS long_side_um, round(least(w, h) * um, 3) AS short_side_um, round(area * um * um, 3) AS area_um2 FROM drawn d JOIN axes2 x ON x.k = d.k JOIN turned t ON t.k = d.k""",
+    *OUTLINES,
+)
+def _(m: Model) -> DataFrame:
+    """Every outline of a person, edited or drawn, measured at the scale of its image."""
+    r = m.correction.filter("geom_edited OR batch_id IS NULL").join(m.detection.select(F.col("detection_id").alias("image_id"), "um_per_pixel"), "image_id")
+    r = r.select("image_id", F.coalesce("batch_id", F.lit(0)).alias("batch"), "mask_key", "um_per_pixel", F.from_json("polygon", "array<double>").alias("outline"))
+    return sh.outline_measures(r, "outline", F.col("um_per_pixel")).drop("outline", "um_per_pixel")
+
+
+@query(
+    "polygon_axis",
+    """SELECT image_id, batch, mask_key, round(a, 6) AS a, round(b, 6) AS b, round(degrees(t), 5) AS deg, round(a / b, 6) AS ratio FROM drawn d JOIN axes2 x ON x.k = d.k""",
+    *OUTLINES[:-1],
+)
+def _(m: Model) -> DataFrame:
+    """Axes and angle of the ellipse of each outline of a person; degrees from the x axis towards y."""
+    r = m.correction.filter("geom_edited OR batch_id IS NULL").select("image_id", F.coalesce("batch_id", F.lit(0)).alias("batch"), "mask_key", F.from_json("polygon", "array<double>").alias("outline"))
+    s = sh.basic_measures(r, "outline")
+    return s.select("image_id", "batch", "mask_key", *(F.round(f"_e.{c}", n).alias(c) for c, n in (("a", 6), ("b", 6), ("deg", 5), ("ratio", 6))))
