@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tallyscope.llm.common import mapped, octets, release, slices, stored
 
 SIZE, GRAM = 400, 128
-PIECES = 2048
+PIECES = 8192  # about a block
 BLOCK, PART = 4 << 20, 6 << 20
 SEGMENT = 8 << 20
 WORD = 7
