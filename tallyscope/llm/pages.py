@@ -57,7 +57,9 @@ WORDS = {
     "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "comment",
     "comments", "disqus", "reply", "replies", "respond", "widget", "pagination", "pager", "search", "form", "skip", "gdpr", "paywall", "alert", "tags", "toc",
 }
-TITLES = {"header", "banner", "masthead"}  # hold the title inside an article
+TITLES = {"header", "banner", "masthead", "tags"}  # hold the title or subject inside an article
+# Words at the end of a class that say where or how something stands, not what it is.
+PLACES = {"left", "right", "top", "bottom", "main", "inner", "outer", "wrap", "wrapper", "container", "box", "bar", "block", "area", "section", "panel", "list", "item", "items", "links", "buttons", "text", "content", "inline", "unit"}
 CLOSES_P = {
     "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2",
     "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul",
@@ -70,6 +72,15 @@ NAMES = re.compile(r"[a-z]+")
 WITHOUT = re.compile(r"\b(?:has|with|no|without|js|is)[-_][a-z_-]+")  # says what a page has, not what the element is
 
 
+def says_furniture(token: str) -> bool:
+    """Whether a class says that its element is furniture: its last word does, behind which only places stand. A
+    ``notice-period`` is a period and ``search-results`` are results, a ``cookie-notice-box`` is a notice."""
+    parts = NAMES.findall(WITHOUT.sub(" ", token))
+    while len(parts) > 1 and parts[-1] in PLACES:
+        parts.pop()
+    return bool(parts) and parts[-1] in WORDS - TITLES
+
+
 def is_furniture(name: str, attributes: str, in_article: bool) -> bool:
     if name in FURNITURE or (name == "header" and not in_article):
         return True
@@ -78,8 +89,10 @@ def is_furniture(name: str, attributes: str, in_article: bool) -> bool:
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values).lower()
         if key in ("class", "id"):
-            names = set(NAMES.findall(WITHOUT.sub(" ", value))) & WORDS
-            if names - TITLES if in_article else names:
+            if in_article:
+                if any(map(says_furniture, value.split())):
+                    return True
+            elif set(NAMES.findall(WITHOUT.sub(" ", value))) & WORDS:
                 return True
         if key == "role" and value in ROLES or key == "hidden" or (key == "aria-hidden" and value == "true"):
             return True

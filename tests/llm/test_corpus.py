@@ -126,6 +126,12 @@ def test_marked_article():
     assert pages.main_text(html, set()) == "A & B Onetwo three four five"
 
 
+def test_class_words_inside_an_article():
+    kept = '<div class="search-results form-factor tags">Text</div><p class="notice-period">kept?</p>'
+    gone = '<div class="cookie-notice-box">Cookies</div><p class="advert">Buy</p><div id="share-buttons">Share</div><div class="post comments">First!</div>'
+    assert pages.main_text(PAGE.format(f"<article><p>One</p>{kept}{gone}<p>two</article>"), set()) == "One Text kept? two"
+
+
 def test_unmarked_pages_by_difference(spark):
     rows = [(i, f"http://h/a/{i}", PAGE.format(f"<p>Shared teaser line</p><p>Own text of {i}</p><p>Call us now</p>")) for i in range(30)]
     rows += [(99, None, None), (98, "http://h/a/1", ""), (97, "http://[bad", "<p>plain")]
