@@ -43,15 +43,20 @@ def reconcile_sources(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def survey_drop_batch(batches: DataFrame, detections: DataFrame, candidates: DataFrame, corrections: DataFrame) -> DataFrame:
-    """What deleting each batch would touch, and the reason if it is refused."""
+    """What deleting each batch would touch, and the reason if it is refused: people look at it now (its current
+    detections are those under review), or corrections are bound to its candidates."""
     n_cand = candidates.groupBy("detection_id").agg(F.count("*").alias("_c"))
-    d = detections.join(n_cand, "detection_id", "left").groupBy("batch_id").agg(
-        F.count("*").alias("n_detections"), F.count_distinct("run_id").alias("n_runs"), F.count_if("is_current").alias("n_current"), F.sum(F.coalesce("_c", F.lit(0))).alias("n_candidates")
+    shown = batches.select("batch_id", "for_review")
+    d = detections.join(shown, "batch_id").join(n_cand, "detection_id", "left").groupBy("batch_id").agg(
+        F.count("*").alias("n_detections"), F.count_distinct("run_id").alias("n_runs"), F.count_if(F.col("is_current") & F.col("for_review")).alias("n_reviewed"), F.sum(F.coalesce("_c", F.lit(0))).alias("n_candidates")
     )
-    r = corrections.filter(F.col("batch_id").isNotNull()).groupBy("batch_id").agg(F.count("*").alias("n_corrections"))
-    out = batches.select("batch_id", "label", "for_review").join(d, "batch_id", "left").join(r, "batch_id", "left").fillna(0)
-    why = F.when(F.col("for_review"), "under review").when(F.col("n_corrections") > 0, "has corrections").otherwise("")
-    return out.withColumn("refused", why).drop("for_review")
+    # A correction without a candidate (orphan, drawn) loses nothing.
+    bound = corrections.filter(F.col("batch_id").isNotNull() & ~F.col("bind").isin("orphan", "manual")).select("image_id", "batch_id", "mask_key")
+    masks = candidates.select("detection_id", "mask_key").join(detections.select("detection_id", "image_id", "batch_id"), "detection_id").select("image_id", "batch_id", "mask_key")
+    r = bound.join(masks, ["image_id", "batch_id", "mask_key"], "left_semi").groupBy("batch_id").agg(F.count("*").alias("n_bound"))
+    out = batches.select("batch_id", "label").join(d, "batch_id", "left").join(r, "batch_id", "left").fillna(0)
+    why = F.when(F.col("n_reviewed") > 0, "under review").when(F.col("n_bound") > 0, "has corrections").otherwise("")
+    return out.withColumn("refused", why)
 
 
 def deletable(parents: DataFrame, key: str, children: dict[str, DataFrame]) -> DataFrame:

@@ -116,10 +116,11 @@ def _(m: Model) -> DataFrame:
 
 @query(
     "survey_drop_batch",
-    """SELECT b.batch_id, b.label, coalesce(nd, 0) AS n_detections, coalesce(nr, 0) AS n_runs, coalesce(nc, 0) AS n_current, coalesce(nk, 0) AS n_candidates, coalesce(nx, 0) AS n_corrections,
- CASE WHEN for_review THEN 'under review' WHEN nx > 0 THEN 'has corrections' ELSE '' END AS refused FROM {batch} b
+    """SELECT b.batch_id, b.label, coalesce(nd, 0) AS n_detections, coalesce(nr, 0) AS n_runs, CASE WHEN for_review THEN coalesce(nc, 0) ELSE 0 END AS n_reviewed, coalesce(nk, 0) AS n_candidates, coalesce(nx, 0) AS n_bound,
+ CASE WHEN for_review AND nc > 0 THEN 'under review' WHEN nx > 0 THEN 'has corrections' ELSE '' END AS refused FROM {batch} b
 LEFT JOIN (SELECT batch_id AS a, count(DISTINCT d.detection_id) AS nd, count(DISTINCT run_id) AS nr, count(DISTINCT d.detection_id) FILTER (WHERE is_current) AS nc, count(c.detection_id) AS nk FROM {detection} d LEFT JOIN {candidate} c ON c.detection_id = d.detection_id GROUP BY 1) d ON a = b.batch_id
-LEFT JOIN (SELECT batch_id AS e, count(*) AS nx FROM {correction} WHERE batch_id IS NOT NULL GROUP BY 1) r ON e = b.batch_id""",
+LEFT JOIN (SELECT r.batch_id AS e, count(*) AS nx FROM {correction} r WHERE r.batch_id IS NOT NULL AND bind NOT IN ('orphan', 'manual')
+  AND EXISTS (SELECT 1 FROM {detection} d JOIN {candidate} c ON c.detection_id = d.detection_id WHERE d.image_id = r.image_id AND d.batch_id = r.batch_id AND c.mask_key = r.mask_key) GROUP BY 1) r ON e = b.batch_id""",
 )
 def _(m: Model) -> DataFrame:
     return mg.survey_drop_batch(m.batch, m.detection, m.candidate, m.correction)
