@@ -10,6 +10,7 @@ Which detection is current, and by which one the others were replaced, follows f
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -84,8 +85,9 @@ class DetectionStore:
         self._put("candidates", number, candidates)
         bound = self._bind(detections, candidates, number, corrections)
         self._put("bindings", number, bound)
-        part = [self.spark.read.parquet(f"{self.root}/{t}/{PART}={number}").agg(F.count("*").alias(f"n_{n}")) for t, n in (("detections", "detections"), ("candidates", "candidates"), ("bindings", "bound"))]
-        self._put("ledger", number, part[0].join(part[1]).join(part[2]))  # three single rows
+        tables = {"detections": "n_detections", "candidates": "n_candidates", "bindings": "n_bound"}
+        parts = [self.spark.read.parquet(f"{self.root}/{t}/{PART}={number}").select(*(F.lit(int(t == other)).alias(n) for other, n in tables.items())) for t in tables]
+        self._put("ledger", number, reduce(DataFrame.unionByName, parts).agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in tables.values())))
 
     def _put(self, name: str, number: int, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(f"{self.root}/{name}/{PART}={number}")
