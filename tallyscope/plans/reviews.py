@@ -130,10 +130,9 @@ REBIND = [
     *REBIND,
 )
 def _(m: Model) -> DataFrame:
-    c = m.candidate.join(m.detection.select("detection_id", "batch_id"), "detection_id").withColumn(
-        "bbox_x", F.col("bbox_x") + (F.col("candidate_no") % 2).cast("int")
-    )
-    c = collapse_boxes(c.withColumn("mask_key", mask_key(Box.of()))).withColumnRenamed("detection_id", "image_id")
+    c = m.candidate.withColumn("bbox_x", F.col("bbox_x") + (F.col("candidate_no") % 2).cast("int"))
+    c = collapse_boxes(c.withColumn("mask_key", mask_key(Box.of())))
+    c = c.join(m.detection.select("detection_id", "batch_id"), "detection_id").withColumnRenamed("detection_id", "image_id")
     return rv.rebind_reviews(m.correction, c, max_side=SIDE)
 
 
