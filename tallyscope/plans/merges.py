@@ -557,19 +557,21 @@ def _(m: Model) -> DataFrame:
     HISTORY,
 )
 def _(m: Model) -> DataFrame:
-    """The detections as a stream of four files, each a micro-batch, with the corrections bound as they come."""
+    """The detections as they arrive, two years in a part; a part is one micro-batch however many files it has, with the corrections bound as they come."""
     use_shared_checkpoints(m.spark)
     base = f"{m.spark.sparkContext.getCheckpointDir()}/arrivals-{uuid.uuid4().hex}"
     box = [f"bbox_{s}" for s in "xywh"]
-    rows = history(m).join(m.candidate.select("detection_id", "mask_key", *box), "detection_id", "left").select(
-        "detection_id", "image_id", "batch_id", "created_at", F.lit(False).alias("keep_aside"), "mask_key", *box, F.lit(None).cast("string").alias("polygon"))
-    # Two years in each file, the earliest first.
-    for n in range(4):
-        some = rows.filter(F.least(F.floor((F.year("created_at") - 1992) / 2), F.lit(3)) == n)
-        some.repartition("detection_id").write.mode("append").parquet(f"{base}/in")
+    years = F.least(F.floor((F.year("created_at") - 1992) / 2), F.lit(3)).alias("part")
+    h = history(m).select("detection_id", "image_id", "batch_id", "created_at", F.lit(False).alias("keep_aside"), years)
+    rows = h.join(m.candidate.select("detection_id", "mask_key", *box), "detection_id", "left").withColumn("polygon", F.lit(None).cast("string"))
+    rows.write.partitionBy("part").parquet(f"{base}/parts")
+    m.correction.filter("batch_id is not null").write.parquet(f"{base}/corrections")
     store = DetectionStore(m.spark, f"{base}/store")
-    stream = m.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
-    run_detections(stream, store, lambda: m.correction.filter("batch_id is not null"), f"{base}/checkpoint")
+    schema = rows.drop("part").schema
+    for n in [r["part"] for r in m.spark.read.parquet(f"{base}/parts").select("part").distinct().orderBy("part").collect()]:  # four at most
+        m.spark.read.schema(schema).parquet(f"{base}/parts/part={n}").write.mode("append").parquet(f"{base}/in")
+        stream = m.spark.readStream.schema(schema).parquet(f"{base}/in")
+        run_detections(stream, store, lambda: m.spark.read.parquet(f"{base}/corrections"), f"{base}/checkpoint")
     n = store.candidates().groupBy("detection_id").agg(F.count("*").alias("n_candidates"))
     return store.detections().join(n, "detection_id", "left").select(
         "detection_id", "batch_id", "image_id", "is_current", "superseded_by", F.coalesce("n_candidates", F.lit(0)).cast("bigint").alias("n_candidates"))

@@ -76,22 +76,26 @@ class DetectionStore:
     def save(self, arrivals: DataFrame, number: int, corrections: DataFrame) -> None:
         """One micro-batch: ``arrivals`` has a row per candidate (columns of DETECTION and GEOMETRY; a detection without
         candidates has one row with a null mask_key). Of equal keys in a detection one stays."""
-        arrivals = cut(arrivals)
+        arrivals = arrivals.persist()  # read for two tables
         detections = arrivals.groupBy("detection_id").agg(F.min(F.struct(*[c for c in DETECTION if c != "detection_id"])).alias("_d")).select("detection_id", "_d.*")
         rest = [c for c in GEOMETRY if c != "mask_key"]
         candidates = arrivals.filter("mask_key is not null").groupBy("detection_id", *SCOPE, "mask_key").agg(F.min(F.struct(*rest)).alias("_c"))
         candidates = candidates.select("detection_id", *SCOPE, "mask_key", *[F.col(f"_c.{c}").alias(c) for c in rest])
         self._put("detections", number, detections)
         self._put("candidates", number, candidates)
-        bound = self._bind(detections, candidates, number, corrections)
+        arrivals.unpersist()
+        bound = self._bind(self._part("detections", number), self._part("candidates", number), number, corrections)
         self._put("bindings", number, bound)
         tables = {"detections": "n_detections", "candidates": "n_candidates", "bindings": "n_bound"}
-        parts = [self.spark.read.parquet(f"{self.root}/{t}/{PART}={number}").select(*(F.lit(int(t == other)).alias(n) for other, n in tables.items())) for t in tables]
+        parts = [self._part(t, number).select(*(F.lit(int(t == other)).alias(n) for other, n in tables.items())) for t in tables]
         self._put("ledger", number, reduce(DataFrame.unionByName, parts).agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in tables.values())))
 
     def _put(self, name: str, number: int, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(f"{self.root}/{name}/{PART}={number}")
 
+    def _part(self, name: str, number: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}/{PART}={number}")
+
     def _bind(self, detections: DataFrame, candidates: DataFrame, number: int, corrections: DataFrame) -> DataFrame:
         """Corrections of the images whose newest detection came with this micro-batch, bound to its candidates. A
         correction brings the outline it was made on; the bound row carries the one it has now."""
@@ -100,8 +104,11 @@ class DetectionStore:
         if held is not None:
             old = latest_per_image(held.filter("not keep_aside").select(*SCOPE, "detection_id", "created_at"), SCOPE).select(*SCOPE, F.struct("created_at", "detection_id").alias("_old"))
             newest = newest.join(old, SCOPE, "left").filter(F.col("_old").isNull() | (F.struct("created_at", "detection_id") > F.col("_old"))).drop("_old")
-        c = candidates.join(newest.select("detection_id"), "detection_id", "left_semi")
-        r = corrections.join(newest.select(*SCOPE), SCOPE, "left_semi")
+        # Cut once: binding reads corrections and candidates several times. Candidates of images nobody corrected bind nothing.
+        newest = cut(newest)
+        r = cut(corrections.join(newest.select(*SCOPE), SCOPE, "left_semi"))
+        corrected = newest.join(r.select(*SCOPE).distinct(), SCOPE, "left_semi")
+        c = cut(candidates.join(corrected.select("detection_id"), "detection_id", "left_semi"))
         bound = rebind_reviews(r, c.select(*SCOPE, *GEOMETRY)).join(newest.select(*SCOPE, "detection_id"), SCOPE)
         box = F.array(*(f"bbox_{s}" for s in "xywh"))
         theirs = c.select(*SCOPE, F.col("mask_key").alias("candidate_key"), F.struct(box.alias("bbox"), "polygon").alias("_theirs"))
