@@ -103,16 +103,19 @@ class Blocks:
 
     def carry(self, df: DataFrame, out: str, value: Column, strict: bool = False) -> DataFrame:
         """The last non-null ``value`` at or before this row, or only before it when ``strict``."""
-        tagged = self.tag(df).withColumn("_v", value)
-        blocks = tagged.groupBy(*self.keys, *self.names).agg(
-            F.max_by(F.col("_v"), F.when(F.col("_v").isNotNull(), F.struct(*[c for c, _ in _pairs(self.order)]))).alias("_edge")
-        )
-        blocks = blocks.withColumn(
-            "_blk_near", F.last("_edge", ignorenulls=True).over(self.across.rowsBetween(Window.unboundedPreceding, -1))
-        ).drop("_edge")
+        return self.carry_all(df, {out: value}, strict)
+
+    def carry_all(self, df: DataFrame, values: dict[str, Column], strict: bool = False) -> DataFrame:
+        """``carry`` for several ``out -> value`` with one summary of the blocks for all of them."""
+        at = list(enumerate(values))
+        tagged = self.tag(df).withColumns({f"_v{i}": values[out] for i, out in at})
+        rank = F.struct(*[c for c, _ in _pairs(self.order)])
+        blocks = tagged.groupBy(*self.keys, *self.names).agg(*[F.max_by(F.col(f"_v{i}"), F.when(F.col(f"_v{i}").isNotNull(), rank)).alias(f"_edge{i}") for i, _ in at])
+        before = self.across.rowsBetween(Window.unboundedPreceding, -1)
+        blocks = blocks.withColumns({f"_blk_near{i}": F.last(f"_edge{i}", ignorenulls=True).over(before) for i, _ in at}).drop(*[f"_edge{i}" for i, _ in at])
         frame = self.inside.rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
-        here = F.last("_v", ignorenulls=True).over(frame)
-        return self._join(tagged, blocks).withColumn(out, F.coalesce(here, F.col("_blk_near"))).drop("_v", "_blk_near", *self.names)
+        met = self._join(tagged, blocks).withColumns({out: F.coalesce(F.last(f"_v{i}", ignorenulls=True).over(frame), F.col(f"_blk_near{i}")) for i, out in at})
+        return met.drop(*[f"{n}{i}" for i, _ in at for n in ("_v", "_blk_near")], *self.names)
 
 
 def ranges(col: str, width: int = 65536) -> tuple[Column, bool]:

@@ -47,20 +47,55 @@ def place(**fields: Column) -> Column:
     return F.struct(*(fields.get(f, F.lit(None)).alias(f) for f in FIELDS)).cast(PLACE)
 
 
-def read_token(token: Column, fmt: str) -> tuple[Column, Column, Column]:
-    """(the fields a token of a place line gives, whether it opens a place, whether it was understood)."""
-    number = lambda p, n=1: group(token, p, n).cast("int")
-    if fmt == "numbered":
-        known = token.rlike(PLATE) | token.rlike(BOOK_PAGE) | token.rlike(PDF_PAGE)
-        return place(plate=number(PLATE), book_page=number(BOOK_PAGE), pdf_page=number(PDF_PAGE)), F.lit(False), known
-    if fmt == "one_line":
-        note, bare = group(token, OCCURRENCE_NOTE, 1), F.trim(F.regexp_replace(token, OCCURRENCE_NOTE, ""))
-        part = lambda n: group(bare, OCCURRENCE, n)
-        known = bare.rlike(OCCURRENCE)
-        return place(plate=part(1).cast("int"), figures=figure_list(part(2)), volume=F.concat(F.lit("Band"), part(3)), pdf_page=part(4).cast("int"), pdf_plate_page=part(5).cast("int"), note=note), known, known
-    opens = token.rlike(STARRED_PLACE)
-    fields = place(plate=number(STARRED_PLACE), plate_label=group(token, STARRED_PLACE, 2), figures=figure_list(group(token, STARRED_PLACE, 3)), pdf_page=number(STARRED_PDF), pdf_plate_page=number(STARRED_PDF, 2))
-    return fields, opens, opens | token.rlike(STARRED_PDF)
+# Which group of which pattern gives a field of a place.
+PLACE_GROUPS = {
+    "numbered": {"plate": (PLATE, 1), "book_page": (BOOK_PAGE, 1), "pdf_page": (PDF_PAGE, 1)},
+    "one_line": {"plate": (OCCURRENCE, 1), "figures": (OCCURRENCE, 2), "volume": (OCCURRENCE, 3), "pdf_page": (OCCURRENCE, 4), "pdf_plate_page": (OCCURRENCE, 5)},
+    "starred": {"plate": (STARRED_PLACE, 1), "plate_label": (STARRED_PLACE, 2), "figures": (STARRED_PLACE, 3), "pdf_page": (STARRED_PDF, 1), "pdf_plate_page": (STARRED_PDF, 2)},
+}
+
+
+def read_tokens(tokens: Column, fmt: str) -> Column:
+    """Tokens with what they say: ``place`` (the fields a token of a place line gives), whether it ``opens`` a place, whether
+    it was ``known``, and ``sample`` (null: none).
+
+    Lambdas share no common subexpressions. So every pattern is tried once per token, and what is needed more than once is
+    a field of the step before.
+    """
+    base = ("kind", "lead", "text")
+
+    def step(of: Column, keep: tuple[str, ...], make) -> Column:
+        return F.transform(of, lambda t: F.struct(*(t[c].alias(c) for c in keep), *(c.alias(n) for n, c in make(t).items())))
+
+    def bare(t: Column) -> dict[str, Column]:
+        if fmt != "one_line":
+            return {"note": F.lit(""), "bare": t["text"]}
+        return {"note": F.regexp_extract(t["text"], OCCURRENCE_NOTE, 1), "bare": F.trim(F.regexp_replace(t["text"], OCCURRENCE_NOTE, ""))}
+
+    def found(t: Column) -> dict[str, Column]:
+        got = {f: F.when(t["kind"] == "place", F.regexp_extract(t["bare"], *g)) for f, g in PLACE_GROUPS[fmt].items()}
+        return got | {"_" + n: F.when(t["kind"] == "sample", F.regexp_extract(t["text"], SAMPLE, i)) for i, n in ((1, "figure"), (2, "raw"))}
+
+    def detail(t: Column) -> dict[str, Column]:
+        is_sample = t["_figure"] != ""
+        return {"_section": F.when(is_sample, F.regexp_extract(t["_raw"], SAMPLE_DEPTH, 1)), "_depth": F.when(is_sample, F.regexp_extract(t["_raw"], SAMPLE_DEPTH, 2)),
+                "_magnification": F.when(is_sample, F.regexp_extract(t["_raw"], SAMPLE_MAGNIFICATION, 1))}
+
+    def said(t: Column) -> dict[str, Column]:
+        given = lambda f: F.when(t[f] != "", t[f])
+        shape = {"figures": lambda f: figure_list(t[f]), "volume": lambda f: F.concat(F.lit("Band"), given(f)), "plate_label": given}
+        fields = {f: shape.get(f, lambda f: given(f).cast("int"))(f) for f in PLACE_GROUPS[fmt]}
+        understood = F.greatest(*(F.coalesce(t[f] != "", F.lit(False)) for f in PLACE_GROUPS[fmt]))
+        opens = F.lit(False) if fmt == "numbered" else understood if fmt == "one_line" else F.coalesce((t["plate"] != "") | (t["plate_label"] != ""), F.lit(False))
+        number = t["lead"].try_cast("int")
+        sample = F.struct(
+            number.alias("plate"), F.when(number.isNull(), t["lead"]).alias("plate_label"), given("_figure").cast("int").alias("figure"), given("_section").alias("section"), given("_depth").cast("double").alias("depth_cm"),
+            given("_magnification").alias("magnification"), F.trim(t["_raw"]).alias("raw")).cast(SAMPLE_TYPE)
+        return {"place": place(**fields, note=given("note")), "opens": opens, "known": understood, "sample": F.when(t["_figure"] != "", sample)}
+
+    groups = (*PLACE_GROUPS[fmt], "_figure", "_raw")
+    at_hand = step(step(tokens, base, bare), (*base, "note", "bare"), found)
+    return step(step(at_hand, (*base, "note", *groups), detail), base, said)
 
 
 def tokens_of(line: Column, fmt: str) -> Column:
@@ -94,7 +129,7 @@ def fold(tokens: Column, fmt: str) -> Column:
     start = F.struct(*(F.array().alias(f) for f in ("placements", "samples", "remarks", "unparsed"))).cast(STATE)
 
     def step(s: Column, t: Column) -> Column:
-        fields, opens, known = read_token(t["text"], fmt)
+        fields, opens, known = t["place"], t["opens"], t["known"]
         places, n = s["placements"], F.size(s["placements"])
         is_place = t["kind"] == "place"
         last = F.get(places, n - 1)
@@ -103,18 +138,14 @@ def fold(tokens: Column, fmt: str) -> Column:
             F.when(t["kind"] == "open", F.concat(places, F.array(place()))).when(is_place & known & opens, F.concat(places, F.array(fields)))
             .when(is_place & known & (n > 0), F.concat(F.slice(places, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(joined))).otherwise(places)
         )
-        raw = group(t["text"], SAMPLE, 2)
-        is_sample = (t["kind"] == "sample") & t["text"].rlike(SAMPLE)
-        sample = F.struct(
-            t["lead"].try_cast("int").alias("plate"), F.when(t["lead"].try_cast("int").isNull(), t["lead"]).alias("plate_label"), group(t["text"], SAMPLE, 1).cast("int").alias("figure"),
-            group(raw, SAMPLE_DEPTH, 1).alias("section"), group(raw, SAMPLE_DEPTH, 2).cast("double").alias("depth_cm"), group(raw, SAMPLE_MAGNIFICATION, 1).alias("magnification"), F.trim(raw).alias("raw")).cast(SAMPLE_TYPE)
+        is_sample = t["sample"].isNotNull()
         unread = (is_place & ~(known & (opens | (n > 0)))) | ((t["kind"] == "sample") & ~is_sample) | (t["kind"] == "rest")
         return F.struct(
-            placements.alias("placements"), F.when(is_sample, F.concat(s["samples"], F.array(sample))).otherwise(s["samples"]).alias("samples"),
+            placements.alias("placements"), F.when(is_sample, F.concat(s["samples"], F.array(t["sample"]))).otherwise(s["samples"]).alias("samples"),
             F.when(t["kind"] == "remark", F.concat(s["remarks"], F.array(F.struct(t["lead"].alias("kind"), t["text"].alias("text"))))).otherwise(s["remarks"]).alias("remarks"),
             F.when(unread, F.concat(s["unparsed"], F.array(t["text"]))).otherwise(s["unparsed"]).alias("unparsed")).cast(STATE)
 
-    return F.aggregate(tokens, start, step)
+    return F.aggregate(read_tokens(tokens, fmt), start, step)
 
 
 def parse_index(lines: DataFrame, fmt: str) -> DataFrame:
@@ -122,8 +153,7 @@ def parse_index(lines: DataFrame, fmt: str) -> DataFrame:
     authority, genus_guess, placements, samples, remarks and unparsed. Lines before the first head belong to none."""
     head = F.when(F.col("line").rlike(HEADS[fmt]), F.struct(F.col("line_no").alias("at"), F.col("line").alias("line")))
     blocks = Blocks(["doc"], [ranges("line_no", 4096)], ["line_no"])
-    x = blocks.carry(lines, "_section", group(F.col("line"), SECTIONS[fmt], 1))
-    x = blocks.carry(x, "_head", head).filter("_head is not null").filter(~F.col("line").rlike(SECTIONS[fmt]))
+    x = blocks.carry_all(lines, {"_section": group(F.col("line"), SECTIONS[fmt], 1), "_head": head}).filter("_head is not null").filter(~F.col("line").rlike(SECTIONS[fmt]))
     entry = x.groupBy("doc", F.col("_head.at").alias("line_no"), F.col("_head.line").alias("line")).agg(
         F.min_by("_section", "line_no").alias("section"), F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
     tokens = F.flatten(F.transform("_l", lambda x: tokens_of(x["line"], fmt)))

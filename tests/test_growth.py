@@ -22,3 +22,14 @@ def test_micro_batches_follow_the_parts_not_their_files(spark, monkeypatch):
     finally:
         spark.conf.unset(coalesce)
     assert numbers == [0, 1, 2]  # 1995 to 2001: three parts
+
+
+def test_index_lines_are_read_twice_and_each_token_once(spark):
+    from pyspark.sql import functions as F
+
+    from tallyscope.sources import indexes as ix
+
+    read = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert read(QUERIES["parse_index"](Model(spark, SMALL))).count("Relation [") == 2
+    tokens = F.array(F.struct(F.lit("place").alias("kind"), F.lit(None).cast("string").alias("lead"), F.lit("Tafel 1 (Band7 PDF p.2/8)").alias("text")))
+    assert str(ix.fold(tokens, "one_line")).count("regexp_extract(") == len(ix.PLACE_GROUPS["one_line"]) + 6
