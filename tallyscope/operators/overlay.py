@@ -36,15 +36,6 @@ def kept_rule(passed: Column, removed: Column, accepted: Column, list_rule: bool
     return ~gone & (passed | back)
 
 
-def corrections_on(detections: DataFrame, corrections: DataFrame, objects: DataFrame) -> DataFrame:
-    """Corrections that speak about a detection: same image, and its batch or none (hand-drawn)."""
-    d = detections.select("detection_id", "image_id", F.col("batch_id").alias("_batch"))
-    r = corrections.join(
-        objects.select("object_id", "label", "species", "grade", "pose", "note"), "object_id", "left"
-    )
-    return r.join(d, "image_id").filter(F.col("batch_id").isNull() | (F.col("batch_id") == F.col("_batch")))
-
-
 def review_overlay(
     candidates: DataFrame, detections: DataFrame, corrections: DataFrame, objects: DataFrame
 ) -> DataFrame:
@@ -53,10 +44,16 @@ def review_overlay(
     ``state`` is kept, gone or rejected; ``cls`` is the class to show, ``cls_auto`` the machine's where a person changed
     it; ``rank`` numbers the kept ones of a detection by falling area.
     """
-    det = detections.select("detection_id", "viewpoint_id", "image_id", "image_kind", "um_per_pixel", "slide_id")
-    r = corrections_on(detections, corrections, objects).select(
+    # Both sides bring the columns of their detection: what the full join makes is not shuffled again to fetch them.
+    about = ["viewpoint_id", "image_id", "image_kind", "um_per_pixel", "slide_id"]
+    det = detections.select("detection_id", *[F.col(n).alias("_d_" + n) for n in about])
+    spoken = detections.select("detection_id", F.col("batch_id").alias("_batch"), *[F.col(n).alias("_r_" + n) for n in about])
+    of_batch = F.col("batch_id").isNull() | (F.col("batch_id") == F.col("_batch"))
+    r = corrections.join(spoken, corrections["image_id"] == spoken["_r_image_id"]).filter(of_batch)
+    r = r.join(objects.select("object_id", "label", "species", "grade", "pose", "note"), "object_id", "left").select(
         "detection_id",
         "mask_key",
+        *["_r_" + n for n in about],
         F.lit(True).alias("has_review"),
         *["removed", "accepted", "source", "label", "species", "grade", "pose", "note", "object_id", "is_rep"],
         *["auto_confirmed", "geom_edited", "polygon"],
@@ -69,8 +66,9 @@ def review_overlay(
         *["passed", "elongation", "area_px", "texture"],
         *["bbox_" + s for s in "xywh"],
         F.col("cls").alias("machine_cls"),
-    ).join(detections.select("detection_id"), "detection_id", "left_semi")
-    both = c.join(r, ["detection_id", "mask_key"], "full_outer").join(det, "detection_id")
+    ).join(det, "detection_id")
+    both = c.join(r, ["detection_id", "mask_key"], "full_outer")
+    both = both.withColumns({n: F.coalesce("_d_" + n, "_r_" + n) for n in about}).drop(*[p + n for n in about for p in ("_d_", "_r_")])
     orphan = F.col("candidate_no").isNull()
     gone, back = F.coalesce("removed", F.lit(False)), F.coalesce("accepted", F.lit(False))
     from_person = orphan | (F.coalesce("geom_edited", F.lit(False)) & F.col("has_review"))

@@ -33,3 +33,10 @@ def test_index_lines_are_read_twice_and_each_token_once(spark):
     assert read(QUERIES["parse_index"](Model(spark, SMALL))).count("Relation [") == 2
     tokens = F.array(F.struct(F.lit("place").alias("kind"), F.lit(None).cast("string").alias("lead"), F.lit("Tafel 1 (Band7 PDF p.2/8)").alias("text")))
     assert str(ix.fold(tokens, "one_line")).count("regexp_extract(") == len(ix.PLACE_GROUPS["one_line"]) + 6
+
+
+def test_the_overlay_is_not_shuffled_again_for_its_detections(spark):
+    from tallyscope.plans.reviews import overlay
+
+    plan = overlay(Model(spark, SMALL))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join FullOuter" in plan and "Join" not in plan[: plan.index("Join FullOuter")]
