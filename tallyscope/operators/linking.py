@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.operators.graph import groups
 from tallyscope.operators.overlay import has_text
+from tallyscope.session import keep
 
 MASK = ["image_id", "mask_key"]
 
@@ -30,17 +31,17 @@ def settle_links(requests: DataFrame, rows: DataFrame, candidates: DataFrame) ->
     new object (null). Rejected masks are revived. Rows that the object had and the group does not name are split off.
     ``what`` is moved, stays, created, split or refused.
     """
-    named = requests.join(request_groups(requests), "link_id")
+    # What is read several times below is made once: requests, judgements, masks and groups.
+    requests, rows = keep(requests), keep(rows)
+    named = keep(requests.join(request_groups(requests), "link_id"))
     lead = F.col("link_id") == F.col("group_id")
     masks = named.groupBy("group_id", *MASK).agg(F.max(F.col("is_rep") & lead).alias("is_rep"), F.min("viewpoint_id").alias("_v0"), F.max("viewpoint_id").alias("_v1"))
     chosen = named.groupBy("group_id").agg(
         F.min(F.when(lead, F.col("target_id"))).alias("target_id"), *(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("link_id"))).alias("_" + c) for c in ("label", "species")))
     judged = rows.groupBy(*MASK).agg(*(F.max(c).alias(c) for c in ("object_id", "removed", "accepted", "label", "species")), F.max("viewpoint_id").alias("_rv"), F.bool_or(F.col("batch_id").isNull()).alias("_drawn"))
     seen = candidates.groupBy(*MASK).agg(F.max("viewpoint_id").alias("_cv"), F.max("passed").alias("passed"))
-    m = masks.join(judged, MASK, "left").join(seen, MASK, "left").join(chosen, "group_id")
-    touched = m.filter("object_id is not null").select("object_id").distinct()
-    members = rows.join(touched, "object_id", "left_semi").groupBy("object_id").agg(F.count("*").alias("_size"))
-    m = m.join(members, "object_id", "left")
+    members = rows.groupBy("object_id").agg(F.count("*").alias("_size"))
+    m = keep(masks.join(judged, MASK, "left").join(seen, MASK, "left").join(members, "object_id", "left").join(chosen, "group_id"))
 
     text = lambda c: F.when(has_text(F.col(c)), F.col(c))
     known = F.col("_cv").isNotNull() | F.coalesce("_drawn", F.lit(False))
@@ -48,15 +49,15 @@ def settle_links(requests: DataFrame, rows: DataFrame, candidates: DataFrame) ->
     g = m.groupBy("group_id").agg(
         F.count("*").alias("_n"), F.count_if("is_rep").alias("_reps"), F.count_distinct("image_id").alias("_images"), F.count_if(elsewhere & known).alias("_elsewhere"), F.count_if(~known).alias("_unknown"),
         F.count_if(F.coalesce("removed", F.lit(False))).alias("_removed"), F.count_if((F.col("_size") > 1) & ~F.col("object_id").eqNullSafe(F.col("target_id"))).alias("_taken"),
-        F.count_distinct(text("label")).alias("_labels"), F.count_distinct(text("species")).alias("_kinds"), F.max(text("label")).alias("_l"), F.max(text("species")).alias("_s"),
+        *(F.min(text(c)).alias("_least_" + c) for c in ("label", "species")), F.max(text("label")).alias("_l"), F.max(text("species")).alias("_s"),
         F.max("target_id").alias("_target"), F.max(F.when(F.col("is_rep"), F.col("object_id"))).alias("_rep_object"), F.min("object_id").alias("_any_object"),
         F.max("_label").alias("_label"), F.max("_species").alias("_species"))
     why = (
         F.when(F.col("_n") < 2, "too few members").when(F.col("_reps") != 1, "not one representative").when(F.col("_images") < F.col("_n"), "one image twice")
         .when(F.col("_unknown") > 0, "unknown mask").when(F.col("_elsewhere") > 0, "several viewpoints").when(F.col("_removed") > 0, "removed member").when(F.col("_taken") > 0, "already linked")
-        .when((F.col("_labels") > 1) & F.col("_label").isNull() | (F.col("_kinds") > 1) & F.col("_species").isNull(), "conflict").otherwise("")
+        .when((F.col("_least_label") < F.col("_l")) & F.col("_label").isNull() | (F.col("_least_species") < F.col("_s")) & F.col("_species").isNull(), "conflict").otherwise("")
     )
-    g = g.select("group_id", why.alias("why"), F.coalesce("_target", "_rep_object", "_any_object").alias("_home"), F.coalesce("_label", "_l", F.lit("")).alias("_label"), F.coalesce("_species", "_s", F.lit("")).alias("_species"))
+    g = keep(g.select("group_id", why.alias("why"), F.coalesce("_target", "_rep_object", "_any_object").alias("_home"), F.coalesce("_label", "_l", F.lit("")).alias("_label"), F.coalesce("_species", "_s", F.lit("")).alias("_species")))
     out = m.drop("_label", "_species").join(g, "group_id")
     open_ = F.col("why") == ""
     revive = open_ & F.col("_cv").isNotNull() & ~F.col("passed")
@@ -66,7 +67,7 @@ def settle_links(requests: DataFrame, rows: DataFrame, candidates: DataFrame) ->
         (F.coalesce("accepted", F.lit(False)) | revive).alias("accepted"), F.when(open_, F.col("_label")).otherwise(F.coalesce("label", F.lit(""))).alias("label"),
         F.when(open_, F.col("_species")).otherwise(F.coalesce("species", F.lit(""))).alias("species"))
     homes = g.filter("why = '' and _home is not null").select(F.col("_home").alias("object_id"), F.col("group_id").alias("link_id"))
-    left = rows.join(homes, "object_id").join(masks.select(F.col("group_id").alias("link_id"), *MASK), ["link_id", *MASK], "left_anti")
+    left = rows.join(homes, "object_id").join(m.select(F.col("group_id").alias("link_id"), *MASK), ["link_id", *MASK], "left_anti")
     split = left.select("link_id", *MASK, F.lit("split").alias("what"), F.lit("").alias("why"), F.lit(None).cast("bigint").alias("object_id"), F.lit(True).alias("is_rep"),
                         F.coalesce("accepted", F.lit(False)).alias("accepted"), F.coalesce("label", F.lit("")).alias("label"), F.coalesce("species", F.lit("")).alias("species"))
     return after.unionByName(split)

@@ -40,3 +40,15 @@ def test_the_overlay_is_not_shuffled_again_for_its_detections(spark):
 
     plan = overlay(Model(spark, SMALL))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join FullOuter" in plan and "Join" not in plan[: plan.index("Join FullOuter")]
+
+
+def test_corrections_are_made_once_for_all_their_readers(spark):
+    m = Model(spark, SMALL)
+    assert "Aggregate" not in m.correction._jdf.queryExecution().optimizedPlan().toString()
+    assert m.correction.count() == m.correction.distinct().count() > 0
+
+
+def test_settled_links_come_from_stored_masks_and_groups(spark):
+    plan = QUERIES["settle_links"](Model(spark, SMALL))._jdf.queryExecution().optimizedPlan().toString()
+    # Masks with their groups, stored judgements with theirs, less the masks: nothing is made anew at the end.
+    assert plan.count("Relation [") == 5 and "Aggregate" not in plan and "Expand" not in plan
