@@ -155,18 +155,20 @@ def unknown_fields(fields: Column, known: Iterable[str]) -> Column:
     return F.map_filter(fields, lambda k, v: ~k.isin(names) & v.isNotNull())
 
 
-def flatten_detections(docs: DataFrame) -> DataFrame:
+def flatten_detections(docs: DataFrame, unnamed: bool = True) -> DataFrame:
     """Detection documents (image_id, text) to candidate rows with every field; of equal boxes in an image the first one
     stays: the passing pool comes before the rejected one, each in document order.
 
     Fields that the schema does not name stay as text in ``extra``. The fields of the document stand in ``doc``. Rows can
-    be judged again, compared, or written back by :func:`detection_documents`.
+    be judged again, compared, or written back by :func:`detection_documents`. Without ``unnamed`` there is no ``extra``,
+    and the texts are read once instead of twice.
     """
-    d = docs.select("image_id", F.from_json("text", DETECTION_JSON).alias("d"), F.from_json("text", OPEN_DETECTION_JSON).alias("o"))
+    open_ = [F.from_json("text", OPEN_DETECTION_JSON).alias("o")] if unnamed else []
+    d = docs.select("image_id", F.from_json("text", DETECTION_JSON).alias("d"), *open_)
 
     def pool(name: str, passed: bool) -> Column:
-        every = F.coalesce(f"o.{name}", F.array())
-        return F.transform(F.coalesce(f"d.{name}", F.array()), lambda c, i: F.struct(F.lit(passed).alias("passed"), i.alias("i"), c.alias("c"), F.get(every, i).alias("all")))
+        every = lambda i: [F.get(F.coalesce(f"o.{name}", F.array()), i).alias("all")] if unnamed else []
+        return F.transform(F.coalesce(f"d.{name}", F.array()), lambda c, i: F.struct(F.lit(passed).alias("passed"), i.alias("i"), c.alias("c"), *every(i)))
 
     rows = d.select("image_id", F.struct(*(f"d.{f}" for f in DETECTION_FIELDS)).alias("doc"), F.explode(F.concat(pool("candidates", True), pool("rejected", False))).alias("r"))
     box = F.transform("r.c.bbox_xywh", lambda v: v.cast("int"))
@@ -179,7 +181,7 @@ def flatten_detections(docs: DataFrame) -> DataFrame:
         *(F.get("r.c.center_xy", i).alias("center_" + n) for i, n in enumerate("xy")), F.coalesce("r.c.area_px", F.lit(0)).alias("area_px"), F.coalesce("r.c.shape_ok", F.lit(False)).alias("shape_ok"),
         *(f"r.c.{f}" for f in ("major_um", "minor_um", "texture", "elongation", "ellipse_iou", "solidity")), F.coalesce("r.c.polygon", F.expr("cast(array() as array<double>)")).alias("polygon"),
         F.coalesce("r.c.cls", F.lit("")).alias("cls"), F.when(F.col("r.passed"), "").otherwise(F.coalesce("r.c.reject", F.lit(""))).alias("reject"),
-        unknown_fields(F.col("r.all"), CANDIDATE_FIELDS).alias("extra"), F.col("r.doc").alias("doc"))
+        *([unknown_fields(F.col("r.all"), CANDIDATE_FIELDS).alias("extra")] if unnamed else []), F.col("r.doc").alias("doc"))
 
 
 def joined_objects(first: Column, second: Column) -> Column:

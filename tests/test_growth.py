@@ -52,3 +52,14 @@ def test_settled_links_come_from_stored_masks_and_groups(spark):
     plan = QUERIES["settle_links"](Model(spark, SMALL))._jdf.queryExecution().optimizedPlan().toString()
     # Masks with their groups, stored judgements with theirs, less the masks: nothing is made anew at the end.
     assert plan.count("Relation [") == 5 and "Aggregate" not in plan and "Expand" not in plan
+
+
+def test_judged_documents_are_parsed_once(spark):
+    from tallyscope.plans.sources import detection_docs
+    from tallyscope.sources.loaders import flatten_detections
+
+    m = Model(spark, SMALL)
+    read = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    plan = read(flatten_detections(detection_docs(m)))
+    assert read(flatten_detections(detection_docs(m), unnamed=False)).count("from_json(") * 2 == plan.count("from_json(") > 0
+    assert "from_json(" not in read(QUERIES["load_detections_judged"](m))
