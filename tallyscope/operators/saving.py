@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.operators.catalogue import manual_key_valid
 from tallyscope.operators.overlay import has_text, kept_rule
-from tallyscope.session import cut
+from tallyscope.session import cut, keep
 
 SCOPE = ["image_id", "batch_id"]
 KEY = [*SCOPE, "mask_key"]
@@ -55,14 +55,16 @@ def save_review(existing: DataFrame, saves: DataFrame, payload: DataFrame, candi
     ]
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sides)
     # Written once: the refusals of a scope and its rows both come from here.
-    met = cut(both.groupBy(*KEY).agg(*(F.max(c).alias(c) for c in both.columns if c not in KEY)))
+    met = keep(both.groupBy(*KEY).agg(*(F.max(c).alias(c) for c in both.columns if c not in KEY)))
     unknown = F.col("p_here") & F.col("c_here").isNull() & F.col("o").isNull()
     lost = (F.col("p_outline") == "") & F.col("c_here").isNull()
     why = F.when(unknown, "unknown key").when(lost, "no outline to go back to")
-    refused = met.select(*SCOPE, why.alias("why")).filter("why is not null").groupBy(*SCOPE).agg(F.max("why").alias("why"))
-    scopes = saves.join(refused, SCOPE, "left")
+    # All that rules a row is said of its scope, so the rows are shuffled once, for the scope.
+    about = met.groupBy(*SCOPE).agg(F.max("viewpoint_id").alias("viewpoint_id"), F.max(why).alias("why"))
+    scopes = saves.join(about.select(*SCOPE, "why"), SCOPE, "left")
     signed = scopes.filter("done and why is null").select("viewpoint_id", "batch_id", F.lit(True).alias("_signs")).distinct()
-    met = met.join(scopes.select(*SCOPE, F.lit(True).alias("_own"), "knows_edits", "why"), SCOPE, "left").join(signed, ["viewpoint_id", "batch_id"], "left").filter("_own or _signs")
+    ruled = about.drop("why").join(scopes.select(*SCOPE, F.lit(True).alias("_own"), "knows_edits", "why"), SCOPE, "left").join(signed, ["viewpoint_id", "batch_id"], "left").filter("_own or _signs")
+    met = met.drop("viewpoint_id").join(ruled.drop("viewpoint_id"), SCOPE)
 
     o, detected = F.col("o"), F.col("c_here").isNotNull()
     p = {c: F.col("p_" + c) for c in ("removed", "accepted", "label", "outline")}

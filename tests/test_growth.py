@@ -88,3 +88,15 @@ def test_sets_side_by_side_are_the_judgements_alone(spark):
     for prefix, limits in (("was_", Thresholds()), ("", other)):
         alone = judge(rows, limits, 128).select(*key, *cols)
         assert sorted(map(tuple, both.select(*key, *[prefix + c for c in cols]).collect())) == sorted(map(tuple, alone.collect()))
+
+
+def test_saved_rows_meet_their_scope_in_one_join(spark):
+    lines = QUERIES["save_review"](Model(spark, SMALL))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    top = next(i for i, line in enumerate(lines) if "Join" in line)
+    column = lines[top].index("Join")
+    left = []
+    for line in lines[top + 1 :]:
+        if line[column] != ":":
+            break
+        left.append(line)
+    assert left and not any("Join" in line for line in left)
