@@ -6,6 +6,8 @@ import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -190,13 +192,64 @@ def measure_polygons(df: DataFrame, polygon: str, um_per_px: Column) -> DataFram
     return s.withColumns({k: F.when(ok, v) for k, v in out.items()}).drop("_f")
 
 
+@F.arrow_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("rot", "w", "h")]))
+def _upright(polygons: pa.Array) -> pa.Array:
+    """Upright rotation of a batch of flat polygons and their extent when turned by it, all corners as one table. Null for
+    a polygon of fewer than three corners, with a null, or with figures that are not finite."""
+    size = np.asarray(pc.fill_null(pc.list_value_length(polygons), 0)).astype(np.int64)
+    flat = pc.list_flatten(polygons).to_numpy(zero_copy_only=False).astype(float)  # a null becomes NaN
+    n = len(size)
+    start = np.cumsum(size) - size
+    corners = np.where(size >= 6, size // 2, 0)
+    who = np.repeat(np.arange(n), corners)
+    first = np.cumsum(corners) - corners
+    place = np.arange(len(who)) - first[who]
+    x0, y0 = (flat[start[who] + 2 * place + odd] for odd in (0, 1))
+    after = first[who] + np.where(place + 1 < corners[who], place + 1, 0)
+    x1, y1 = x0[after], y0[after]
+    total = lambda term: np.bincount(who, weights=term, minlength=n)  # noqa: E731  in the order of the corners
+    with np.errstate(all="ignore"):
+        c = x0 * y1 - x1 * y0
+        area = total(c) / 2
+        cx, cy = total((x0 + x1) * c) / (area * 6), total((y0 + y1) * c) / (area * 6)
+        m20 = total(c * (x0 * x0 + x0 * x1 + x1 * x1)) / (area * 12) - cx * cx
+        m02 = total(c * (y0 * y0 + y0 * y1 + y1 * y1)) / (area * 12) - cy * cy
+        m11 = total(c * (x0 * y0 * 2 + x0 * y1 + x1 * y0 + x1 * y1 * 2)) / (area * 24) - cx * cy
+        diff = np.hypot(m20 - m02, m11 * 2)
+        big, small = (m20 + m02 + diff) / 2, (m20 + m02 - diff) / 2
+        ratio = np.where(small > 1e-9, np.sqrt(big / small), pg.DEGENERATE_RATIO)
+        deg = 90.0 - np.degrees(np.arctan2(m11 * 2, m20 - m02) * 0.5)
+        deg = np.where(deg > 90, deg - 180, np.where(deg < -90, deg + 180, deg))
+        rot = np.where((np.abs(area) >= 1e-9) & (big > 1e-9) & (ratio >= pg.UPRIGHT_MIN_RATIO), deg, 0.0)
+        turn = np.radians(rot)[who]
+        cos, sin = np.cos(turn), np.sin(turn)
+        extent = []
+        for v in (x0 * cos - y0 * sin, x0 * sin + y0 * cos):
+            most, least = np.full(n, -np.inf), np.full(n, np.inf)
+            some = corners > 0
+            if some.any():
+                most[some], least[some] = np.maximum.reduceat(v, first[some]), np.minimum.reduceat(v, first[some])
+            extent.append(most - least)
+        good = (corners > 0) & np.isfinite(total(c)) & np.isfinite(rot) & np.isfinite(extent[0]) & np.isfinite(extent[1])
+        good &= (np.abs(area) < 1e-9) | np.isfinite(diff)
+    return pa.StructArray.from_arrays([pa.array(v) for v in (rot, *extent)], names=["rot", "w", "h"], mask=pa.array(~good))
+
+
 def crop_geometry(df: DataFrame, polygon: str) -> DataFrame:
-    """Add ``rot`` (upright rotation) and the crop size ``out_w``, ``out_h`` with its margin."""
-    s = df.withColumn("_edges", F.when(pg.is_polygon(F.col(polygon)), pg.edges(F.col(polygon))))
+    """Add ``rot`` (upright rotation) and the crop size ``out_w``, ``out_h`` with its margin.
+
+    Walking the corners in column expressions is interpreted row by row, so an Arrow batch function does it; only what
+    it gives back as null, which is no proper polygon, goes through the expressions.
+    """
+    s = df.withColumn("_u", _upright(F.col(polygon).cast("array<double>")))
+    s = s.withColumn("_odd", F.when(F.col("_u").isNull(), F.col(polygon)))
+    s = s.withColumn("_edges", F.when(pg.is_polygon(F.col("_odd")), pg.edges(F.col("_odd"))))
     s = s.withColumn("_sums", pg.moment_sums(F.col("_edges")))
-    s = s.withColumn("_m", pg.polygon_moments(F.col("_sums"))).withColumn("_e", pg.fit_ellipse(F.col("_m"))).withColumn("rot", pg.upright_angle(F.col("_e")))
-    s = s.withColumn("_c", pg.crop_size(pg.rotated_extent(F.col(polygon), F.col("rot"))))
-    return s.withColumn("out_w", F.col("_c.out_w")).withColumn("out_h", F.col("_c.out_h")).drop("_edges", "_sums", "_m", "_e", "_c")
+    s = s.withColumn("_m", pg.polygon_moments(F.col("_sums"))).withColumn("_e", pg.fit_ellipse(F.col("_m")))
+    s = s.withColumn("rot", F.coalesce("_u.rot", pg.upright_angle(F.col("_e"))))
+    turned = F.when(F.col("_u").isNotNull(), F.struct("_u.w", "_u.h")).otherwise(pg.rotated_extent(F.col("_odd"), F.col("rot")))
+    s = s.withColumn("_x", turned).withColumn("_c", pg.crop_size(F.col("_x")))
+    return s.withColumn("out_w", F.col("_c.out_w")).withColumn("out_h", F.col("_c.out_h")).drop("_u", "_odd", "_edges", "_sums", "_m", "_e", "_x", "_c")
 
 
 def tighten_boxes(candidates: DataFrame, um_per_px: Column) -> DataFrame:
