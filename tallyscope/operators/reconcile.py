@@ -34,25 +34,32 @@ def differing_buckets(a: DataFrame, b: DataFrame, keys: list[str], columns: list
     return left.join(right, "bucket", "full_outer").filter(~F.col("_a").eqNullSafe(F.col("_b"))).select("bucket")
 
 
-def differing_rows(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str], buckets: int = BUCKETS) -> DataFrame:
+def differing_rows(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str], buckets: int = BUCKETS, once: bool = False) -> DataFrame:
     """The keys on which two copies differ: keys, status (only_a, only_b, changed, repeated) and the names of the columns
-    that changed. A null key equals a null key; a key that stands a different number of times is ``repeated``."""
-    wanted = differing_buckets(a, b, keys, columns, buckets)
+    that changed. A null key equals a null key; a key that stands a different number of times is ``repeated``. With
+    ``once`` a key counts once in each copy, by its least row.
+
+    The rows of both copies are shuffled together, once."""
+    wanted = F.broadcast(differing_buckets(a, b, keys, columns, buckets))  # a number each, and no more than ``buckets``
 
     def side(df: DataFrame, name: str) -> DataFrame:
         rows = with_bucket(df, keys, buckets).join(wanted, "bucket", "left_semi")
-        every = F.struct(*columns)
-        return rows.groupBy(*keys).agg(F.count("*").alias(f"_n{name}"), F.min(every).alias(f"_lo{name}"), F.max(every).alias(f"_hi{name}"), F.bit_xor(F.xxhash64(*marks(columns))).alias(f"_x{name}"))
-
-    left, right = side(a, "a"), side(b, "b").withColumnsRenamed({k: "_" + k for k in keys})
-    met = left.join(right, reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col("_" + k)) for k in keys)), "full_outer")
-    changed = F.concat_ws(",", *(F.when(~(F.col(f"_loa.{c}").eqNullSafe(F.col(f"_lob.{c}")) & F.col(f"_hia.{c}").eqNullSafe(F.col(f"_hib.{c}"))), F.lit(c)) for c in columns))
-    status = (
-        F.when(F.col("_nb").isNull(), "only_a").when(F.col("_na").isNull(), "only_b").when(F.col("_na") != F.col("_nb"), "repeated")
-        .when((changed != "") | (F.col("_xa") != F.col("_xb")), "changed")
-    )
-    both = F.col("_na").isNotNull() & F.col("_nb").isNotNull()
-    return met.select(*(F.coalesce(k, "_" + k).alias(k) for k in keys), status.alias("status"), F.when(both, changed).otherwise("").alias("columns")).filter("status is not null")
+        return rows.select(*keys, F.lit(name).alias("_copy"), F.struct(*columns).alias("_row"))
+
+    def of(name: str) -> list[Column]:
+        own = F.when(F.col("_copy") == name, F.col("_row"))
+        if once:
+            return [F.min(own).alias(f"_lo{name}")]
+        mark = F.when(F.col("_copy") == name, F.xxhash64(*marks([f"_row.{c}" for c in columns])))
+        return [F.count(own).alias(f"_n{name}"), F.min(own).alias(f"_lo{name}"), F.max(own).alias(f"_hi{name}"), F.bit_xor(mark).alias(f"_x{name}")]
+
+    met = side(a, "a").unionByName(side(b, "b")).groupBy(*keys).agg(*of("a"), *of("b"))
+    differs = lambda p, c: ~F.col(f"_{p}a.{c}").eqNullSafe(F.col(f"_{p}b.{c}"))
+    changed = F.concat_ws(",", *(F.when(differs("lo", c) if once else differs("lo", c) | differs("hi", c), F.lit(c)) for c in columns))
+    status = F.when(F.col("_lob").isNull(), "only_a").when(F.col("_loa").isNull(), "only_b")
+    status = status.when(changed != "", "changed") if once else status.when(F.col("_na") != F.col("_nb"), "repeated").when((changed != "") | (F.col("_xa") != F.col("_xb")), "changed")
+    both = F.col("_loa").isNotNull() & F.col("_lob").isNotNull()
+    return met.select(*keys, status.alias("status"), F.when(both, changed).otherwise("").alias("columns")).filter("status is not null")
 
 
 def review_metrics(corrections: DataFrame, overlay: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from tallyscope.operators.verdict import Thresholds, classify
 from tallyscope.plans.base import OVERLAY, STORED, query
 from tallyscope.plans.reviews import HISTORY, history, overlay
 from tallyscope.plans.rollups import DONE, slide_areas
-from tallyscope.session import use_shared_checkpoints
+from tallyscope.session import keep, use_shared_checkpoints
 from tallyscope.sources.model import Model
 from tallyscope.streaming.detections import DetectionStore, run_detections
 
@@ -70,7 +70,8 @@ ROW_KEYS, ROW_COLUMNS = ["image_id", "batch_id", "mask_key"], ["removed", "accep
 
 
 def review_copies(m: Model) -> tuple[DataFrame, DataFrame]:
-    a = m.correction.join(m.object.select("object_id", "label", "note"), "object_id").select(*ROW_KEYS, "removed", "accepted", "bind", F.col("polygon").alias("outline"), "label", "note")
+    # Both copies come from these rows, and each is read twice.
+    a = keep(m.correction.join(m.object.select("object_id", "label", "note"), "object_id").select(*ROW_KEYS, "removed", "accepted", "bind", F.col("polygon").alias("outline"), "label", "note"))
     b = a.filter("image_id % 59 <> 0").selectExpr(
         "CASE WHEN image_id % 61 = 0 THEN image_id + 1000000 ELSE image_id END AS image_id", "batch_id", "mask_key", "removed", "CASE WHEN image_id % 53 = 0 THEN NOT accepted ELSE accepted END AS accepted", "bind",
         "CASE WHEN image_id % 47 = 0 THEN NULL ELSE outline END AS outline", "CASE WHEN image_id % 43 = 0 THEN 'other' ELSE label END AS label", "note")
@@ -88,8 +89,8 @@ FULL JOIN (SELECT *, 1 AS n FROM secondcopy QUALIFY row_number() OVER (PARTITION
     *COPY,
 )
 def _(m: Model) -> DataFrame:
-    a, b = (df.dropDuplicates(ROW_KEYS) for df in review_copies(m))
-    return rc.differing_rows(a, b, ROW_KEYS, ROW_COLUMNS)
+    a, b = review_copies(m)
+    return rc.differing_rows(a, b, ROW_KEYS, ROW_COLUMNS, once=True)
 
 
 def review_metrics_sql(source: str, states: str) -> str:
