@@ -24,18 +24,23 @@ def slide_layers(slides: DataFrame, samples: DataFrame, localities: DataFrame, s
     return slides.select("slide_id", "sample_id", "obs_no").join(s, "sample_id", "left").drop("sample_id")
 
 
+def catalogued(detections: DataFrame, viewpoints: DataFrame, batches: DataFrame) -> DataFrame:
+    """The detections whose objects the catalogue lists, with what numbers need of batch and viewpoint."""
+    batch = F.broadcast(batches.select("batch_id", F.col("code").alias("batch_code")))
+    return detections.select("detection_id", "batch_id", "frame_no", "viewpoint_id", "slide_id").join(batch, "batch_id").join(viewpoints.select("viewpoint_id", "idx"), "viewpoint_id").drop("viewpoint_id", "batch_id")
+
+
 def catalog_rows(shown: DataFrame, layers: DataFrame, viewpoints: DataFrame, batches: DataFrame, detections: DataFrame, members: DataFrame) -> DataFrame:
     """Kept objects with their catalogue number, identification, and the largest linked view where they are linked.
 
-    ``shown`` holds rows of the overlay; detections carry ``frame_no``, the number of the frame in its viewpoint;
-    ``members`` all judgements with object_id, image_id, mask_key, bbox.
+    ``shown`` holds rows of the overlay; detections carry ``frame_no``, the number of the frame in its viewpoint, and the
+    viewpoint and slide that the overlay took from them; ``members`` all judgements with object_id, image_id, mask_key, bbox.
     """
-    batch = detections.select("detection_id", "batch_id", "frame_no").join(F.broadcast(batches.select("batch_id", F.col("code").alias("batch_code"))), "batch_id")
+    # Everything that follows from the detection meets there; the rows are shuffled once to fetch it.
+    place = catalogued(detections, viewpoints, batches).join(layers, "slide_id", "left").drop("slide_id")
     drawn = F.col("source") == "manual"
     numbered = (
-        shown.join(batch, "detection_id")
-        .join(viewpoints.select("viewpoint_id", "idx"), "viewpoint_id")
-        .join(layers, "slide_id", "left")
+        shown.join(place, "detection_id")
         .withColumn(
             "_no",
             catalog_no(

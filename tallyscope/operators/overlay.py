@@ -36,27 +36,40 @@ def kept_rule(passed: Column, removed: Column, accepted: Column, list_rule: bool
     return ~gone & (passed | back)
 
 
+def overlaid(candidates: DataFrame, detections: DataFrame, corrections: DataFrame) -> DataFrame:
+    """The detections that :func:`review_overlay` has rows for, found by their keys alone."""
+    said = corrections.select("image_id", F.col("batch_id").alias("_said")).distinct()
+    spoken = said.join(detections.select("detection_id", "image_id", "batch_id"), "image_id").filter(F.col("_said").isNull() | (F.col("_said") == F.col("batch_id")))
+    seen = candidates.select("detection_id").distinct().unionByName(spoken.select("detection_id"))
+    return detections.join(seen, "detection_id", "left_semi")
+
+
 def review_overlay(
-    candidates: DataFrame, detections: DataFrame, corrections: DataFrame, objects: DataFrame
+    candidates: DataFrame, detections: DataFrame, corrections: DataFrame, objects: DataFrame, gone_only: bool = False
 ) -> DataFrame:
     """One row per candidate or orphan correction of the given detections.
 
     ``state`` is kept, gone or rejected; ``cls`` is the class to show, ``cls_auto`` the machine's where a person changed
-    it; ``rank`` numbers the kept ones of a detection by falling area.
+    it; ``rank`` numbers the kept ones of a detection by falling area. With ``gone_only`` the rows of that state alone:
+    they follow from the removing corrections.
     """
+    if gone_only:
+        corrections = corrections.filter("removed")
     # Both sides bring the columns of their detection: what the full join makes is not shuffled again to fetch them.
     about = ["viewpoint_id", "image_id", "image_kind", "um_per_pixel", "slide_id"]
     det = detections.select("detection_id", *[F.col(n).alias("_d_" + n) for n in about])
     spoken = detections.select("detection_id", F.col("batch_id").alias("_batch"), *[F.col(n).alias("_r_" + n) for n in about])
     of_batch = F.col("batch_id").isNull() | (F.col("batch_id") == F.col("_batch"))
-    r = corrections.join(spoken, corrections["image_id"] == spoken["_r_image_id"]).filter(of_batch)
+    # A person's outline is a flat list of coordinates as JSON text; only its area goes through the joins.
+    drawn = corrections.withColumn("_drawn_area", F.rint(polygon_area(F.from_json("polygon", "array<double>"))).cast("bigint")).drop("polygon")
+    r = drawn.join(spoken, drawn["image_id"] == spoken["_r_image_id"]).filter(of_batch)
     r = r.join(objects.select("object_id", "label", "species", "grade", "pose", "note"), "object_id", "left").select(
         "detection_id",
         "mask_key",
         *["_r_" + n for n in about],
         F.lit(True).alias("has_review"),
         *["removed", "accepted", "source", "label", "species", "grade", "pose", "note", "object_id", "is_rep"],
-        *["auto_confirmed", "geom_edited", "polygon"],
+        *["auto_confirmed", "geom_edited", "_drawn_area"],
         *[F.col("bbox_" + c).alias("r_" + c) for c in "xywh"],
     )
     c = candidates.select(
@@ -67,13 +80,13 @@ def review_overlay(
         *["bbox_" + s for s in "xywh"],
         F.col("cls").alias("machine_cls"),
     ).join(det, "detection_id")
-    both = c.join(r, ["detection_id", "mask_key"], "full_outer")
+    both = c.join(r, ["detection_id", "mask_key"], "right" if gone_only else "full_outer")
     both = both.withColumns({n: F.coalesce("_d_" + n, "_r_" + n) for n in about}).drop(*[p + n for n in about for p in ("_d_", "_r_")])
     orphan = F.col("candidate_no").isNull()
     gone, back = F.coalesce("removed", F.lit(False)), F.coalesce("accepted", F.lit(False))
     from_person = orphan | (F.coalesce("geom_edited", F.lit(False)) & F.col("has_review"))
-    # A person's outline is a flat list of coordinates as JSON text; without one the machine's area stands.
-    drawn_area = F.coalesce(F.rint(polygon_area(F.from_json("polygon", "array<double>"))).cast("bigint"), F.col("area_px"))
+    # Without an outline the machine's area stands.
+    drawn_area = F.coalesce("_drawn_area", "area_px")
     revived = ~orphan & ~F.col("passed") & back & ~gone
     base_cls = (
         F.when(orphan, "").when(revived, guessed_class(F.col("elongation"))).otherwise(F.coalesce("machine_cls", F.lit("")))
@@ -92,7 +105,7 @@ def review_overlay(
         .withColumn("cls_auto", F.when(F.col("cls_user") & (F.col("_base") != F.col("label")), F.col("_base")).otherwise(""))
         .withColumn("area_px", F.coalesce("area_px", F.lit(0)))
     )
-    return out.drop("_base", "machine_cls", "polygon", *["r_" + s for s in "xywh"])
+    return out.drop("_base", "machine_cls", "_drawn_area", *["r_" + s for s in "xywh"])
 
 
 def ranked(overlay: DataFrame, out: str = "rank") -> DataFrame:

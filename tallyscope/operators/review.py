@@ -15,7 +15,8 @@ SAME_IOU = 0.5
 
 
 def shown_images(overlay: DataFrame) -> DataFrame:
-    """Rows of the fused image where the viewpoint has a detection on it, else of every frame."""
+    """Rows of the fused image where the viewpoint has a detection on it, else of every frame. The detections that have
+    rows may stand for the rows: what is laid over the ones that stay is shown."""
     fused = overlay.groupBy("viewpoint_id").agg(F.max(F.col("image_kind") == "stack").alias("_fused"))
     return overlay.join(fused, "viewpoint_id").filter((F.col("image_kind") == "stack") | ~F.col("_fused")).drop("_fused")
 

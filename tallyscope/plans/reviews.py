@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from tallyscope.functions.boxes import mask_key, Box
 from tallyscope.functions.projection import project_epsg3031
 from tallyscope.operators import review as rv
-from tallyscope.operators.overlay import ranked, representative_detection, review_overlay, reviewing
+from tallyscope.operators.overlay import overlaid, ranked, representative_detection, review_overlay, reviewing
 from tallyscope.operators.verdict import collapse_boxes
 from tallyscope.plans.base import OVERLAY, STORED, matching, query
 from tallyscope.plans.verdicts import SIDE, SUMMARY
+from tallyscope.session import keep
 from tallyscope.sources.model import Model
 
 
@@ -19,6 +20,13 @@ def overlay(m: Model) -> DataFrame:
     return review_overlay(m.stored, reviewing(m.detection, m.batch), m.correction, m.object)
 
 
+def shown_overlay(m: Model, state: str) -> DataFrame:
+    """The rows of one state on the shown images. What is shown is decided per detection, before anything is laid over."""
+    about = reviewing(m.detection, m.batch).select("detection_id", "batch_id", "viewpoint_id", "image_id", "image_kind", "um_per_pixel", "slide_id")
+    shown = keep(rv.shown_images(overlaid(m.stored, about, m.correction)).select(*about.columns))
+    return review_overlay(m.stored, shown, m.correction, m.object, gone_only=state == "gone").filter(F.col("state") == state)
+
+
 @query(
     "review_overlay",
     """SELECT detection_id, mask_key, state, orphan, revived, cls, cls_auto, cls_user, area_px, bbox_x, bbox_y, bbox_w, bbox_h,
@@ -61,12 +69,12 @@ SHOWN = """shown AS (SELECT o.* FROM overlay o JOIN (SELECT viewpoint_id, bool_o
 
 @query("candidate_rows", "SELECT slide_id, viewpoint_id, image_id, mask_key, cls, area_px FROM shown WHERE state = 'kept'", *OVERLAY, SHOWN)
 def _(m: Model) -> DataFrame:
-    return rv.shown_images(overlay(m)).filter("state = 'kept'").select("slide_id", "viewpoint_id", "image_id", "mask_key", "cls", "area_px")
+    return shown_overlay(m, "kept").select("slide_id", "viewpoint_id", "image_id", "mask_key", "cls", "area_px")
 
 
 @query("candidate_rows_gone", "SELECT slide_id, viewpoint_id, image_id, mask_key, cls, area_px FROM shown WHERE state = 'gone'", *OVERLAY, SHOWN)
 def _(m: Model) -> DataFrame:
-    return rv.shown_images(overlay(m)).filter("state = 'gone'").select("slide_id", "viewpoint_id", "image_id", "mask_key", "cls", "area_px")
+    return shown_overlay(m, "gone").select("slide_id", "viewpoint_id", "image_id", "mask_key", "cls", "area_px")
 
 
 @query(
