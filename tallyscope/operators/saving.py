@@ -11,21 +11,24 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.operators.catalogue import manual_key_valid
 from tallyscope.operators.overlay import has_text, kept_rule
-from tallyscope.session import cut, keep
+from tallyscope.session import cut
 
 SCOPE = ["image_id", "batch_id"]
 KEY = [*SCOPE, "mask_key"]
+VIEW = ["viewpoint_id", "batch_id"]
 FIELDS = ["removed", "accepted", "label", "outline", "geom_edited", "auto_confirmed", "bind"]
 ANNOTATIONS = ["species", "grade", "pose", "note"]
 BUCKETS = 64
+# So many saves are sent to every task.
+FEW = 20_000
 
 
-def save_review(existing: DataFrame, saves: DataFrame, payload: DataFrame, candidates: DataFrame, objects: DataFrame) -> DataFrame:
+def save_review(existing: DataFrame, saves: DataFrame, payload: DataFrame, candidates: DataFrame, objects: DataFrame, few: int = FEW) -> DataFrame:
     """The rows of every scope that a save speaks for, after it, and what happened to each.
 
     ``existing``: image_id, viewpoint_id, batch_id (null: drawn by hand), mask_key, object_id, removed, accepted,
@@ -37,34 +40,38 @@ def save_review(existing: DataFrame, saves: DataFrame, payload: DataFrame, candi
     ``what`` is insert, update, same, delete or refused. A scope is refused, and keeps its rows, if it is sent a key that
     is neither detected nor stored, or takes back an outline where there is none to go back to. A save that is done
     confirms the kept masks of all images of its viewpoint in that batch.
+
+    A viewpoint in a batch is one group: its rows are sorted and gone through by one task, on disk if need be. ``few`` saves
+    or less are sent to all tasks and pick their rows before anything is shuffled.
     """
     views = saves.select("viewpoint_id", "batch_id").distinct()
-    old = existing.join(views, ["viewpoint_id", "batch_id"], "left_semi")
-    shared = existing.join(old.select("object_id").distinct(), "object_id", "left_semi").groupBy("object_id").agg(F.count("*").alias("_n")).filter("_n >= 2")
+    # Few saves pick their rows where these lie. Of many, all rows travel once, to their viewpoint, and are picked there.
+    picked = saves.limit(few + 1).count() <= few
+    pick = lambda df: df.join(F.broadcast(views), VIEW, "left_semi") if picked else df.filter("viewpoint_id is not null and batch_id is not null")
+    shared = existing.groupBy("object_id").agg(F.count("*").alias("_n")).filter("_n >= 2")
     annotated = reduce(lambda a, b: a | b, (has_text(F.col(c)) for c in ANNOTATIONS))
-    old = old.join(objects.select("object_id", "label", annotated.alias("_annotated")), "object_id", "left").join(shared, "object_id", "left")
-    # The three sides meet in one aggregate: each says its own columns and leaves the others empty.
+    old = pick(existing).join(objects.select("object_id", "label", annotated.alias("_annotated")), "object_id", "left").join(shared, "object_id", "left")
+    # The sides meet in one aggregate: each says its own columns and leaves the others empty.
     o_row = F.struct(*(F.coalesce(F.col(c), F.lit("")).alias(c) if c in ("label", "outline", "bind") else F.coalesce(F.col(c), F.lit(False)).alias(c) for c in FIELDS),
                      "object_id", F.coalesce("_annotated", F.lit(False)).alias("annotated"), F.col("_n").isNotNull().alias("linked"))
     p_row = [F.col(c).alias("p_" + c) for c in ("removed", "accepted", "label", "outline")]
     c_row = [F.col(c).alias("c_" + c) for c in ("passed", "outline")]
     sides = [
-        old.select(*KEY, "viewpoint_id", o_row.alias("o")),
         payload.join(saves.select(*SCOPE, "viewpoint_id"), SCOPE).select(*KEY, "viewpoint_id", F.lit(True).alias("p_here"), *p_row),
-        candidates.join(views, ["viewpoint_id", "batch_id"], "left_semi").select(*KEY, "viewpoint_id", F.lit(True).alias("c_here"), *c_row),
+        old.select(*KEY, "viewpoint_id", o_row.alias("o")),
+        pick(candidates).select(*KEY, "viewpoint_id", F.lit(True).alias("c_here"), *c_row),
+        saves.select(*SCOPE, "viewpoint_id", F.lit(None).cast("string").alias("mask_key"), F.lit(True).alias("_own"), "knows_edits", "done"),
     ]
-    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sides)
-    # Written once: the refusals of a scope and its rows both come from here.
-    met = keep(both.groupBy(*KEY).agg(*(F.max(c).alias(c) for c in both.columns if c not in KEY)))
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sides).repartition(*VIEW)
+    # An image belongs to one viewpoint, and all that rules a row is said of its scope or its viewpoint: what follows stays
+    # where the rows are and keeps their order.
+    scope, view = Window.partitionBy(*VIEW, "image_id"), Window.partitionBy(*VIEW)
+    met = both.groupBy(*VIEW, "image_id", "mask_key").agg(*(F.max(c).alias(c) for c in both.columns if c not in [*KEY, "viewpoint_id"]))
     unknown = F.col("p_here") & F.col("c_here").isNull() & F.col("o").isNull()
     lost = (F.col("p_outline") == "") & F.col("c_here").isNull()
-    why = F.when(unknown, "unknown key").when(lost, "no outline to go back to")
-    # All that rules a row is said of its scope, so the rows are shuffled once, for the scope.
-    about = met.groupBy(*SCOPE).agg(F.max("viewpoint_id").alias("viewpoint_id"), F.max(why).alias("why"))
-    scopes = saves.join(about.select(*SCOPE, "why"), SCOPE, "left")
-    signed = scopes.filter("done and why is null").select("viewpoint_id", "batch_id", F.lit(True).alias("_signs")).distinct()
-    ruled = about.drop("why").join(scopes.select(*SCOPE, F.lit(True).alias("_own"), "knows_edits", "why"), SCOPE, "left").join(signed, ["viewpoint_id", "batch_id"], "left").filter("_own or _signs")
-    met = met.drop("viewpoint_id").join(ruled.drop("viewpoint_id"), SCOPE)
+    met = met.withColumn("why", F.when(unknown, "unknown key").when(lost, "no outline to go back to"))
+    met = met.withColumns({c: F.max(c).over(scope) for c in ("_own", "knows_edits", "done", "why")})
+    met = met.withColumn("_signs", F.max(F.col("done") & F.col("why").isNull()).over(view)).filter("_own or _signs")
 
     o, detected = F.col("o"), F.col("c_here").isNotNull()
     p = {c: F.col("p_" + c) for c in ("removed", "accepted", "label", "outline")}

@@ -232,9 +232,12 @@ def review_tables(m: Model) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]
         "CASE WHEN bbox_h % 7 = 0 THEN concat('[', bbox_x, ',', bbox_y, ',9,9,0,9]') WHEN bbox_h % 11 = 0 THEN '' END AS outline")
     wrong = m.orders.filter("o_orderkey % 50 = 0").selectExpr(
         "o_orderkey AS image_id", "'0_0_1_1' AS mask_key", "true AS removed", "false AS accepted", "CAST(NULL AS STRING) AS label", "CAST(NULL AS STRING) AS outline")
-    payload = said.unionByName(wrong).join(saves.select("image_id", "batch_id"), "image_id")
-    detected = m.stored.join(m.detection.select("detection_id", "viewpoint_id"), "detection_id").select(
-        F.col("detection_id").alias("image_id"), batch, "viewpoint_id", "mask_key", "passed", F.expr("concat('[', bbox_x, ',', bbox_y, ',', bbox_w, ',', bbox_h, ',0,0]') AS outline"))
+    # The batch of a row follows from its image; what is sent for other images than those saved is left out by the save.
+    payload = said.unionByName(wrong).filter("image_id % 2 = 0").withColumn("batch_id", F.expr("CASE WHEN floor(image_id / 2) % 5 = 0 THEN 2 ELSE 1 END"))
+    # Boxes are met with the images; keys and outlines are written after.
+    seen = m.stored.select("detection_id", "passed", *["bbox_" + c for c in "xywh"]).join(m.detection.select("detection_id", "viewpoint_id"), "detection_id")
+    detected = seen.select(
+        F.col("detection_id").alias("image_id"), batch, "viewpoint_id", F.expr("concat(bbox_x, '_', bbox_y, '_', bbox_w, '_', bbox_h) AS mask_key"), "passed", F.expr("concat('[', bbox_x, ',', bbox_y, ',', bbox_w, ',', bbox_h, ',0,0]') AS outline"))
     return existing, saves, payload, detected
 
 

@@ -111,3 +111,30 @@ def test_stored_table_changes_only_where_a_save_spoke(spark, tmp_path):
     assert put([(1, 1, 10, True, False)], [(1, 1, "c", False, True, None, None)]) == {(1, 1, "c", False), (1, 2, "b", True)}  # again
     assert put([(1, 1, 10, True, False)], []) == {(1, 2, "b", True)}  # a partition without rows
     assert files(2) == other
+
+
+def test_few_saves_and_many_say_the_same(spark):
+    from tallyscope.plans.merges import review_tables
+    from tallyscope.sources.model import Model
+
+    m = Model(spark, "/root/testdata/sf0.001")
+    tables = review_tables(m)
+    few, many = (sorted(map(str, saving.save_review(*tables, m.object, few=n).collect())) for n in (saving.FEW, 0))
+    assert few == many and len(few) > 1000
+
+
+def test_wide_rows_travel_once_to_their_viewpoint(spark):
+    from test_shuffled import shuffled
+
+    outline = F.concat(*[F.sha2(F.concat("id", F.lit(str(i))).cast("string"), 512) for i in range(6)])
+    seen = spark.range(4000).select((F.col("id") % 200).alias("image_id"), (F.col("id") % 100).alias("viewpoint_id"), F.lit(1).alias("batch_id"),
+                                    F.col("id").cast("string").alias("mask_key"), F.lit(True).alias("passed"), outline.alias("outline"))
+    saves = spark.range(200).select(F.col("id").alias("image_id"), F.lit(1).alias("batch_id"), (F.col("id") % 100).alias("viewpoint_id"), F.lit(True).alias("knows_edits"), F.lit(True).alias("done"))
+    empty = [spark.createDataFrame([], s) for s in (EXISTING, PAYLOAD, OBJECTS)]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        size = shuffled(spark, lambda: seen.repartition("viewpoint_id"))
+        assert shuffled(spark, lambda: saving.save_review(empty[0], saves, empty[1], seen, empty[2])) < 1.3 * size
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
