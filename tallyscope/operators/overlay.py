@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.functions.polygon import polygon_area
 from tallyscope.operators.sequence import Blocks
 from tallyscope.operators.verdict import guessed_class
+from tallyscope.session import cut
+
+# Tuning: rows of one detection that a task numbers by itself.
+LARGE = 1_000_000
 
 
 def reviewing(detections: DataFrame, batches: DataFrame) -> DataFrame:
@@ -61,7 +65,9 @@ def review_overlay(
     spoken = detections.select("detection_id", F.col("batch_id").alias("_batch"), *[F.col(n).alias("_r_" + n) for n in about])
     of_batch = F.col("batch_id").isNull() | (F.col("batch_id") == F.col("_batch"))
     # A person's outline is a flat list of coordinates as JSON text; only its area goes through the joins.
-    drawn = corrections.withColumn("_drawn_area", F.rint(polygon_area(F.from_json("polygon", "array<double>"))).cast("bigint")).drop("polygon")
+    # It is read once, in a step of its own: the area names it at every corner.
+    drawn = corrections.withColumn("_corners", F.from_json("polygon", "array<double>")).drop("polygon")
+    drawn = drawn.withColumn("_drawn_area", F.rint(polygon_area(F.col("_corners"))).cast("bigint")).drop("_corners")
     r = drawn.join(spoken, drawn["image_id"] == spoken["_r_image_id"]).filter(of_batch)
     r = r.join(objects.select("object_id", "label", "species", "grade", "pose", "note"), "object_id", "left").select(
         "detection_id",
@@ -108,11 +114,22 @@ def review_overlay(
     return out.drop("_base", "machine_cls", "_drawn_area", *["r_" + s for s in "xywh"])
 
 
-def ranked(overlay: DataFrame, out: str = "rank") -> DataFrame:
-    """Number the kept rows of each detection by falling area (0-based), ties by key."""
+def ranked(overlay: DataFrame, out: str = "rank", large: int = LARGE) -> DataFrame:
+    """Number the kept rows of each detection by falling area (0-based), ties by key.
+
+    ``overlay`` is read twice, for the detections of more than ``large`` kept rows first: these alone are cut in blocks.
+    """
     order = [(F.col("area_px"), False), (F.col("mask_key"), True)]
     by_area = Blocks(["detection_id"], [(F.col("area_px"), False)], order)
-    return by_area.row_number(overlay.filter("state = 'kept'"), out).withColumn(out, F.col(out) - 1)
+    kept = overlay.filter("state = 'kept'")
+    hot = cut(kept.groupBy("detection_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > large).select("detection_id"))
+    inside = Window.partitionBy("detection_id").orderBy(F.desc_nulls_last("area_px"), F.asc_nulls_last("mask_key"))
+    if hot.isEmpty():
+        return kept.withColumn(out, (F.row_number().over(inside) - 1).cast("bigint"))
+    # There are fewer of these than rows by the factor of ``large``.
+    few = F.broadcast(hot)
+    rest = kept.join(few, "detection_id", "left_anti").withColumn(out, F.row_number().over(inside).cast("bigint"))
+    return rest.unionByName(by_area.row_number(kept.join(few, "detection_id", "left_semi"), out)).withColumn(out, F.col(out) - 1)
 
 
 def slide_class_summary(

@@ -34,8 +34,9 @@ def shown_overlay(m: Model, state: str) -> DataFrame:
     *OVERLAY,
 )
 def _(m: Model) -> DataFrame:
-    o = overlay(m)
     cols = ["detection_id", "mask_key", "state", "orphan", "revived", "cls", "cls_auto", "cls_user", "area_px", *["bbox_" + s for s in "xywh"]]
+    # Laid over once; what is kept is counted and numbered from the stored rows.
+    o = keep(overlay(m).select(*cols))
     kept = ranked(o).select(*cols, "rank")
     return kept.unionByName(o.filter("state <> 'kept'").select(*cols, F.lit(None).cast("bigint").alias("rank")))
 

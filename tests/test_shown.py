@@ -42,3 +42,31 @@ def test_shown_detections_are_those_of_the_shown_rows(spark):
 def test_a_page_and_its_total_read_stored_rows(spark):
     text = plan(QUERIES["paged_detections"](Model(spark, SMALL)))
     assert "l_orderkey" not in text and "object_id" not in text
+
+
+def test_large_detections_are_numbered_alike(spark):
+    from tallyscope.operators.overlay import ranked
+
+    m = Model(spark, SMALL)
+    rows = review_overlay(m.stored, reviewing(m.detection, m.batch), m.correction, m.object).select("detection_id", "mask_key", "state", "area_px")
+    plain = ranked(rows)
+    assert plain.filter("rank > 0").count() and all(same(plain, ranked(rows, large=n)) for n in (0, 2))
+
+
+def test_the_overlay_is_laid_once_for_its_ranks(spark):
+    text = plan(QUERIES["review_overlay"](Model(spark, SMALL)))
+    assert "l_orderkey" not in text and "Join" not in text
+
+
+def test_an_outline_is_read_once(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    m = Model(spark, SMALL)
+    # Of 600 corners: read once it is a matter of milliseconds, read at every corner of minutes.
+    corners = F.concat(F.lit("["), F.concat_ws(",", F.transform(F.sequence(F.lit(1), F.lit(1200)), lambda i: i.cast("string"))), F.lit("]"))
+    said = m.correction.limit(200).withColumn("polygon", corners)
+    start = time.time()
+    review_overlay(m.stored, reviewing(m.detection, m.batch), said, m.object).agg(F.sum("area_px")).collect()
+    assert time.time() - start < 30
